@@ -36,6 +36,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routinelens.llm import mixing
+
+    return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routinelens.llm import exact
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_licences": op3_licences,
     "op4_simhash": op4_simhash,
+    "op6_mixing": op6_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,

@@ -66,10 +66,8 @@ class Classifier:
     telling: tuple[tuple[str, ...], ...]
     table: tuple[tuple[float, ...], ...]
 
-    def posterior(self, found: Column) -> Column:
-        """The posterior as an array of doubles, from the array of a document's features."""
-        rows = F.array(*[F.array(*map(F.lit, r)) for r in self.table])
-        return F.get(rows, cell(found, self.telling))
+    def cell(self, found: Column) -> Column:
+        return cell(found, self.telling)
 
 
 def cell(found: Column, telling: tuple[tuple[str, ...], ...]) -> Column:
@@ -131,23 +129,6 @@ def _guess(at: int, prior: list[float], seen: dict[tuple[int, int], int], sizes:
     return [x / total for x in out]
 
 
-def _rate(p: Column, steps: list[tuple[tuple[float, ...], float]]) -> tuple[Column, Column]:
-    """The rate and the extrapolated rate after the steps, each (step * (S - T), momentum), from rate 1."""
-    if not steps:
-        return F.lit(1.0), F.lit(1.0)
-    plan = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(b).alias("b")) for g, b in steps])
-
-    def one(state: Column, s: Column) -> Column:
-        down = F.get(p, F.lit(0)) * F.get(s["g"], F.lit(0))
-        for k in range(1, len(DOMAINS)):
-            down = down + F.get(p, F.lit(k)) * F.get(s["g"], F.lit(k))
-        new = F.greatest(F.lit(0.0), state["y"] - down)
-        return F.struct(new.alias("r"), (new + s["b"] * (new - state["r"])).alias("y"))
-
-    end = F.aggregate(plan, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), one)
-    return end["r"], end["y"]
-
-
 def _largest_eigenvalue(m: list[list[float]]) -> float:
     v = [1.0] * len(m)
     norm = 0.0
@@ -160,40 +141,44 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return norm
 
 
-def solve(members: DataFrame, targets: dict[str, float] = TARGETS) -> list[tuple[tuple[float, ...], float]]:
-    """The steps of the projected gradient for rows (n_tokens, p)."""
+def _by_cell(values: list[float]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.col("cell"))
+
+
+def solve(members: DataFrame, table: tuple[tuple[float, ...], ...], targets: dict[str, float] = TARGETS) -> list[float]:
+    """The rate of each entry of the classifier's table, for rows (n_tokens, cell)."""
     kinds = range(len(DOMAINS))
-    profiles = materialise(members.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n")), "posterior-profiles")
-    p = [F.get("p", F.lit(k)) for k in kinds]
+    profiles = materialise(members.groupBy("cell").agg(F.sum("n_tokens").cast("double").alias("n")), "posterior-profiles")
+    p = [_by_cell([row[k] for row in table]) for k in kinds]
     first = profiles.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[a] * p[b]).alias(f"m{a}{b}") for a in kinds for b in kinds]).first()
     total = first["n"] or 0.0
+    rate = [1.0] * len(table)
     if not total:
-        return []
+        return rate
     top = _largest_eigenvalue([[first[f"m{a}{b}"] / total for b in kinds] for a in kinds])
     want = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    steps: list[tuple[tuple[float, ...], float]] = []
-    momentum, before = 1.0, None
-    for _ in range(STEPS):
-        y = _rate(F.col("p"), steps)[1]
-        got = profiles.withColumn("y", y).agg(*[F.sum(F.col("n") * F.col("y") * p[k] / total).alias(f"s{k}") for k in kinds]).first()
+    y, momentum, before = rate, 1.0, None
+    for step in range(STEPS):
+        got = profiles.agg(*[F.sum(F.col("n") * _by_cell(y) * p[k] / total).alias(f"s{k}") for k in kinds]).first()
         gap = [got[f"s{k}"] - want[k] for k in kinds]
+        new = [max(0.0, a - sum(q * g for q, g in zip(row, gap)) / top) for a, row in zip(y, table)]
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        steps.append((tuple(round(x / top, 12) for x in gap), round((momentum - 1) / after, 12)))
-        momentum = after
-        if before is not None and max(abs(a - b) for a, b in zip(gap, before)) < TOLERANCE / 10 and len(steps) > 8:
+        y = [b + (momentum - 1) / after * (b - a) for a, b in zip(rate, new)]
+        rate, momentum = new, after
+        if before is not None and step >= 8 and max(abs(a - b) for a, b in zip(gap, before)) < TOLERANCE:
             break
         before = gap
-    return steps
+    return [round(r, 9) for r in rate]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, p_good, p_low, p_toxic, rate and copies."""
     model = fit(docs, labels, id_col, text_col)
     found = features(docs, text_col, [F.col(id_col).alias("id")])
-    members = materialise(found.select("id", "n_tokens", model.posterior(F.col("features")).alias("p")), "posteriors")
-    steps = solve(members, targets)
-    rated = members.withColumn("rate", _rate(F.col("p"), steps)[0])
-    return rated.select(F.col("id").alias(id_col), "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies(F.col("id"), F.col("rate")).alias("copies"))
+    members = materialise(found.select("id", "n_tokens", model.cell(F.col("features")).alias("cell")), "posteriors")
+    rate = _by_cell(solve(members, model.table, targets))
+    posterior = [_by_cell([row[k] for row in model.table]).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return members.select(F.col("id").alias(id_col), "n_tokens", *posterior, rate.alias("rate"), copies(F.col("id"), rate).alias("copies"))
 
 
 def copies(key: Column, rate: Column) -> Column:
@@ -205,8 +190,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """The documents, each as often as its copies, with all their columns. Narrow passes; texts are not shuffled."""
     model = fit(docs, labels, id_col, text_col)
     held = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id")])
-    held = held.select("row", "id", "n_tokens", model.posterior(F.col("features")).alias("p"))
-    members = materialise(held.select("n_tokens", "p"), "posteriors")
-    steps = solve(members, targets)
-    times = held.select("row", copies(F.col("id"), _rate(F.col("p"), steps)[0]).alias("times")).filter("times > 0")
+    held = held.select("row", "id", "n_tokens", model.cell(F.col("features")).alias("cell"))
+    members = materialise(held.select("n_tokens", "cell"), "posteriors")
+    rate = _by_cell(solve(members, model.table, targets))
+    times = held.select("row", copies(F.col("id"), rate).alias("times")).filter("times > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ GRAM = 32
 SHALLOW = 8
 MAX_GROUP = 100_000
 SLICE = 1 << 19
+#: Texts handed on in one batch.
+PACKED = 500
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -206,16 +209,26 @@ def repeats(before: list[bytes], after: list[bytes], twice: list[bool]) -> list[
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, key, n_bytes, sha) and the distinct texts (key, text, copies), bucketed by key."""
+    """The documents (id, key, n_bytes, sha) and the distinct texts (key, compressed text, copies), bucketed by key."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(text)).alias("key")
     held = materialise(docs.select(F.col(id_col).alias("id"), key, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "documents")
-    long_enough = docs.select(key, text.alias("text")).filter(F.octet_length("text") >= LENGTH)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            column = batch.column(1).cast(pa.binary())
+            for at in range(0, batch.num_rows, PACKED):
+                some = column.slice(at, PACKED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, PACKED), pa.array([squeeze(t.as_py()) for t in some], pa.binary())], ["key", "text"])
+
+    # texts travel compressed: less to shuffle, and less that the JVM holds at a time
+    long_enough = docs.select(key, text.alias("text")).filter(F.octet_length("text") >= LENGTH).mapInArrow(pack, "key binary, text binary")
     distinct = long_enough.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
-    distinct.write.option("compression", "zstd").bucketBy(n, "key").saveAsTable(name)
+    distinct.write.option("compression", "uncompressed").bucketBy(n, "key").saveAsTable(name)
     _collect_garbage(spark)
     return held, spark.table(name)
 
@@ -230,11 +243,11 @@ def _grams(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).cast(pa.binary())
+            column, unpack = batch.column(1), zstandard.ZstdDecompressor().decompress
             keys, of, kh, kp, n = batch.column(0), [], [], [], []
             held = 0
             for i in range(batch.num_rows):
-                text = column[i].as_py()
+                text = unpack(column[i].as_py())
                 h, _, first, after = runs(text)
                 pair = np.stack((h, payload_keys(text, first, after)), axis=1)
                 pair, times = np.unique(pair, axis=0, return_counts=True)
@@ -255,10 +268,10 @@ def _payloads(wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0).cast(pa.binary())
+            column, unpack = batch.column(0), zstandard.ZstdDecompressor().decompress
             out: list[list] = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                text = column[i].as_py()
+                text = unpack(column[i].as_py())
                 left = {(w["kh"], w["kp"]): w["n"] for w in batch.column(1)[i].as_py()}
                 h, place, first, after = runs(text)
                 signed = zip(h.view(np.int64).tolist(), payload_keys(text, first, after).view(np.int64).tolist(), place.tolist(), first.tolist(), after.tolist())
@@ -334,10 +347,10 @@ def _cut(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).cast(pa.binary())
+            column, unpack = batch.column(1), zstandard.ZstdDecompressor().decompress
             removed, spans, kept = [], [], []
             for i in range(batch.num_rows):
-                text = column[i].as_py()
+                text = unpack(column[i].as_py())
                 found = {(f["kh"], f["kp"]): f["cuts"] for f in batch.column(2)[i].as_py()}
                 h, place, first, after = runs(text)
                 edge = np.zeros(len(text) + 1, np.int32)

@@ -2,5 +2,104 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from routinelens import model
+from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
+from routinelens.operators import causality
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: bool = True):
+    """Register a function under its name with the SQL of the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (PRELUDE if prelude else "") + sql
+        return f
+
+    return put
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.state_changes(spark, sf_dir)
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return causality.annotate(changes(spark, sf_dir))
+
+
+# --- scans -----------------------------------------------------------------------------------------------------------
+
+#: The first week of the driver's events is before the window of the queries that have one.
+START = 1_704_672_000_000_000
+
+
+@query(f"""SELECT sid, us, entity_id, state, old_state FROM base
+    WHERE us >= {START} AND us < (SELECT max(us) FROM base) AND domain <> 'person' AND entity_id NOT LIKE 'sensor.t3%'""")
+def state_changes_scan(spark, sf_dir):
+    from routinelens.sources import recorder
+
+    rows = changes(spark, sf_dir)
+    return recorder.window(rows, START).filter(recorder.included(["person"], ["sensor.t3*"])).select("sid", "us", "entity_id", "state", "old_state")
+
+
+@query("SELECT min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM base")
+def time_bounds(spark, sf_dir):
+    return changes(spark, sf_dir).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT entity_id, domain FROM base")
+def entity_ids(spark, sf_dir):
+    return changes(spark, sf_dir).select("entity_id", "domain").distinct()
+
+
+# --- causality -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT sid, cause, cause_entity, chain_depth FROM ann")
+def root_causes(spark, sf_dir):
+    return annotated(spark, sf_dir).select("sid", "cause", "cause_entity", "chain_depth")
+
+
+@query("SELECT cause, count(*) AS n, cause = 'unknown' AND count(*) >= 0.1 * sum(count(*)) OVER () AS flagged FROM ann GROUP BY cause")
+def cause_histogram(spark, sf_dir):
+    return causality.cause_histogram(annotated(spark, sf_dir))
+
+
+OVERRIDES = """, pend AS (SELECT *, last_value(CASE WHEN cause IN ('automation', 'script') THEN struct_pack(sid := sid, us := us, state := state, by_ := cause_entity) END IGNORE NULLS)
+        OVER (PARTITION BY entity_id ORDER BY us, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ann),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY entity_id, p.sid ORDER BY us, sid) AS n FROM pend WHERE cause = 'human' AND p IS NOT NULL AND state <> p.state),
+    ov AS (SELECT entity_id, us, p.by_ AS automation, p.state AS automation_state, state AS human_state, us - p.us AS delay_us, context
+        FROM firsts WHERE n = 1 AND us - p.us <= 1800000000)
+"""
+#: The driver's events are sparse, so corrections count for half an hour.
+WITHIN = 1800 * SECOND
+
+
+def _overrides(spark, sf_dir):
+    return causality.overrides(annotated(spark, sf_dir), WITHIN)
+
+
+@query(OVERRIDES + "SELECT * FROM ov")
+def overrides(spark, sf_dir):
+    return _overrides(spark, sf_dir)
+
+
+@query(OVERRIDES + """, s AS (SELECT automation, human_state, count(*) AS n FROM ov GROUP BY ALL)
+    SELECT automation, count(*) AS overrides, count(DISTINCT entity_id) AS entities,
+           (SELECT string_agg(human_state || '=' || n, ',' ORDER BY human_state || '=' || n) FROM s WHERE s.automation = ov.automation) AS preferred
+    FROM ov GROUP BY automation""")
+def override_summary(spark, sf_dir):
+    return causality.override_summary(_overrides(spark, sf_dir))
+
+
+@query(OVERRIDES + "SELECT entity_id, us // 86400000000 AS day, count(*) AS n FROM ov GROUP BY ALL")
+def overrides_per_entity_day(spark, sf_dir):
+    return _overrides(spark, sf_dir).groupBy("entity_id", model.day(F.col("us")).alias("day")).agg(F.count(F.lit(1)).alias("n"))

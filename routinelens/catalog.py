@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from routinelens import model
 from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
-from routinelens.operators import causality
+from routinelens.functions import circular
+from routinelens.operators import association, causality, habits, sequences, signals
+from routinelens.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,8 +33,15 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.state_changes(spark, sf_dir)
 
 
+_ANNOTATED: dict[tuple[str, str], DataFrame] = {}
+
+
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return causality.annotate(changes(spark, sf_dir))
+    """The changes with their causes: written once per application and input, and read by every query that needs them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ANNOTATED:
+        _ANNOTATED[key] = materialise(causality.annotate(changes(spark, sf_dir)), "annotated")
+    return _ANNOTATED[key]
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
@@ -103,3 +112,234 @@ def override_summary(spark, sf_dir):
 @query(OVERRIDES + "SELECT entity_id, us // 86400000000 AS day, count(*) AS n FROM ov GROUP BY ALL")
 def overrides_per_entity_day(spark, sf_dir):
     return _overrides(spark, sf_dir).groupBy("entity_id", model.day(F.col("us")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- human actions and habits ----------------------------------------------------------------------------------------
+
+ACTS = """, acts AS (SELECT sid, us, entity_id, domain, lower(state) AS state, context, day, minute, wd FROM ann
+    WHERE cause = 'human' AND domain IN ('light', 'media_player', 'switch') AND old_state IS NOT NULL AND old_state <> state)
+"""
+
+
+def _actions(spark, sf_dir):
+    return habits.human_actions(annotated(spark, sf_dir))
+
+
+@query(ACTS + "SELECT entity_id, state, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM acts GROUP BY ALL")
+def human_actions(spark, sf_dir):
+    return _actions(spark, sf_dir).groupBy("entity_id", "state").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query("SELECT domain, count(*) AS n FROM ann WHERE cause = 'human' AND old_state IS NOT NULL AND old_state <> state GROUP BY domain")
+def human_actions_by_domain(spark, sf_dir):
+    rows = annotated(spark, sf_dir).filter((F.col("cause") == "human") & model.is_transition())
+    return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT entity_id, count(*) FILTER (cause <> 'human') AS passive FROM ann WHERE domain IN ('light', 'media_player', 'switch')
+    GROUP BY entity_id HAVING count(*) FILTER (cause = 'human' AND us >= 1706400000000000) = 0 OR entity_id = 'switch.z1'""")
+def unused_entities(spark, sf_dir):
+    """Entities that nobody touched since the last days; one is kept to show its passive count."""
+    rows = annotated(spark, sf_dir).filter(F.col("domain").isin("light", "media_player", "switch"))
+    touched = rows.filter((F.col("cause") == "human") & (F.col("us") >= 1_706_400_000_000_000) & (F.col("entity_id") != "switch.z1")).select("entity_id").distinct()
+    passive = rows.groupBy("entity_id").agg(F.count_if(F.col("cause") != "human").alias("passive"))
+    return passive.join(touched, "entity_id", "left_anti")
+
+
+@query(ACTS + """, z AS (SELECT entity_id, state, count(*) AS n, sum(sin(minute * 2 * pi() / 1440)) AS s, sum(cos(minute * 2 * pi() / 1440)) AS c FROM acts GROUP BY ALL)
+    SELECT entity_id, state, n, round((atan2(s, c) * 1440 / (2 * pi()) + 1440) % 1440, 6) AS mean_minute,
+    CASE WHEN n < 2 THEN 0.0 ELSE round(sqrt(-2 * ln(greatest(least(sqrt((s / n) ** 2 + (c / n) ** 2), 1.0), 1e-9))) * 1440 / (2 * pi()), 6) END AS spread FROM z""")
+def circular_stats(spark, sf_dir):
+    m = F.col("minute")
+    return _actions(spark, sf_dir).groupBy("entity_id", "state").agg(F.count(F.lit(1)).alias("n"), F.round(circular.mean(m), 6).alias("mean_minute"), F.round(circular.std(m), 6).alias("spread"))
+
+
+def _bounds(spark, sf_dir):
+    return tuple(changes(spark, sf_dir).agg(F.min("us"), F.max("us")).first())
+
+
+DAYS = """, span AS (SELECT min(us) // 86400000000 AS a, max(us) // 86400000000 AS b FROM base),
+    cal AS (SELECT unnest(generate_series(a, b)) AS dn FROM span), f(rank, filter, low, high) AS (VALUES (0, 'all', 0, 6), (1, 'weekdays', 0, 4), (2, 'weekends', 5, 6)),
+    elig AS (SELECT filter, count(*) AS days FROM cal JOIN f ON (dn + 3) % 7 BETWEEN low AND high GROUP BY filter)
+"""
+
+
+@query(DAYS + "SELECT filter, days FROM elig")
+def eligible_days(spark, sf_dir):
+    return habits.eligible_days(*_bounds(spark, sf_dir), spark)
+
+
+FIRSTS = ACTS + DAYS + """, one AS (SELECT entity_id, state, day, min_by(minute, us) AS minute, min(us) AS us, min(wd) AS wd FROM acts GROUP BY ALL),
+    daily AS (SELECT one.*, rank, filter FROM one JOIN f ON wd BETWEEN low AND high)
+"""
+
+
+@query(FIRSTS + "SELECT entity_id, state, day, minute, us, filter FROM daily")
+def first_per_day(spark, sf_dir):
+    return habits.first_per_day(_actions(spark, sf_dir)).select("entity_id", "state", "day", "minute", "us", "filter")
+
+
+CLUSTERS = FIRSTS + """, grp AS (SELECT entity_id, state, rank, filter FROM daily GROUP BY ALL HAVING count(*) >= 3),
+    d AS (SELECT daily.* FROM daily JOIN grp USING (entity_id, state, rank, filter)),
+    cen AS (SELECT DISTINCT entity_id, state, rank, filter, minute AS centre FROM d),
+    near AS (SELECT c.*, d.minute FROM cen c JOIN d USING (entity_id, state, rank, filter) WHERE least(abs(minute - centre), 1440 - abs(minute - centre)) <= 60),
+    cs AS (SELECT entity_id, state, rank, filter, centre, count(*) AS m, sum(sin(minute * 2 * pi() / 1440)) AS s, sum(cos(minute * 2 * pi() / 1440)) AS c FROM near GROUP BY ALL),
+    top AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY entity_id, state, rank ORDER BY m DESC, centre) = 1),
+    ref AS (SELECT *, (atan2(s, c) * 1440 / (2 * pi()) + 1440) % 1440 AS mean FROM top),
+    kept AS (SELECT ref.entity_id, ref.state, ref.rank, ref.filter, m, centre, mean, count(*) FILTER (least(abs(minute - mean), 1440 - abs(minute - mean)) <= 60) AS k
+             FROM ref JOIN d USING (entity_id, state, rank, filter) GROUP BY ALL),
+    cl AS (SELECT entity_id, state, rank, filter, CASE WHEN k >= m THEN mean ELSE centre END AS centre, greatest(k, m) AS members FROM kept)
+"""
+
+
+@query(CLUSTERS + "SELECT entity_id, state, filter, round(centre, 6) AS centre, members FROM cl")
+def tod_clusters(spark, sf_dir):
+    """Bandwidth 60 minutes and three days: the driver's events have no real habits."""
+    found = habits.clusters(habits.first_per_day(_actions(spark, sf_dir)), 60, 3)
+    return found.select("entity_id", "state", "filter", F.round("centre", 6).alias("centre"), "members")
+
+
+@query(CLUSTERS + """, busy AS (SELECT entity_id, state FROM acts GROUP BY ALL HAVING count(*) >= 3),
+    h AS (SELECT d.entity_id, d.state, d.rank, d.filter, count(*) AS hits FROM d JOIN cl USING (entity_id, state, rank, filter) JOIN busy USING (entity_id, state)
+        WHERE least(abs(minute - centre), 1440 - abs(minute - centre)) <= 60 GROUP BY ALL HAVING count(*) >= 3),
+    r AS (SELECT h.*, days, least(hits / days, 1.0) AS consistency FROM h JOIN elig USING (filter))
+    SELECT entity_id, state, filter, hits, days, round(consistency, 9) AS consistency, round(consistency * least(hits / 3, 2.0) / 2, 9) AS score
+    FROM (SELECT *, CASE WHEN rank = 0 THEN consistency ELSE consistency - 0.15 END AS worth FROM r)
+    QUALIFY row_number() OVER (PARTITION BY entity_id, state ORDER BY worth DESC, rank) = 1 AND consistency >= 0.1""")
+def tod_habits(spark, sf_dir):
+    found = habits.time_of_day(_actions(spark, sf_dir), *_bounds(spark, sf_dir), bandwidth=60, min_occurrences=3, min_consistency=0.1)
+    return found.select("entity_id", "state", "filter", "hits", "days", F.round("consistency", 9).alias("consistency"), F.round("score", 9).alias("score"))
+
+
+# --- signals ---------------------------------------------------------------------------------------------------------
+
+
+def _points(spark, sf_dir):
+    return signals.build(changes(spark, sf_dir))
+
+
+def _probes(spark, sf_dir):
+    """The sensor of an action: that of its number."""
+    rows = _actions(spark, sf_dir)
+    return rows.select(F.col("sid").alias("action"), F.concat(F.lit("sensor.t"), F.substring("entity_id", -1, 1)).alias("entity_id"), "us")
+
+
+def _asof_sql(stale: str) -> str:
+    return ACTS + f"""SELECT a.sid AS action, 'sensor.t' || right(a.entity_id, 1) AS entity_id, {stale} AS num
+        FROM acts a ASOF LEFT JOIN base b ON b.entity_id = 'sensor.t' || right(a.entity_id, 1) AND a.us >= b.us"""
+
+
+@query(_asof_sql("b.num"))
+def signal_asof(spark, sf_dir):
+    return signals.value_at(_probes(spark, sf_dir), _points(spark, sf_dir)).select("action", "entity_id", "num")
+
+
+@query(_asof_sql("CASE WHEN a.us - b.us <= 10800000000 THEN b.num END"))
+def signal_asof_stale_3h(spark, sf_dir):
+    return signals.value_at(_probes(spark, sf_dir), _points(spark, sf_dir), 3 * HOUR).select("action", "entity_id", "num")
+
+
+@query(_asof_sql("CASE WHEN a.us - b.us <= 21600000000 THEN b.num END"))
+def signal_asof_stale_6h(spark, sf_dir):
+    return signals.value_at(_probes(spark, sf_dir), _points(spark, sf_dir), 6 * HOUR).select("action", "entity_id", "num")
+
+
+@query("SELECT entity_id, count(*) AS n, count(num) = count(*) AS numeric, min(num) AS low, max(num) AS high, count(DISTINCT state) AS states FROM base GROUP BY entity_id")
+def signal_catalog(spark, sf_dir):
+    return signals.catalogue(_points(spark, sf_dir))
+
+
+@query("""SELECT entity_id, state AS str, row_number() OVER (PARTITION BY entity_id ORDER BY u, s) AS rank
+    FROM (SELECT entity_id, state, min(us) AS u, min(sid) AS s FROM base GROUP BY ALL) QUALIFY rank <= 20""")
+def signal_values(spark, sf_dir):
+    return signals.distinct_values(_points(spark, sf_dir))
+
+
+@query("""SELECT entity_id, count(*) AS n, round(sum(num), 2) AS total FROM (
+        SELECT entity_id, us, num FROM base WHERE domain = 'sensor' AND day_ = 19723
+        UNION ALL SELECT s.entity_id, s.us, s.num FROM (SELECT entity_id, (us // 3600000000) * 3600000000 + 3600000000 AS us, avg(num) AS num FROM base WHERE domain = 'sensor' GROUP BY ALL) s
+        JOIN (SELECT entity_id, min(us) AS a, max(us) AS b FROM base WHERE domain = 'sensor' AND us // 86400000000 = 19723 GROUP BY entity_id HAVING count(*) < 2400) r USING (entity_id)
+        WHERE (s.us < a OR s.us > b) AND s.us < 1706400000000000) GROUP BY entity_id""".replace("day_", "us // 86400000000"))
+def signal_top_up(spark, sf_dir):
+    """The first day's sensor points, topped up by hourly means of the whole history."""
+    points = _points(spark, sf_dir).filter(F.col("entity_id").startswith("sensor."))
+    hourly = points.groupBy("entity_id", (F.floor(F.col("us") / HOUR) * HOUR).alias("start_us")).agg(F.avg("num").alias("mean"), F.max("num").alias("max"))
+    topped = signals.top_up(points.filter(model.day(F.col("us")) == 19723), hourly, 1_706_400_000_000_000, few=2400)
+    return topped.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 2).alias("total"))
+
+
+# --- association -----------------------------------------------------------------------------------------------------
+
+#: Baskets reach five minutes to either side.
+AROUND = 300 * SECOND
+ITEM_DOMAINS = ("light", "media_player", "switch", "person")
+BASKETS = """, it AS (SELECT sid, us, entity_id, entity_id || '=' || lower(state) AS item, cause FROM ann
+        WHERE old_state IS NOT NULL AND old_state <> state AND cause IN ('human', 'automation', 'device') AND domain IN ('light', 'media_player', 'switch', 'person')),
+    bk AS (SELECT a.sid AS anchor, b.item, min(b.us) AS us FROM it a JOIN it b ON b.us BETWEEN a.us - 300000000 AND a.us + 300000000 WHERE a.cause = 'human' GROUP BY ALL),
+    bs AS (SELECT * FROM bk QUALIFY count(*) OVER (PARTITION BY anchor) > 1),
+    pr AS (SELECT x.item AS a, y.item AS c, count(*) AS n, count(*) FILTER (x.us < y.us) AS forward FROM bs x JOIN bs y ON x.anchor = y.anchor AND x.item <> y.item GROUP BY ALL)
+"""
+
+
+def _items(spark, sf_dir):
+    return association.items(annotated(spark, sf_dir), ITEM_DOMAINS)
+
+
+@query(BASKETS + "SELECT anchor, item, us FROM bs")
+def association_baskets(spark, sf_dir):
+    return association.baskets(_items(spark, sf_dir), AROUND)
+
+
+@query(BASKETS + "SELECT a, c, n, forward FROM pr")
+def association_pairs(spark, sf_dir):
+    return association.pairs(association.baskets(_items(spark, sf_dir), AROUND))
+
+
+@query(BASKETS + """, tot AS (SELECT count(DISTINCT anchor) AS t FROM bs), si AS (SELECT item, count(*) AS n FROM bs GROUP BY item),
+    hand AS (SELECT item, count(*) AS n FROM it WHERE cause = 'human' GROUP BY item),
+    r AS (SELECT p.a, p.c, p.n, p.n / t AS support, p.n / x.n AS confidence, p.n * t / (x.n * y.n) AS lift, p.forward, coalesce(q.forward, 0) AS backward
+        FROM pr p LEFT JOIN pr q ON q.a = p.c AND q.c = p.a JOIN si x ON x.item = p.a JOIN si y ON y.item = p.c JOIN hand ON hand.item = p.c, tot
+        WHERE t >= 10 AND hand.n >= 3 AND split_part(p.a, '=', 1) <> split_part(p.c, '=', 1) AND split_part(p.c, '.', 1) IN ('light', 'media_player', 'switch'))
+    SELECT a, c, n, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift, forward, backward, round(least(confidence * least(lift / 3, 1.0), 1.0), 9) AS score FROM r
+    WHERE support >= 0.01 AND confidence >= 0.02 AND lift >= 0.5 AND forward >= backward AND (split_part(a, '.', 1) NOT IN ('light', 'media_player', 'switch') OR forward >= 1.0 * backward)
+    QUALIFY row_number() OVER (PARTITION BY split_part(a, '=', 1), c ORDER BY confidence DESC, lift DESC, a) = 1""")
+def association_rules(spark, sf_dir):
+    """Low bars: the driver's events are independent of each other."""
+    found = _items(spark, sf_dir)
+    made = association.rules(association.baskets(found, AROUND), found, min_support=0.01, min_confidence=0.02, min_lift=0.5, ratio=1.0)
+    return made.select("a", "c", "n", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")], "forward", "backward", F.round("score", 9).alias("score"))
+
+
+# --- sequences -------------------------------------------------------------------------------------------------------
+
+SESSIONS = """, us_ AS (SELECT sid, us, context, cause, chain_depth, entity_id || '=' || lower(state) AS item FROM ann
+        WHERE old_state IS NOT NULL AND old_state <> state AND cause <> 'unknown' AND num IS NULL),
+    mk AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, sid) <= 300000000 THEN 0 ELSE 1 END AS st FROM us_),
+    ss AS (SELECT *, sum(st) OVER (ORDER BY us, sid) AS g FROM mk), se AS (SELECT *, min(sid) OVER (PARTITION BY g) AS session_id FROM ss),
+    sm AS (SELECT session_id, count(*) AS n, count(*) FILTER (cause = 'human') AS human, min(us) AS start_us, max(us) AS end_us FROM se GROUP BY session_id),
+    sq AS (SELECT session_id AS seq_id, list(item ORDER BY u, s) AS items FROM (SELECT session_id, item, min(us) AS u, min(sid) AS s FROM se JOIN sm USING (session_id) WHERE n > 1 AND human > 0 GROUP BY ALL)
+        GROUP BY session_id HAVING count(*) > 1)
+"""
+GAP = 300 * SECOND
+
+
+def _sessions(spark, sf_dir):
+    return sequences.sessions(sequences.usable(annotated(spark, sf_dir)), GAP)
+
+
+@query(SESSIONS + "SELECT session_id, n, human, start_us, end_us FROM sm")
+def activity_sessions(spark, sf_dir):
+    return sequences.session_summary(_sessions(spark, sf_dir))
+
+
+@query(SESSIONS + "SELECT seq_id, array_to_string(items, '>') AS items FROM sq")
+def session_sequences(spark, sf_dir):
+    return sequences.session_sequences(_sessions(spark, sf_dir)).select("seq_id", F.array_join("items", ">").alias("items"))
+
+
+@query(SESSIONS + """, pl AS (SELECT seq_id, unnest(items) AS item, generate_subscripts(items, 1) AS pos FROM sq),
+    p2 AS (SELECT a.item AS i1, b.item AS i2, count(*) AS support FROM pl a JOIN pl b ON a.seq_id = b.seq_id AND a.pos < b.pos GROUP BY ALL HAVING count(*) >= 4),
+    p3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS support FROM pl a JOIN pl b ON a.seq_id = b.seq_id AND a.pos < b.pos JOIN pl c ON c.seq_id = b.seq_id AND b.pos < c.pos GROUP BY ALL HAVING count(*) >= 4)
+    SELECT i1 || '>' || i2 AS pattern, 2 AS length, support FROM p2 UNION ALL SELECT i1 || '>' || i2 || '>' || i3, 3, support FROM p3""")
+def sequence_patterns(spark, sf_dir):
+    return sequences.patterns(sequences.session_sequences(_sessions(spark, sf_dir)), 4)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from routinelens import model
 from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
 from routinelens.functions import circular
-from routinelens.operators import association, causality, habits, sequences, signals
+from routinelens.operators import association, causality, conditional, crossings, habits, replay, sequences, signals
 from routinelens.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,3 +343,208 @@ def session_sequences(spark, sf_dir):
     SELECT i1 || '>' || i2 AS pattern, 2 AS length, support FROM p2 UNION ALL SELECT i1 || '>' || i2 || '>' || i3, 3, support FROM p3""")
 def sequence_patterns(spark, sf_dir):
     return sequences.patterns(sequences.session_sequences(_sessions(spark, sf_dir)), 4)
+
+
+# --- conditions ------------------------------------------------------------------------------------------------------
+
+BACKGROUND = ACTS + """, w AS (SELECT min(us) AS a, max(us) AS b FROM base), la AS (SELECT * FROM acts WHERE domain = 'light' AND entity_id LIKE '%0' AND minute < 180),
+    ki AS (SELECT DISTINCT entity_id, state FROM la), ti AS (SELECT DISTINCT entity_id, state, us % 86400000000 AS tod FROM la),
+    bu AS (SELECT DISTINCT entity_id, state, (us - a) // 86400000000 AS n FROM la, w),
+    al AS (SELECT entity_id, state, unnest(generate_series(0, (b - a) // 86400000000)) AS n FROM ki, w),
+    bg AS (SELECT entity_id, state, a - a % 86400000000 + n * 86400000000 + tod AS us FROM (SELECT * FROM al ANTI JOIN bu USING (entity_id, state, n)) JOIN ti USING (entity_id, state), w
+        WHERE a - a % 86400000000 + n * 86400000000 + tod >= a AND a - a % 86400000000 + n * 86400000000 + tod < b)
+"""
+
+
+def _light_actions(spark, sf_dir):
+    return _actions(spark, sf_dir).filter("domain = 'light' and entity_id like '%0' and minute < 180").select("entity_id", "state", "us")
+
+
+def _background(spark, sf_dir):
+    return conditional.background(_light_actions(spark, sf_dir), *_bounds(spark, sf_dir))
+
+
+@query(BACKGROUND + "SELECT entity_id, state, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM bg GROUP BY ALL")
+def background_samples(spark, sf_dir):
+    return _background(spark, sf_dir).groupBy("entity_id", "state").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+def _samples(spark, sf_dir, signal: str):
+    marked = _light_actions(spark, sf_dir).withColumn("positive", F.lit(True)).unionByName(_background(spark, sf_dir).withColumn("positive", F.lit(False)))
+    probes = marked.select(F.col("entity_id").alias("kind_entity"), "state", "positive", "us", F.lit(signal).alias("entity_id"))
+    read = signals.value_at(probes, _points(spark, sf_dir).filter(F.col("entity_id") == signal), 3 * HOUR)
+    return read.select(F.col("kind_entity").alias("entity_id"), "state", F.lit(signal).alias("signal"), "positive", "us", "num", "str")
+
+
+SAMPLES = BACKGROUND + """, mk AS (SELECT entity_id, state, us, true AS positive FROM la UNION ALL SELECT entity_id, state, us, false FROM bg),
+    sa AS (SELECT m.entity_id, m.state, m.us, positive, CASE WHEN m.us - b.us <= 10800000000 THEN b.num END AS num, CASE WHEN m.us - b.us <= 10800000000 THEN b.state END AS str
+        FROM (SELECT *, 'SIGNAL' AS sig FROM mk) m ASOF LEFT JOIN base b ON b.entity_id = m.sig AND m.us >= b.us)
+"""
+
+
+@query(SAMPLES.replace("SIGNAL", "sensor.t0") + """, v AS (SELECT * FROM sa WHERE num IS NOT NULL), t AS (SELECT entity_id, state, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL)
+    SELECT entity_id, state, np, nb, count(DISTINCT round(num, 2)) AS cuts, round(min(num) FILTER (positive), 6) AS low, round(max(num) FILTER (positive), 6) AS high FROM v JOIN t USING (entity_id, state) GROUP BY ALL""")
+def condition_samples(spark, sf_dir):
+    v = _samples(spark, sf_dir, "sensor.t0").filter("num is not null")
+    return v.groupBy("entity_id", "state").agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nb"), F.countDistinct(F.round("num", 2)).alias("cuts"), F.round(F.min(F.when(F.col("positive"), F.col("num"))), 6).alias("low"), F.round(F.max(F.when(F.col("positive"), F.col("num"))), 6).alias("high"))
+
+
+@query(SAMPLES.replace("SIGNAL", "media_player.z1") + """, v AS (SELECT * FROM sa WHERE str IS NOT NULL), t AS (SELECT entity_id, state, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL),
+    g AS (SELECT entity_id, state, str, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS b, min(us) FILTER (positive) AS f FROM v GROUP BY ALL)
+    SELECT entity_id, state, str AS value, round(p / np, 9) AS coverage, round(greatest(b, 0.5) / nb, 9) AS baseline FROM g JOIN t USING (entity_id, state) WHERE p > 0 AND np >= 4 AND nb >= 10
+    QUALIFY row_number() OVER (PARTITION BY entity_id, state ORDER BY p DESC, f) = 1""")
+def categorical_split(spark, sf_dir):
+    found = conditional.categorical_split(_samples(spark, sf_dir, "media_player.z1"))
+    return found.select("entity_id", "state", "value", F.round("coverage", 9).alias("coverage"), F.round("baseline", 9).alias("baseline"))
+
+
+@query("""SELECT CAST(s AS VARCHAR) AS signal, 'below' AS direction, 10.0 AS cut, 1.0 AS coverage FROM (VALUES ('planted')) x(s)""", prelude=False)
+def numeric_stump(spark, sf_dir):
+    """A planted case: eight actions all below ten, twenty other moments above."""
+    rows = [("e", "on", "planted", True, 3.0 + i * 0.5) for i in range(8)] + [("e", "on", "planted", False, 10.0 + i) for i in range(20)]
+    found = conditional.numeric_stump(spark.createDataFrame(rows, "entity_id string, state string, signal string, positive boolean, num double"))
+    return found.select("signal", "direction", "cut", "coverage")
+
+
+# --- crossings and prices --------------------------------------------------------------------------------------------
+
+CROSS = """, sp AS (SELECT entity_id, us, num, row_number() OVER (PARTITION BY entity_id ORDER BY num) - 1 AS rk, count(*) OVER (PARTITION BY entity_id) AS n, lag(num) OVER (PARTITION BY entity_id ORDER BY us, sid) AS prev FROM base WHERE num IS NOT NULL),
+    th AS (SELECT DISTINCT entity_id, round(num, 1) AS threshold FROM sp WHERE n >= 20 AND rk IN (SELECT n * q // 10 FROM generate_series(1, 9) g(q))),
+    cr AS (SELECT entity_id, threshold, CASE WHEN prev >= threshold AND threshold > num THEN 'falling' WHEN prev <= threshold AND threshold < num THEN 'rising' END AS direction, us FROM sp JOIN th USING (entity_id) WHERE prev IS NOT NULL)
+"""
+
+
+@query(CROSS + "SELECT entity_id, threshold, direction, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM cr WHERE direction IS NOT NULL GROUP BY ALL")
+def threshold_crossings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    found = crossings.crossings(points, crossings.deciles(points))
+    return found.groupBy("entity_id", "threshold", "direction").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query()
+def crossing_scores(spark, sf_dir):
+    """Order-dependent matching; tests hold it against a plain loop."""
+    points = _points(spark, sf_dir).filter("entity_id = 'sensor.t0'")
+    acts = _actions(spark, sf_dir).filter("entity_id = 'light.z0'").select(F.lit("sensor.t0").alias("entity_id"), "us")
+    return crossings.matched(crossings.crossings(points, crossings.deciles(points)), acts, 900 * SECOND)
+
+
+@query("SELECT entity_id, CAST((us // 3600000000) % 24 AS INT) AS hour, round(avg(num), 6) AS level FROM base WHERE num IS NOT NULL GROUP BY ALL")
+def hourly_profile(spark, sf_dir):
+    return crossings.hourly_profile(_points(spark, sf_dir)).select("entity_id", "hour", F.round("level", 6).alias("level"))
+
+
+@query("""SELECT a.entity_id, a.hour, round((a.level + b.level) / 2, 6) AS cost FROM (SELECT entity_id, CAST((us // 3600000000) % 24 AS INT) AS hour, avg(num) AS level FROM base WHERE num IS NOT NULL GROUP BY ALL) a
+    JOIN (SELECT entity_id, CAST((us // 3600000000) % 24 AS INT) AS hour, avg(num) AS level FROM base WHERE num IS NOT NULL GROUP BY ALL) b ON a.entity_id = b.entity_id AND b.hour = (a.hour + 1) % 24
+    QUALIFY count(*) OVER (PARTITION BY a.entity_id) >= 12 AND row_number() OVER (PARTITION BY a.entity_id ORDER BY round((a.level + b.level) / 2, 9), a.hour) = 1""")
+def cheapest_block(spark, sf_dir):
+    return crossings.cheapest_block(crossings.hourly_profile(_points(spark, sf_dir))).withColumn("cost", F.round("cost", 6))
+
+
+@query(ACTS + """, pr AS (SELECT num, row_number() OVER (ORDER BY num) - 1 AS rk, count(*) OVER () AS n FROM base WHERE entity_id = 'sensor.t0'), cut AS (SELECT num AS cut FROM pr WHERE rk = n * 2 // 3),
+    rn AS (SELECT a.entity_id, CASE WHEN a.us - b.us <= 7200000000 THEN b.num END AS num FROM (SELECT *, 'sensor.t0' AS sig FROM acts WHERE domain = 'switch' AND state = 'on') a ASOF LEFT JOIN base b ON b.entity_id = a.sig AND a.us >= b.us)
+    SELECT entity_id, 'sensor.t0' AS signal, cut, count(*) AS runs, count(*) FILTER (num >= cut) AS expensive FROM rn, cut WHERE num IS NOT NULL GROUP BY ALL""")
+def expensive_share(spark, sf_dir):
+    price = _points(spark, sf_dir).filter("entity_id = 'sensor.t0'")
+    runs = _actions(spark, sf_dir).filter("domain = 'switch' and state = 'on'").select(F.col("entity_id").alias("device"), "us", F.lit("sensor.t0").alias("entity_id"))
+    read = signals.value_at(runs, price, 2 * HOUR).select(F.col("device").alias("entity_id"), F.col("entity_id").alias("signal"), "num")
+    return crossings.expensive_share(read, price)
+
+
+# --- replay ----------------------------------------------------------------------------------------------------------
+
+#: Rules written for the driver's events: a clock rule, a state rule and a numeric rule.
+RULES = [
+    ("clock", "time", 390, None, None, None, None, "light.z0", "on"),
+    ("arrive", "state", None, "person.p1", "home", None, None, "light.z1", "on"),
+    ("change", "state", None, "person.p2", None, None, None, "switch.z2", "off"),
+    ("high", "numeric", None, "sensor.t0", None, 60.0, None, "light.z0", "on"),
+]
+RULE_SCHEMA = "rule_id string, kind string, at_minute int, entity_id string, to_state string, above double, below double, target_entity string, target_state string"
+RULES_SQL = ACTS + """, rl AS (SELECT * FROM (VALUES ('clock', 'light.z0', 'on'), ('arrive', 'light.z1', 'on'), ('change', 'switch.z2', 'off'), ('high', 'light.z0', 'on')) v(rule_id, te, ts_)),
+    w AS (SELECT min(us) AS a, max(us) AS b FROM base),
+    hist AS (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY us, sid) AS pv, lag(num) OVER (PARTITION BY entity_id ORDER BY us, sid) AS pn, row_number() OVER (PARTITION BY entity_id ORDER BY us, sid) AS rn FROM base),
+    fr AS (SELECT 'clock' AS rule_id, d * 86400000000 + 23400000000 AS us, 'time' AS kind FROM (SELECT unnest(generate_series(a // 86400000000, b // 86400000000)) AS d, a, b FROM w) WHERE d * 86400000000 + 23400000000 BETWEEN a AND b
+        UNION ALL SELECT 'arrive', us, 'state' FROM hist WHERE entity_id = 'person.p1' AND state = 'home' AND pv IS DISTINCT FROM 'home'
+        UNION ALL SELECT 'change', us, 'state' FROM hist WHERE entity_id = 'person.p2' AND pv <> state
+        UNION ALL SELECT 'high', us, 'numeric' FROM hist WHERE entity_id = 'sensor.t0' AND rn > 1 AND num > 60 AND NOT pn > 60),
+    tr AS (SELECT rule_id, us, sid FROM acts JOIN rl ON te = entity_id AND ts_ = state)
+"""
+
+
+def _rules(spark):
+    return spark.createDataFrame(RULES, RULE_SCHEMA)
+
+
+def _fires(spark, sf_dir):
+    return replay.all_fires(_rules(spark), _points(spark, sf_dir), *_bounds(spark, sf_dir))
+
+
+@query(RULES_SQL + "SELECT rule_id, us, kind FROM fr")
+def rule_fires(spark, sf_dir):
+    return _fires(spark, sf_dir)
+
+
+@query(RULES_SQL + "SELECT rule_id, us, kind FROM fr WHERE (us // 86400000000 + 3) % 7 <= 4 AND ((us // 60000000) % 1440 >= 1320 OR (us // 60000000) % 1440 <= 420)")
+def condition_filter(spark, sf_dir):
+    """Weekdays from 22:00 around midnight to 07:00."""
+    return _fires(spark, sf_dir).filter(replay.time_condition(1320, 420, [0, 1, 2, 3, 4]))
+
+
+COLLAPSE = """, od AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY us) AS i FROM fr),
+    bc AS (SELECT rule_id, us, kind, i, us AS last, true AS keep FROM od WHERE i = 1
+        UNION ALL SELECT o.rule_id, o.us, o.kind, o.i, CASE WHEN o.us - b.last > 3600000000 THEN o.us ELSE b.last END, o.us - b.last > 3600000000 FROM bc b JOIN od o ON o.rule_id = b.rule_id AND o.i = b.i + 1)
+"""
+
+
+@query(RULES_SQL + COLLAPSE + "SELECT rule_id, us, kind FROM bc WHERE keep")
+def burst_collapse(spark, sf_dir):
+    """An hour instead of a minute, as the driver's events are sparse."""
+    return replay.collapse(_fires(spark, sf_dir), HOUR)
+
+
+@query(RULES_SQL + "SELECT rule_id, us, sid FROM tr")
+def ground_truth(spark, sf_dir):
+    return replay.ground_truth(_rules(spark), _actions(spark, sf_dir))
+
+
+def _matched(spark, sf_dir):
+    return replay.match(_fires(spark, sf_dir), replay.ground_truth(_rules(spark), _actions(spark, sf_dir)), 900 * SECOND)
+
+
+MATCH = """, nf AS (SELECT *, CASE kind WHEN 'time' THEN 900000000 ELSE 300000000 END AS tol, row_number() OVER (PARTITION BY rule_id ORDER BY us) AS i FROM fr),
+    tl AS (SELECT rule_id, list(us ORDER BY us) AS free FROM tr GROUP BY rule_id),
+    mt AS (SELECT rule_id, CAST(0 AS BIGINT) AS i, free, CAST(NULL AS BIGINT) AS us, CAST(NULL AS VARCHAR) AS what FROM tl
+        UNION ALL SELECT n.rule_id, n.i, CASE WHEN n.hit IS NULL THEN n.free ELSE list_filter(n.free, lambda x: x <> n.hit) END, n.us, CASE WHEN n.hit IS NULL THEN 'false' ELSE 'true' END
+        FROM (SELECT f.rule_id, f.i, f.us, m.free, list_min(list_transform(list_filter(m.free, lambda x: abs(x - f.us) <= f.tol), lambda x: {'d': abs(x - f.us), 'u': x})).u AS hit FROM mt m JOIN nf f ON f.rule_id = m.rule_id AND f.i = m.i + 1) n),
+    ct AS (SELECT rule_id, count(*) FILTER (what = 'true') AS true_fires, count(*) FILTER (what = 'false') AS false_fires, len(arg_max(free, i)) AS missed FROM mt GROUP BY rule_id)
+"""
+
+
+@query(RULES_SQL + MATCH + "SELECT rule_id, true_fires, false_fires, missed FROM ct")
+def backtest_match(spark, sf_dir):
+    return replay.counts(_matched(spark, sf_dir))
+
+
+@query(RULES_SQL + MATCH + """, g AS (SELECT *, true_fires / greatest(true_fires + false_fires, 1) AS p, true_fires / greatest(true_fires + missed, 1) AS r, false_fires * 7.0 / 30 AS fw FROM ct)
+    SELECT rule_id, round(p, 9) AS precision, round(r, 9) AS recall, round(fw, 6) AS false_week,
+    array_to_string(list_filter([CASE WHEN true_fires < 3 THEN 'few' END, CASE WHEN p < 0.7 THEN 'precision' END, CASE WHEN r < 0.2 THEN 'recall' END, CASE WHEN fw > 3 THEN 'noisy' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+def backtest_gates(spark, sf_dir):
+    rated = replay.gates(replay.counts(_matched(spark, sf_dir)), 30.0)
+    return rated.select("rule_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("false_week", 6).alias("false_week"), "reasons")
+
+
+@query()
+def holdout_verdicts(spark, sf_dir):
+    """Full window against the held-out last days; the parts are those of backtest_gates."""
+    start, end = _bounds(spark, sf_dir)
+    cut = replay.split(start, end)
+    fires, truth = _fires(spark, sf_dir), replay.ground_truth(_rules(spark), _actions(spark, sf_dir))
+    part = lambda low, high: replay.counts(replay.match(fires.filter(F.col("us").between(low, high)), truth.filter(F.col("us").between(low, high)), 900 * SECOND))
+    return replay.verdicts(part(start, end), part(start, cut), part(cut, end), (end - start) / DAY, (end - cut) / DAY, min_true=1, min_precision=0.01, min_recall=0.01, max_false_week=500.0)
+
+
+@query(RULES_SQL + MATCH + "SELECT rule_id, us, what = 'true' AS matched FROM mt WHERE i > 0 AND us > 1706000000000000")
+def shadow_fires(spark, sf_dir):
+    """Each fire since a time, with whether someone did what the rule would have done."""
+    return _matched(spark, sf_dir).filter("what <> 'missed' and us > 1706000000000000").select("rule_id", "us", (F.col("what") == "true").alias("matched"))

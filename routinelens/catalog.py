@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from routinelens import model
 from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
 from routinelens.functions import circular
-from routinelens.operators import association, causality, conditional, crossings, habits, replay, sequences, signals
+from routinelens.learn import home_mode as home
+from routinelens.learn import ranking
+from routinelens.operators import activity, association, causality, conditional, conflicts, crossings, dimensions, habits, health, replay, sequences, signals, store
 from routinelens.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,3 +550,169 @@ def holdout_verdicts(spark, sf_dir):
 def shadow_fires(spark, sf_dir):
     """Each fire since a time, with whether someone did what the rule would have done."""
     return _matched(spark, sf_dir).filter("what <> 'missed' and us > 1706000000000000").select("rule_id", "us", (F.col("what") == "true").alias("matched"))
+
+
+# --- conflicts -------------------------------------------------------------------------------------------------------
+
+#: Rules for the conflict checks: rule, enabled, trigger entity, trigger minute, target entity, target state.
+LINKED = [
+    ("r1", True, "person.p1", None, "light.z1", "on"), ("r2", True, "person.p1", None, "light.z1", "off"), ("r3", True, None, 400, "light.z1", "on"),
+    ("r4", True, None, 430, "light.z1", "off"), ("r5", False, None, 410, "light.z1", "on"), ("r6", True, "light.z1", None, "switch.z2", "on"),
+    ("r7", True, "switch.z2", None, "person.p1", "home"), ("r8", True, None, 5, "light.z3", "on"), ("r9", True, None, 1430, "switch.z3", "on"), ("r9", True, None, 1430, "switch.z3", "off"),
+]
+LINKED_SCHEMA = "rule_id string, enabled boolean, trigger_entity string, trigger_minute int, target_entity string, target_state string"
+LINKED_SQL = "WITH RECURSIVE r(rule_id, enabled, trigger_entity, trigger_minute, target_entity, target_state) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in LINKED) + """),
+    p AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, a.target_entity AS ea, b.target_entity AS eb, a.target_state AS sa, b.target_state AS sb, a.enabled AND b.enabled AS live FROM r a JOIN r b ON a.rule_id < b.rule_id
+        WHERE a.trigger_entity = b.trigger_entity OR least(abs(a.trigger_minute - b.trigger_minute), 1440 - abs(a.trigger_minute - b.trigger_minute)) <= 45)
+"""
+
+
+def _linked(spark):
+    return spark.createDataFrame(LINKED, LINKED_SCHEMA)
+
+
+@query(LINKED_SQL + """SELECT DISTINCT rule_a, rule_b, ea AS entity_id, 'inconsistent' AS kind FROM p WHERE ea = eb AND sa <> sb AND live
+    UNION ALL SELECT DISTINCT rule_a, rule_b, ea, 'redundant' FROM p WHERE ea = eb AND sa = sb""", prelude=False)
+def conflict_pairs(spark, sf_dir):
+    return conflicts.inconsistent(_linked(spark)).unionByName(conflicts.redundant(_linked(spark)))
+
+
+@query(LINKED_SQL + "SELECT rule_id, target_entity AS entity_id FROM r GROUP BY ALL HAVING count(DISTINCT target_state) > 1", prelude=False)
+def self_conflicts(spark, sf_dir):
+    return conflicts.self_conflicts(_linked(spark))
+
+
+@query(LINKED_SQL + """, st AS (SELECT DISTINCT x.rule_id AS a, y.rule_id AS b FROM r x JOIN r y ON x.target_entity = y.trigger_entity WHERE x.enabled AND y.enabled),
+    lp AS (SELECT a AS start, b AS cur, [a, b] AS path FROM st UNION ALL SELECT start, st.b, list_append(path, st.b) FROM lp JOIN st ON lp.cur = st.a WHERE start <> cur AND len(path) < 4 AND (st.b = start OR NOT list_contains(path, st.b)))
+    SELECT start AS rule_id, array_to_string(path, '>') AS way FROM lp WHERE start = cur QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path), array_to_string(path, '>')) = 1""", prelude=False)
+def loop_paths(spark, sf_dir):
+    return conflicts.loops(_linked(spark))
+
+
+@query(LINKED_SQL + """, d(entity_id, device_id) AS (VALUES ('light.z3', 'd1'), ('switch.z3', 'd1'), ('light.z1', 'd2'))
+    SELECT DISTINCT rule_a, rule_b, x.device_id FROM p JOIN d x ON x.entity_id = ea JOIN d y ON y.entity_id = eb AND x.device_id = y.device_id WHERE live AND ea <> eb""", prelude=False)
+def device_races(spark, sf_dir):
+    return conflicts.device_races(_linked(spark), spark.createDataFrame([("light.z3", "d1"), ("switch.z3", "d1"), ("light.z1", "d2")], "entity_id string, device_id string"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'b'), ('c', 'd'), ('e', 'f')) v(rule_a, rule_b)", prelude=False)
+def exclusive_conditions(spark, sf_dir):
+    """Planted: disjoint states, a band below another, disjoint weekdays; g and h overlap."""
+    rows = [("a", "state", "x", ["on"], None, None, None), ("b", "state", "x", ["off"], None, None, None), ("c", "numeric", "y", None, None, 5.0, None), ("d", "numeric", "y", None, 5.0, None, None), ("e", "time", None, None, None, None, [0, 1]), ("f", "time", None, None, None, None, [5, 6]), ("g", "numeric", "z", None, 1.0, 9.0, None), ("h", "numeric", "z", None, 5.0, None, None)]
+    return conflicts.exclusive(spark.createDataFrame(rows, "rule_id string, kind string, entity_id string, states array<string>, above double, below double, weekdays array<int>"))
+
+
+# --- activity and tokens ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT domain, bin, CAST(sum(coalesce(edge, 0)) OVER (PARTITION BY domain ORDER BY bin) AS BIGINT) AS active FROM
+    (SELECT domain, unnest(generate_series(0, 24 * 4 * 7 - 1)) AS bin FROM (SELECT DISTINCT domain FROM base)) LEFT JOIN
+    (SELECT domain, greatest((us - 1704067200000000) // 900000000, 0) AS bin, sum(edge) AS edge FROM (SELECT *, ac - coalesce(lag(ac) OVER (PARTITION BY entity_id ORDER BY us, sid), 0) AS edge FROM
+        (SELECT *, CASE WHEN state IN ('off', 'not_home') THEN 0 ELSE 1 END AS ac FROM base WHERE us < 1704067200000000 + 604800000000)) WHERE edge <> 0 GROUP BY ALL) USING (domain, bin)""")
+def activity_bins(spark, sf_dir):
+    """The first week in quarters of an hour."""
+    return activity.bins(changes(spark, sf_dir), 1_704_067_200_000_000, 1_704_067_200_000_000 + 7 * DAY)
+
+
+TOKENS = """, tk AS (SELECT sid, us, cause, entity_id || '=' || state AS item FROM ann WHERE old_state IS NOT NULL AND old_state <> state AND num IS NULL)
+"""
+
+
+@query(TOKENS + "SELECT item, count(*) AS n FROM tk GROUP BY item ORDER BY n DESC, item LIMIT 20")
+def token_vocab(spark, sf_dir):
+    return activity.vocabulary(activity.usable(annotated(spark, sf_dir)), 20)
+
+
+@query(TOKENS + """SELECT sid, coalesce(array_to_string(list(item) OVER (PARTITION BY us // 86400000000 ORDER BY us, sid ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), ','), '') AS before,
+    CASE WHEN g < 10000000 THEN 0 WHEN g < 60000000 THEN 1 WHEN g < 600000000 THEN 2 WHEN g < 3600000000 THEN 3 ELSE 4 END AS gap
+    FROM (SELECT *, us - lag(us) OVER (PARTITION BY us // 86400000000 ORDER BY us, sid) AS g FROM tk)""")
+def token_windows(spark, sf_dir):
+    return activity.windows(activity.usable(annotated(spark, sf_dir))).select("sid", F.array_join("before", ",").alias("before"), "gap")
+
+
+@query()
+def home_mode(spark, sf_dir):
+    """Modes of the first week; seeded, checked by planted regimes in tests."""
+    return home.modes(activity_bins(spark, sf_dir))
+
+
+# --- store, health, dimensions, ranking ------------------------------------------------------------------------------
+
+SUGGESTIONS = [("a", "tod", 0.5, "accepted", 3, 1), ("b", "tod", 0.4, "new", 1, 1), ("c", "seq", 0.9, "dismissed", 2, 2)]
+FRESH = [("a", "tod", 0.7), ("d", "assoc", 0.3)]
+STORED = "id string, miner string, score double, status string, seen_count int, last_run int"
+
+
+@query("SELECT * FROM (VALUES ('a', 'tod', 0.7, 'accepted', 4, 3), ('b', 'tod', 0.4, 'new', 1, 1), ('c', 'seq', 0.9, 'dismissed', 2, 2), ('d', 'assoc', 0.3, 'new', 1, 3)) v(id, miner, score, status, seen_count, last_run)", prelude=False)
+def suggestion_upsert(spark, sf_dir):
+    return store.upsert(spark.createDataFrame(SUGGESTIONS, STORED), spark.createDataFrame(FRESH, "id string, miner string, score double"), 3)
+
+
+@query("SELECT * FROM (VALUES ('c', 0.9), ('a', 0.5), ('b', 0.4)) v(id, score)", prelude=False)
+def topk_suggestions(spark, sf_dir):
+    rows = spark.createDataFrame([(*r, p) for r, p in zip(SUGGESTIONS, (0.2, None, 0.8))], STORED + ", probability double")
+    return store.top(rows, 3).select("id", "score")
+
+
+@query(OVERRIDES + "SELECT entity_id, us, human_state FROM ov")
+def override_insert(spark, sf_dir):
+    """Insert-or-ignore: storing the overrides a second time changes nothing."""
+    found = _overrides(spark, sf_dir).select("entity_id", "us", "human_state")
+    return store.insert_ignore(found, found, ["entity_id", "us", "human_state"])
+
+
+@query(RULES_SQL + MATCH + "SELECT rule_id, count(*) AS fires, count(*) FILTER (what = 'true') AS matched, max(us) AS last_us FROM mt WHERE i > 0 AND us > 1706000000000000 GROUP BY rule_id")
+def shadow_report(spark, sf_dir):
+    return store.shadow_report(shadow_fires(spark, sf_dir))
+
+
+FACTS = [("gone", False, False, True, True, 30, False, 5, 5, 0), ("edited", True, True, True, True, 30, False, 5, 5, 0), ("dead", True, False, False, True, 30, False, 5, 5, 0), ("off", True, False, True, False, 30, False, 5, 5, 0), ("young", True, False, True, True, 3, False, 5, 5, 0), ("broken", True, False, True, True, 30, True, 0, 0, 0), ("quiet", True, False, True, True, 30, False, 0, 0, 0), ("dormant", True, False, True, True, 30, False, 9, 0, 0), ("few", True, False, True, True, 30, False, 2, 2, 0), ("undone", True, False, True, True, 30, False, 9, 10, 4), ("noisy", True, False, True, True, 30, False, 3, 10, 0), ("weak", True, False, True, True, 30, False, 40, 10, 0), ("fine", True, False, True, True, 30, False, 9, 10, 0)]
+
+
+@query("SELECT * FROM (VALUES ('gone', 'deleted'), ('edited', 'edited'), ('dead', 'insufficient_data'), ('off', 'disabled'), ('young', 'insufficient_data'), ('broken', 'error'), ('quiet', 'insufficient_data'), ('dormant', 'dormant'), ('few', 'insufficient_data'), ('undone', 'overridden'), ('noisy', 'noisy'), ('weak', 'underperforming'), ('fine', 'healthy')) v(rule_id, status)", prelude=False)
+def health_verdicts(spark, sf_dir):
+    return health.verdict(spark.createDataFrame(FACTS, "rule_id string, present boolean, edited boolean, live boolean, enabled boolean, days int, error boolean, predicted int, actual int, overridden int"))
+
+
+@query("SELECT * FROM (VALUES ('x', 'off', 0.4 + 10 / 365), ('y', 'never', 0.4), ('z', 'old', 0.4 + 100 / 365)) v(id, reason, score)", prelude=False)
+def stale_automations(spark, sf_dir):
+    rows = [("x", "off", 1_706_000_000_000_000 - 10 * DAY), ("y", "on", None), ("z", "on", 1_706_000_000_000_000 - 100 * DAY), ("ok", "on", 1_706_000_000_000_000 - DAY)]
+    return health.stale(spark.createDataFrame(rows, "id string, state string, last_triggered_us long"), 1_706_000_000_000_000)
+
+
+@query("""SELECT role, entity_id FROM (SELECT DISTINCT entity_id, domain FROM base) JOIN (VALUES ('presence', 'person', '.'), ('media', 'media_player', '.'), ('temperature', 'sensor', '^sensor[.]t[0-9]')) v(role, d, re) ON domain = d AND regexp_matches(entity_id, re)""")
+def signal_roles(spark, sf_dir):
+    return dimensions.roles(entity_ids(spark, sf_dir))
+
+
+@query("""SELECT gap, domain, n, least(n / (10.0 * least_), 1.0) AS score FROM (VALUES ('presence switching', 'switch', 10), ('media scene', 'media_player', 20)) v(gap, domain, least_)
+    JOIN (SELECT domain, count(*) AS n FROM ann WHERE cause = 'human' AND old_state IS NOT NULL AND old_state <> state GROUP BY domain) USING (domain) WHERE n >= least_""")
+def gap_suggestions(spark, sf_dir):
+    return health.gaps(signal_roles(spark, sf_dir), human_actions_by_domain(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT domain, state, CASE WHEN domain = 'media_player' AND state = 'playing' THEN 'media_player.media_play' WHEN state = 'on' THEN domain || '.turn_on' WHEN state = 'off' THEN domain || '.turn_off' END AS service FROM base WHERE num IS NULL""")
+def services(spark, sf_dir):
+    return dimensions.service_for(changes(spark, sf_dir).filter("num is null").select("domain", "state").distinct()).select("domain", "state", "service")
+
+
+@query("SELECT * FROM (VALUES ('light.a', 'kitchen', 'Live', 'both'), ('light.b', 'hall', 'B', 'registry'), ('light.c', NULL, 'Only live', 'states')) v(entity_id, area_name, name, source)", prelude=False)
+def entity_dimension(spark, sf_dir):
+    e = spark.createDataFrame([("light.a", "d1", "k", ["x"], None, "A", "a", None), ("light.b", "d1", None, None, "B", None, "b", None)], "entity_id string, device_id string, area_id string, labels array<string>, name_by_user string, name string, original_name string, unit string")
+    d = spark.createDataFrame([("d1", "h", ["y"])], "device_id string, area_id string, labels array<string>")
+    a = spark.createDataFrame([("k", "kitchen"), ("h", "hall")], "area_id string, name string")
+    s = spark.createDataFrame([("light.a", "Live", None), ("light.c", "Only live", None)], "entity_id string, friendly_name string, unit string")
+    return dimensions.merge_states(dimensions.registry(e, d, a), s).select("entity_id", "area_name", "name", "source")
+
+
+@query()
+def ranking_probability(spark, sf_dir):
+    """Acceptance of the replayed rules under the prior, as there are no decisions yet."""
+    rated = replay.gates(replay.counts(_matched(spark, sf_dir)), 30.0).withColumn("score", F.lit(0.5))
+    return ranking.rank(rated, rated.withColumn("label", F.lit(1)).limit(0)).select("rule_id", F.round("probability", 9).alias("probability"))
+
+
+@query("SELECT * FROM (VALUES ('07:30', 450, '07:30:00'), ('23:59:10', 1439, '23:59:00'), ('24:00', NULL, NULL), ('7:30', NULL, NULL)) v(text, minute, clock)", prelude=False)
+def clock_texts(spark, sf_dir):
+    rows = spark.createDataFrame([("07:30",), ("23:59:10",), ("24:00",), ("7:30",)], "text string").withColumn("minute", circular.parse(F.col("text")))
+    return rows.withColumn("clock", F.when(F.col("minute").isNotNull(), circular.hhmm(F.col("minute"))))

@@ -1,0 +1,341 @@
+"""The ten operators against brute force, on edge cases and on the smallest tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from routinelens.llm import bpe, exact, graph, licences, mixing, pii, quality, queries, revisits, simhash, suffix, tokencount
+
+DATA = "/root/testdata/sf0.001"
+WS = r"[\x20\x09-\x0D]"
+sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def multiset(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# 1
+def test_bpe_equals_the_library(spark, edge, edge_rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    want = Counter()
+    for i, t in edge_rows + documents(spark):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
+    both = bpe.encode(edge, queries.vocabulary()).unionByName(bpe.encode(spark.read.parquet(f"{DATA}/documents.parquet"), queries.vocabulary()))
+    assert multiset(both, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_bpe_decode_and_common_code_points(spark, edge, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    encoded = bpe.encode(edge, queries.vocabulary())
+    assert multiset(bpe.decode(encoded, queries.vocabulary()), "doc_id", "text") == Counter((r.doc_id, library.decode(r.ids, skip_special_tokens=False)) for r in encoded.collect())
+    index = bpe.PairIndex(open(queries.vocabulary()).read())
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}'s 1{chr(c)}" for c in range(1, 0x2100)]
+    for e, (ids, _) in zip(library.encode_batch(texts, add_special_tokens=False), index.encode(texts)):
+        assert " ".join(map(str, e.ids)) == ids
+    assert bpe.encode(empty, queries.vocabulary()).count() == 0
+
+
+# 2
+@pytest.mark.parametrize("size", [1 << 20, 50, 3])
+def test_token_counts(spark, tmp_path, size):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(t,) for t in ("a b c", None, "", "word " * 60, "x", "x")], "text string").repartition(2)
+    path = str(tmp_path / "tokens")
+    tokencount.write_tokens(docs, path, ranks, public_tokenizers.PATTERN)
+    encoding = tokencount._encoding(open(ranks, "rb").read(), public_tokenizers.PATTERN)
+    got = tokencount.documents(tokencount.blocks(spark, path, size=size)).toPandas()
+    assert Counter(got["n_tokens"]) == Counter(len(encoding.encode_ordinary(r.text or "")) for r in docs.collect())
+    for _, g in got.sort_values("doc_no").groupby("file"):
+        assert list(g["doc_no"]) == list(range(len(g))) and list(g["start"])[1:] == list((g["start"] + g["n_tokens"] + 1))[:-1]
+
+
+def test_token_counts_without_a_last_separator(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(np.array([5, 50256, 7, 8], "<u2").tobytes())
+    (tmp_path / "b.bin").write_bytes(b"")
+    got = tokencount.documents(tokencount.blocks(spark, str(tmp_path), size=2)).collect()
+    assert sorted((r.doc_no, r.start, r.n_tokens, r.ended) for r in got) == [(0, 0, 1, True), (1, 2, 2, False)]
+
+
+# 3
+def test_licences_base(spark, edge, edge_rows, empty):
+    want = Counter()
+    for i, t in edge_rows + documents(spark):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        at = [(k, name) for name, p in licences.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        want[i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({n for _, n in at}))] += 1
+    rows = licences.scan(edge).unionByName(licences.scan(spark.read.parquet(f"{DATA}/documents.parquet")))
+    assert multiset(rows, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in rows.collect())
+    assert licences.scan(empty).count() == 0
+
+
+def test_licence_templates_match_with_some_words_changed(spark):
+    text = licences.TEMPLATES[0][1].replace("granted", "given")
+    got = licences.scan(spark.createDataFrame([(1, "Note: " + text.upper()), (2, text.replace("documentation", "other"))], "doc_id long, text string"))
+    assert {r.doc_id: (r.labels, r.score < 1) for r in got.collect()} == {1: ("mit", True), 2: ("", True)}
+
+
+# 4
+def test_fingerprints(edge_rows):
+    for _, t in edge_rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        assert simhash.fingerprint((t or "").encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_links_are_all_found(spark):
+    rng = random.Random(1)
+    prints = set()
+    for _ in range(60):
+        b = rng.getrandbits(64)
+        prints.add(b)
+        for _ in range(5):
+            x = b
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (200, 100), (100, 200)]
+    got = dict(tuple(r) for r in graph.star_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(1, 31)}, 101: 100, 200: 100}
+
+
+def test_near_groups(spark, edge, edge_rows, empty):
+    rows = edge_rows
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    want = Counter((d, f"{p:016x}", min(r[0] for r, h in zip(rows, group) if h == g)) for (d, _), p, g in zip(rows, prints, group))
+    assert multiset(simhash.near_groups(edge), "doc_id", "fingerprint", "component_id") == want
+    kept = simhash.keep_one_each(edge)
+    assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
+    assert simhash.near_groups(empty).count() == 0
+
+
+# 5
+HEADERS = "record_id long, url string, ts long, headers map<string,string>"
+
+
+def test_revisits(spark):
+    full = [(1, "https://www.A.com/x?utm_source=f#t", 10, {"etag": '"a"', "content-length": "5", "date": "1"}), (2, "http://a.com/x/", 20, {"etag": '"b"', "content-length": "6"}), (3, "http://a.com/y", 5, {"last-modified": "m"}), (4, None, 1, {})]
+    asked = [(10, "http://a.com/x", 15, {"etag": 'W/"a"', "content-length": "0", "date": "9"}), (11, "http://a.com/x", 25, {"etag": '"a"'}), (12, "http://a.com/y", 6, {"last-modified": "m"}), (13, "http://a.com/y", 5, {"last-modified": "m"}), (14, "http://a.com/y", 9, {"etag": "q"}), (15, None, 9, {}), (10, "http://a.com/x", 15, {"etag": 'W/"a"', "content-length": "0", "date": "9"})]
+    got = sorted((r.record_id, r.response_id or 0, r.status, tuple(sorted((r.headers or {}).items()))) for r in revisits.resolve(spark.createDataFrame(asked, HEADERS), spark.createDataFrame(full, HEADERS)).collect())
+    first = (10, 1, "resolved", (("content-length", "5"), ("date", "9"), ("etag", 'W/"a"')))
+    assert got == [first, first, (11, 2, "changed", ()), (12, 3, "resolved", (("last-modified", "m"),)), (13, 0, "missing", ()), (14, 3, "unverified", ()), (15, 0, "missing", ())]
+
+
+# 6
+def test_mixing_meets_feasible_targets(spark):
+    table = ((0.9, 0.05, 0.05), (0.1, 0.8, 0.1), (0.05, 0.05, 0.9))
+    members = spark.createDataFrame([(100, 0), (50, 1), (50, 2), (300, 0)], "n_tokens long, cell int")
+    rate = mixing.solve(members, table, {"good": 0.6, "low": 0.2, "toxic": 0.2})
+    tokens = [400, 50, 50]
+    got = [sum(n * r * p[k] for n, r, p in zip(tokens, rate, table)) / 500 for k in range(3)]
+    assert np.allclose(got, [0.6, 0.2, 0.2], atol=0.01) and min(rate) >= 0
+
+
+def test_mixing_learns_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = mixing.mixed(docs, marks).join(marks, "doc_id").collect()
+    clean = [r.copies for r in rows if r.quality == 1 and r.toxic == 0]
+    bad = [r.copies for r in rows if r.toxic == 1 or r.quality == 0]
+    assert np.mean([c > 0 for c in clean]) > 0.9 and np.mean(bad) < 0.5 * np.mean(clean)
+
+
+def test_mixing_edges(edge, empty, labels):
+    got = mixing.mixed(edge, labels)
+    assert got.count() == edge.count() and got.filter("rate < 0 or copies < 0 or rate is null").isEmpty()
+    assert mixing.mix(edge, labels).columns == edge.columns
+    assert mixing.mixed(empty, labels).count() == 0 and mixing.mixed(edge, labels.limit(0)).select("rate").distinct().count() == 1
+
+
+# 7
+def brute_repeats(texts):
+    n, count, out = suffix.LENGTH, Counter(), []
+    for t in texts:
+        count.update(t[s : s + n] for s in range(len(t) - n + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for s in range(len(t) - n + 1):
+            if count[t[s : s + n]] > 1:
+                gone[s : s + n] = b"\1" * n
+        out.append((len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])), sha(bytes(b for b, g in zip(t, gone) if not g))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats(spark, edge, edge_rows, empty, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(suffix, "MAX_GROUP", 1)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abc ") for _ in range(1200)) for _ in range(4)]
+    more = []
+    for i in range(60):
+        a = rng.randrange(600)
+        t = rng.choice(base)[a : a + rng.randint(150, 600)]
+        k = rng.randrange(len(t))
+        more.append((1000 + i, t[:k] + "X" + t[k + 1 :] if i % 2 else t))
+    rows = edge_rows + more + documents(spark)[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute_repeats([(t or "").encode() for _, t in rows])))
+    assert multiset(suffix.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    if not hot:
+        assert suffix.remove_repeats(edge).count() == edge.count() and suffix.remove_repeats(empty).count() == 0
+
+
+def test_deep_shallow_order():
+    rng = random.Random(5)
+    for _ in range(100):
+        items = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 30))]
+        assert [items[i] for i in suffix.deep_shallow(items)] == sorted(items)
+        assert [items[i] for i in suffix.blind_trie(items, list(range(len(items))))] == sorted(items)
+
+
+# 8
+def test_exact_dedup(spark, edge, edge_rows, empty):
+    norm = [re.sub(WS, "", t or "") for _, t in edge_rows]
+    rank = lambda k: (-len(edge_rows[k][1] or ""), edge_rows[k][0])
+    want = Counter()
+    for k, (i, _) in enumerate(edge_rows):
+        same = sorted((j for j in range(len(norm)) if norm[j] == norm[k]), key=rank)
+        want[i, edge_rows[same[0]][0], len(same), sha(norm[k])] += 1
+    got = exact.exact_dedup(edge)
+    assert multiset(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+    assert got.filter("kept").count() == len(set(norm))
+    kept = exact.drop_exact_copies(edge)
+    assert kept.columns == edge.columns and kept.count() == len(set(norm))
+    assert exact.exact_dedup(empty).count() == 0
+
+
+# 9
+E_, I_, C_, P_ = (re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def brute_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    return [
+        [m.span() for m in E_.finditer(t)],
+        [m.span() for m in I_.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))],
+        [m.span() for m in C_.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))],
+        [m.span() for m in P_.finditer(t) if 9 <= len(digits(m)) <= 15],
+    ]
+
+
+def test_pii_base_on_random_texts():
+    rng = random.Random(2)
+    for _ in range(4000):
+        t = "".join(rng.choice("ab@@..--++  ()0123456789019x%_") for _ in range(rng.randint(0, 80)))
+        assert pii.base_spans(t)[0] == brute_spans(t)
+
+
+def test_pii(spark, edge, edge_rows, empty):
+    want = Counter()
+    for i, t in edge_rows + documents(spark):
+        spans = brute_spans(t or "")
+        want[i, *map(len, spans), sha(",".join(f"{k}:{a}:{b}" for k, s in zip(pii.KINDS, spans) for a, b in s))] += 1
+    rows = pii.scan(edge).unionByName(pii.scan(spark.read.parquet(f"{DATA}/documents.parquet")))
+    assert multiset(rows, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
+    assert pii.scan(empty).count() == 0 and pii.mask(edge).count() == edge.count()
+
+
+def test_em_tells_reliable_labelers():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.4
+    right = (0.95, 0.9, 0.85, 0.6, 0.8)
+    said = np.stack([np.where(rng.random(4000) < r, truth, ~truth).astype(int) for r in right], axis=1)
+    post, _ = pii.estimate(said, np.ones(4000))
+    assert ((post > 0.5) == truth).mean() > 0.95
+
+
+# 10
+def brute_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    hit = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts(spark, edge, edge_rows, empty, labels):
+    want = Counter((i, *brute_counts(t or "")) for i, t in edge_rows)
+    got = quality.judge(edge, labels)
+    assert multiset(got, "doc_id", *quality.COUNTS) == want
+    for r in got.collect():
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    kept = quality.keep_good(edge, labels.limit(0))
+    assert kept.columns == edge.columns and kept.count() == got.filter("not base_failed").count()
+    assert quality.judge(empty, labels).count() == 0
+    for i, t in documents(spark):
+        assert quality.measure(t)[:5] == brute_counts(t)
+
+
+def test_quality_held_out_accuracy(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, marks.filter("doc_id % 2 = 0"))
+    measured = quality.with_measures(docs, "text", ["doc_id"])
+    m = measured[measured.columns[-1]]
+    rows = measured.select("doc_id", quality.base_failed(m).alias("failed"), quality.verdict(rules, m).alias("kept")).join(marks.filter("doc_id % 2 = 1"), "doc_id").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 1 and not r.failed]) > 0.98
+    assert np.mean([not r.kept for r in rows if r.quality == 0]) > 0.9
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name]).fetchall()
+    cols = [d[0] for d in con.description]
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(cols) == sorted(got.columns)
+    assert Counter(map(str, (tuple(r) for r in got.select(*cols).collect()))) == Counter(map(str, want))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).cache()
+        seen[name] = {r.doc_id for r in out.select("doc_id").collect()}
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+            docs = out
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    norm = Counter(re.sub(WS, "", texts[i]) for i in seen["exact dedup"])
+    assert max(norm.values()) == 1 and set(norm) == {re.sub(WS, "", texts[i]) for i in seen["quality rules"]}
+    prints = [simhash.fingerprint(texts[i].encode()) for i in sorted(seen["SimHash near-dedup"])]
+    assert not any((a ^ b).bit_count() <= 2 for k, a in enumerate(prints) for b in prints[k + 1 :])
+    assert seen["BPE"] == seen["mixing"] and seen["mixing"] <= seen["SimHash near-dedup"]

@@ -712,7 +712,7 @@ def ranking_probability(spark, sf_dir):
     return ranking.rank(rated, rated.withColumn("label", F.lit(1)).limit(0)).select("rule_id", F.round("probability", 9).alias("probability"))
 
 
-@query("SELECT * FROM (VALUES ('07:30', 450, '07:30:00'), ('23:59:10', 1439, '23:59:00'), ('24:00', NULL, NULL), ('7:30', NULL, NULL)) v(text, minute, clock)", prelude=False)
+@query("SELECT * FROM (VALUES ('07:30', 450, '07:30:00'), ('23:59:10', 1439, '23:59:00'), ('24:00', -1, NULL), ('7:30', -1, NULL)) v(text, minute, clock)", prelude=False)
 def clock_texts(spark, sf_dir):
     rows = spark.createDataFrame([("07:30",), ("23:59:10",), ("24:00",), ("7:30",)], "text string").withColumn("minute", circular.parse(F.col("text")))
-    return rows.withColumn("clock", F.when(F.col("minute").isNotNull(), circular.hhmm(F.col("minute"))))
+    return rows.withColumn("clock", F.when(F.col("minute").isNotNull(), circular.hhmm(F.col("minute")))).na.fill(-1, ["minute"])

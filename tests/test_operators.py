@@ -159,3 +159,19 @@ def test_two_planted_modes_are_recovered(spark):
     rows = [(d, int(i), int(v)) for d in ("light", "switch") for i, v in enumerate(rng.poisson(np.where(truth, 9, 1)))]
     got = home_mode.modes(spark.createDataFrame(rows, "domain string, bin long, active long"), (2,)).orderBy("bin").toPandas()
     assert (got["mode"].to_numpy() == truth).mean() > 0.95
+
+
+def test_streaming_corrections_equal_the_batch(spark, tmp_path):
+    from routinelens.streaming import live
+
+    rng = random.Random(6)
+    rows = [(i, i * 3, rng.choice(["human", "automation"]), rng.choice(["on", "off"]), rng.choice(["a", "b"]), "x", None) for i in range(80)]
+    schema = "sid long, us long, cause string, state string, entity_id string, cause_entity string, context string"
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = live.corrections(stream, 6).writeStream.format("memory").queryName("corrections").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.entity_id, r.us, r.automation_state, r.human_state) for r in spark.table("corrections").collect()}
+    assert got == {(r.entity_id, r.us, r.automation_state, r.human_state) for r in causality.overrides(df, 6).collect()} and got

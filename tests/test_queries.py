@@ -1,6 +1,7 @@
 """Every core query against its SQL on the smallest tables."""
 
 import glob
+import numbers
 
 import duckdb
 import pandas as pd
@@ -22,7 +23,7 @@ def duck():
 
 def cells(frame):
     frame = frame[sorted(frame.columns)]
-    one = lambda v: "-" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    one = lambda v: "-" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(float(v), 6)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(one, row)) for row in frame.itertuples(index=False))
 
 

@@ -190,9 +190,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """The documents, each as often as its copies, with all their columns. Narrow passes; texts are not shuffled."""
     model = fit(docs, labels, id_col, text_col)
     held = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id")])
-    # the row number keeps what reads cell from being pushed below it, where each text would be cut again for each use
-    held = held.select("row", "id", "n_tokens", model.cell(F.col("features")).alias("cell"), F.monotonically_increasing_id().alias("place"))
+    held = held.select("row", "id", "n_tokens", model.cell(F.col("features")).alias("cell"))
     members = materialise(held.select("n_tokens", "cell"), "posteriors")
     rate = _by_cell(solve(members, model.table, targets))
-    times = held.select("row", copies(F.col("id"), rate).alias("times")).filter("times > 0")
-    return times.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    times = held.select("row", copies(F.col("id"), rate).cast("int").alias("times"))
+    # no filter on times: it would be pushed below the features, where each text is cut again for each use
+    return times.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

@@ -268,6 +268,12 @@ def test_pii(spark, edge, edge_rows, empty):
     assert pii.scan(empty).count() == 0 and pii.mask(edge).count() == edge.count()
 
 
+@pytest.mark.parametrize("key", ["X-Api-Key: ", "Api_Key = ", "ApiKey=", "aPiKeY=", "Pwd=", "pWD: ", "PassWord=", "Token: ", "toKen=", "SecRet="])
+def test_pii_secrets_of_any_case(key):
+    assert pii.base_spans(f"{key}ABCD1234efgh")[1] == [(4, len(key), len(key) + 12)]
+    assert pii.base_spans(f"rapid {key}ABCD1234efgh")[1] == [(4, len(key) + 6, len(key) + 18)]
+
+
 def test_em_tells_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4

@@ -163,6 +163,39 @@ def test_mixing_meets_feasible_targets(spark):
     assert np.allclose(got, [0.6, 0.2, 0.2], atol=0.01) and min(rate) >= 0
 
 
+def exact_shares(share, p, want):
+    """The reachable domain shares nearest to the targets: the best of all sets of entries above zero."""
+    best = None
+    for mask in range(1 << len(share)):
+        free = [i for i in range(len(share)) if mask >> i & 1]
+        r = np.zeros(len(share))
+        r[free] = np.linalg.lstsq((p[free] * share[free, None]).T, want, rcond=None)[0]
+        off = float((((share * r) @ p - want) ** 2).sum())
+        if r.min() >= -1e-12 and (best is None or off < best[0]):
+            best = off, (share * r) @ p
+    return best[1]
+
+
+def test_mixing_meets_targets_of_rare_domains(spark):
+    pure = ((0.98, 0.01, 0.01), (0.03, 0.95, 0.02), (0.03, 0.02, 0.95))
+    table = ((0.999, 0.0005, 0.0005), (0.03, 0.95, 0.02), (0.03, 0.02, 0.95))
+    for entries, tokens in ((pure, [995, 3, 2]), (table, [995, 3, 2]), (table, [999_950, 30, 20]), (table, [5, 900, 95])):
+        members = spark.createDataFrame([(n, k) for k, n in enumerate(tokens)], "n_tokens long, cell int")
+        share, p, want = np.array(tokens) / sum(tokens), np.array(entries), np.array(list(mixing.TARGETS.values()))
+        rate = np.array(mixing.solve(members, entries))
+        assert rate.min() >= 0 and np.allclose((share * rate) @ p, exact_shares(share, p, want), rtol=1e-4, atol=0)
+
+
+def test_mixing_of_random_tables_is_the_exact_optimum():
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        m = int(rng.integers(1, 9))
+        share, p = rng.dirichlet(np.full(m, rng.choice([0.1, 1.0]))) + 1e-9, rng.dirichlet(np.full(3, rng.choice([0.05, 0.3, 1.0])), m)
+        want = np.array(list(mixing.TARGETS.values())) if k % 2 else rng.dirichlet(np.full(3, 0.3))
+        rate = mixing.descend(share / share.sum(), p, want)
+        assert rate.min() >= 0 and np.allclose((share / share.sum() * rate) @ p, exact_shares(share / share.sum(), p, want), rtol=0, atol=1e-5)
+
+
 def test_mixing_learns_and_keeps_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -141,6 +141,18 @@ def test_near_groups(spark, edge, edge_rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_keep_one_each_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    near = [(t, t.replace(" ", "  ") + "\n") for t in prose]  # equal fingerprints, other bytes
+    rows = [(None, t) for t in prose[:4]] + [(7, t) for t in prose[4:8]] + [(9, prose[8]), (None, near[8][1]), (7, prose[9]), (5, near[9][1]), (7, near[4][1]), (7, prose[5]), (3, prose[10]), (3, prose[11]), (3, near[11][1])]
+    got = [(r.doc_id, r.text, r.fp) for r in simhash.keep_one_each(spark.createDataFrame([(i, t, f"own {t}") for i, t in rows], "doc_id long, text string, fp string").repartition(3)).collect()]
+    group = {x: k for k, pair in enumerate(near) for x in pair}
+    assert sorted(group[t] for _, t, _ in got) == list(range(12)) and all(own == f"own {t}" and (i, t) in rows for i, t, own in got)
+    least = {k: min((i is None, i or 0) for i, t in rows if group[t] == k) for k in range(12)}
+    assert {group[t]: (i is None, i or 0) for i, t, _ in got} == least
+
+
 # 5
 HEADERS = "record_id long, url string, ts long, headers map<string,string>"
 

@@ -632,8 +632,10 @@ def token_windows(spark, sf_dir):
 
 @query()
 def home_mode(spark, sf_dir):
-    """Modes of the first week; seeded, checked by planted regimes in tests."""
-    return home.modes(activity_bins(spark, sf_dir))
+    """Modes of the whole history, up to the bound of home.modes; seeded, checked by planted regimes in tests."""
+    rows = changes(spark, sf_dir)
+    start, end = _bounds(spark, sf_dir)
+    return home.modes(activity.bins(rows, start, end + 1))
 
 
 # --- store, health, dimensions, ranking ------------------------------------------------------------------------------

@@ -161,6 +161,15 @@ def test_two_planted_modes_are_recovered(spark):
     assert (got["mode"].to_numpy() == truth).mean() > 0.95
 
 
+def test_home_modes_cover_the_whole_history(spark):
+    from routinelens import catalog
+
+    data = "/root/testdata/sf0.001"
+    first, last = catalog._bounds(spark, data)
+    got = sorted(r["bin"] for r in catalog.home_mode(spark, data).select("bin").collect())
+    assert got == list(range((last - first) // (15 * MINUTE) + 1)) and len(got) > 20 * 96
+
+
 def test_streaming_corrections_equal_the_batch(spark, tmp_path):
     from routinelens.streaming import live
 

@@ -1,26 +1,32 @@
-"""Mixing sources to target weights by soft membership; rows are only read by DataFrame operations.
+"""Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-A classifier learns from the labelled documents which words and binned measures tell a domain from the others, and, from
-other labelled documents, the posterior by how many of each domain's telling features a text has. Document i of n_i tokens then gets a rate r_i >= 0 such that
-the expected token totals sum(r_i n_i p_i) meet the targets in the least-squares sense: accelerated projected gradient
-in the metric of the token counts, from rate 1, so that r <- max(0, y - step * p . (S(y) - T)). A rate depends on the
-posterior alone; so one aggregate gives the distinct posteriors with their token sums, at most 25 rows by the size of the table,
-the steps run over these until the projected gradient is near zero, and the rates of the documents follow without a join.
+From labelled documents a classifier learns which words and binned measures tell a domain from the others (one half of them), and a
+multinomial logistic regression over the hits on these and a few measures of the text (the other half). It gives each document
+a posterior of its own, p_i. Document i of n_i tokens then gets a rate r_i >= 0 such that the expected token totals sum(r_i n_i p_i)
+meet the targets in the least-squares sense of their relative gaps.
 
+The rates come from projected gradient steps over all documents: r <- max(0, r - q . e), q the posterior by the target totals.
+Each step is one distributed aggregate: it gives the totals S(r) and the Gram matrix of the rates above zero, of
+which the driver makes the next direction e (damped, as the Gram matrix alone may be singular; with much damping e is the plain
+gradient). A step that does not lessen the gap is taken back and damped more. What the driver holds is three numbers
+a step; a rate is the fold of the steps over the document's posterior, so no table of rates has to be kept or joined.
+
+The target totals are such that the first domain keeps the expected tokens it has, so documents that are surely of it have rates near one.
 Whole copies of a document are floor(rate + u), u uniform in [0, 1) by its hashed id: the expectation is the rate.
 
-Defined results: a null or empty text has no tokens and the posterior of a text without telling features. Without labels all
-posteriors are equal, and so are the rates. Null labels are not used; of repeated labels of an id the lowest quality and
-highest toxicity count. Repeated rows get equal rates and copies. No documents give no rows.
+Defined results: a null or empty text has no tokens and the posterior of a text without telling features. Very long texts are cut
+into words in the one row that holds them. Without labels, or with labels of one domain only, all posteriors are equal, and so are the rates.
+Null labels are not used; of repeated labels of an id the lowest quality and highest toxicity count. Repeated rows get equal
+rates and copies, and ties cannot arise. Columns of the documents keep their names; mix() packs them away while it works. No documents give no rows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +34,26 @@ from routinelens.storage import materialise
 
 DOMAINS = ("good", "low", "toxic")
 #: The share of all tokens that each domain is to have.
-TARGETS = {"good": 0.98, "low": 0.015, "toxic": 0.005}
+TARGETS = {"good": 0.95, "low": 0.025, "toxic": 0.025}
 #: At most this many labelled documents, those whose hashed ids come first, take part in the fit.
 MAX_LABELLED = 20_000
 #: A domain's telling features: at most this many, each in so many of its labelled documents, so many times as
 #: frequent there as elsewhere, and with this G statistic.
-MAX_FEATURES, MIN_DOCUMENTS, MIN_LIFT, MIN_G = 128, 5, 5.0, 40.0
-#: Hits counted up to here; weight, in documents, of what independence expects of an entry of the table.
-CAP, PRIOR = 4, 1.0
-#: Accelerated steps between two exact solutions for the rates above zero; far more steps than ever needed; the projected gradient
-#: at the end, as a part of the smallest target.
-POLISH, MAX_STEPS = 50, 100_000
-TOLERANCE = 1e-6
+MAX_FEATURES, MIN_DOCUMENTS, MIN_LIFT, MIN_G = 256, 3, 5.0, 10.0
+#: Ridge of the regression, as the library scales it.
+RIDGE = 1e-4
+#: The largest relative gap to a target, or the largest projected gradient, at which the steps end; more passes than feasible targets need.
+TOLERANCE, MAX_PASSES = 1e-6, 80
+#: Decimal places of a step, so that the order of summation does not show in the rates.
+PLACES = 10
 SEED = 17
 _WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The columns that the posterior depends on.
+MEASURES = ("x_low", "x_toxic", "x_low_share", "x_toxic_share", "x_length", "x_distinct", "x_marks", "x_calls")
 
 
 def features(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """The kept columns, n_tokens and the distinct features of the text: words and binned measures."""
+    """The kept columns, n_tokens, the distinct features of the text (words and binned measures) and the measures themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(
         *keep,
@@ -57,36 +65,46 @@ def features(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     n = F.greatest(F.size("w"), F.lit(1))
     bins = [("distinct", F.floor(10 * F.size("d") / n)), ("marks", F.least(F.lit(9), F.ceil(20 * F.col("marks") / n))), ("calls", F.least(F.lit(9), F.ceil(20 * F.col("calls") / n)))]
     names = [c for c in cut.columns if c not in ("w", "marks", "calls", "d")]
-    return cut.select(*names, F.size("w").cast("long").alias("n_tokens"), F.concat("d", F.array(*[F.concat(F.lit(f"<{k} "), b.cast("string"), F.lit(">")) for k, b in bins])).alias("features"))
+    return cut.select(
+        *names,
+        F.size("w").cast("long").alias("n_tokens"),
+        F.size("d").alias("n_distinct"),
+        F.concat("d", F.array(*[F.concat(F.lit(f"<{k} "), b.cast("string"), F.lit(">")) for k, b in bins])).alias("features"),
+        F.log1p(F.size("w").cast("double")).alias("x_length"),
+        (F.size("d") / n).alias("x_distinct"),
+        F.log1p(F.col("marks") / n * 20).alias("x_marks"),
+        F.log1p(F.col("calls") / n * 20).alias("x_calls"),
+    )
+
+
+def measured(found: DataFrame, telling: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """From rows of features(): the kept columns, n_tokens and MEASURES, with the hits on telling features."""
+    hits = {d: F.size(F.array_intersect("features", F.array(*map(F.lit, names)).cast("array<string>"))) for d, names in zip(DOMAINS[1:], telling)}
+    made = {f"x_{d}": F.log1p(h.cast("double")) for d, h in hits.items()} | {f"x_{d}_share": h / F.sqrt(F.col("n_distinct") + 1.0) for d, h in hits.items()}
+    dropped = {"features", "n_distinct", *MEASURES}
+    return found.select(*[c for c in found.columns if c not in dropped], *[(made[m] if m in made else F.col(m)).alias(m) for m in MEASURES])
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """The telling features of each domain but the first, and the posterior by how many of them a text has.
-
-    ``table`` has an entry for each combination of capped counts, the first domain's count slowest.
-    """
+    """The telling features of each domain but the first, and by domain the regression's weights of MEASURES and its intercept."""
 
     telling: tuple[tuple[str, ...], ...]
-    table: tuple[tuple[float, ...], ...]
+    weights: tuple[tuple[float, ...], ...]
+    intercepts: tuple[float, ...]
 
-    def cell(self, found: Column) -> Column:
-        return cell(found, self.telling)
-
-
-def cell(found: Column, telling: tuple[tuple[str, ...], ...]) -> Column:
-    """The number of the table's entry for an array of features."""
-    at = F.lit(0)
-    for names in telling:
-        hits = F.size(F.array_intersect(found, F.array(*map(F.lit, names)).cast("array<string>")))
-        at = at * (CAP + 1) + F.least(hits, F.lit(CAP))
-    return at
+    def posteriors(self) -> list[Column]:
+        """The chance of each domain, from the columns MEASURES."""
+        score = [sum((F.col(m) * w for m, w in zip(MEASURES, row) if w), F.lit(b)) for row, b in zip(self.weights, self.intercepts)]
+        top = F.greatest(*score)
+        odds = [F.exp(z - top) for z in score]
+        return [o / sum(odds[1:], odds[0]) for o in odds]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Classifier:
-    """Learn from at most ``limit`` labelled documents: the features from one half, the table from the other.
+    """Learn from at most ``limit`` labelled documents: the features from one half, the regression from the other.
 
-    What is collected is bounded by MAX_FEATURES and the size of the table.
+    What is collected is bounded by MAX_FEATURES.
     """
     kinds = range(len(DOMAINS))
     marks = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("labelled_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -94,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = marks.select("labelled_id", domain.alias("domain")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(limit)
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
     half = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(2)).alias("half")
-    rows = materialise(features(some, "text", [F.col("domain"), half]).select("domain", "half", "features"), "labelled-features")
+    rows = materialise(features(some, "text", [F.col("domain"), half]), "labelled-features")
     by = dict(rows.filter("half = 0").groupBy("domain").count().collect())
     sizes = [by.get(k, 0) for k in kinds]
     total = sum(sizes)
@@ -107,114 +125,94 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         g = 2 * (own * F.log(p / share) + (sizes[k] - own) * F.log((1 - p) / (1 - share)) + other * F.log(q / share) + (total - sizes[k] - other) * F.log((1 - q) / (1 - share)))
         best = counts.filter((own >= MIN_DOCUMENTS) & (p >= MIN_LIFT * q)).withColumn("g", g).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "f").limit(MAX_FEATURES)
         telling.append(tuple(sorted(r["f"] for r in best.select("f").collect())))
-    seen = {(r["at"], r["domain"]): r["count"] for r in rows.filter("half = 1").select("domain", cell(F.col("features"), tuple(telling)).alias("at")).groupBy("at", "domain").count().collect()}
-    sizes = [sum(n for (_, d), n in seen.items() if d == k) for k in kinds]
-    prior = [(n + 1) / (sum(sizes) + len(DOMAINS)) for n in sizes]
-    table = []
-    for at in range((CAP + 1) ** len(telling)):
-        n = [seen.get((at, k), 0) for k in kinds]
-        weight = [x + PRIOR * p for x, p in zip(n, _guess(at, prior, seen, sizes))]
-        table.append(tuple(w / sum(weight) for w in weight))
-    return Classifier(tuple(telling), tuple(table))
-
-
-def _guess(at: int, prior: list[float], seen: dict[tuple[int, int], int], sizes: list[int]) -> list[float]:
-    """What naive Bayes expects of an entry: the counts of the telling features taken as independent."""
-    out = list(prior)
-    digits = []
-    for _ in DOMAINS[1:]:
-        at, d = divmod(at, CAP + 1)
-        digits.append(d)
-    for j, d in enumerate(digits):
-        for k, size in enumerate(sizes):
-            same = sum(n for (a, dom), n in seen.items() if dom == k and a // (CAP + 1) ** j % (CAP + 1) == d)
-            out[k] *= (same + 0.2) / (size + 0.2 * (CAP + 1))
-    total = sum(out)
-    return [x / total for x in out]
-
-
-def _by_cell(values: list[float]) -> Column:
-    return F.get(F.array(*map(F.lit, values)), F.col("cell"))
-
-
-def solve(members: DataFrame, table: tuple[tuple[float, ...], ...], targets: dict[str, float] = TARGETS) -> list[float]:
-    """The rate of each entry of the classifier's table, for rows (n_tokens, cell).
-
-    What is collected is a row for each entry of the table that occurs.
-    """
-    profiles = members.groupBy("cell").agg(F.sum("n_tokens").cast("double").alias("n")).filter("n > 0").orderBy("cell").collect()
-    rate = [1.0] * len(table)
-    if profiles:
-        want = np.array([targets[d] / sum(targets.values()) for d in DOMAINS])
-        share = np.array([r["n"] for r in profiles])
-        found = descend(share / share.sum(), np.array([table[r["cell"]] for r in profiles]), want)
-        for r, x in zip(profiles, found):
-            rate[r["cell"]] = round(float(x), 9)
-    return rate
-
-
-def descend(share: np.ndarray, p: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """Rates r >= 0 of least squared gap between sum(share * r * p) and ``want``, by accelerated projected gradient from rate 1.
-
-    A step that turns against the gradient restarts the momentum. Every POLISH steps the entries above zero are solved for
-    exactly. It ends only where the projected gradient is below TOLERANCE times the
-    smallest target above zero: no shares are too small to be moved.
-    """
-    gap = lambda r: (share * r) @ p - want
-    bar = max(TOLERANCE * want[want > 0].min(), 1e-13)  # of shares near one, which are rounded
-
-    def done(r: np.ndarray) -> bool:
-        slope = p @ gap(r)
-        return bool(np.abs(np.where(r > 0, slope, np.minimum(slope, 0.0))).max() <= bar)
-
-    top = float(np.linalg.eigvalsh((p * share[:, None]).T @ p)[-1])
-    rate = y = np.ones(len(share))
-    momentum = 1.0
-    for step in range(1, MAX_STEPS + 1):
-        slope = p @ gap(y)
-        new = np.maximum(0.0, y - slope / top)
-        after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        if float((share * slope) @ (new - rate)) > 0:
-            y, momentum = new, 1.0
+    train = materialise(measured(rows.filter("half = 1"), tuple(telling)), "labelled-measures")
+    seen = dict(train.groupBy("domain").count().collect())
+    none = tuple(0.0 for _ in MEASURES)
+    if len(seen) < 2:
+        return Classifier(tuple(telling), tuple(none for _ in kinds), tuple(0.0 for _ in kinds))
+    vectors = VectorAssembler(inputCols=list(MEASURES), outputCol="x").transform(train.withColumn("domain", F.col("domain").cast("double")))
+    made = LogisticRegression(featuresCol="x", labelCol="domain", family="multinomial", regParam=RIDGE, maxIter=100).fit(vectors)
+    rows_of, cuts = made.coefficientMatrix.toArray(), made.interceptVector.toArray()
+    known = [k in seen and k < len(cuts) for k in kinds]
+    absent = float(min(cuts)) - 30.0  # a domain without labelled documents has next to no chance
+    return Classifier(tuple(telling), tuple(tuple(map(float, rows_of[k])) if known[k] else none for k in kinds), tuple(float(cuts[k]) if known[k] else absent for k in kinds))
+
+
+Step = tuple[float, ...]
+
+
+def rates(steps: list[Step], posterior: list[Column]) -> Column:
+    """The rate after the steps: from one, each takes its product with the posterior away, and none goes below zero."""
+    if not steps:
+        return F.lit(1.0)
+    p = F.array(*posterior)
+    fold = lambda r, e: F.greatest(F.lit(0.0), r - (e[0] * p[0] + e[1] * p[1] + e[2] * p[2]))
+    return F.aggregate(F.array(*[F.array(*map(F.lit, e)) for e in steps]), F.lit(1.0), fold)
+
+
+def _totals(members: DataFrame, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """The expected tokens of each domain at the rates, and the Gram matrix of the rows whose rate is above zero."""
+    names = [f"p_{d}" for d in DOMAINS]
+    rows = members.select("n_tokens", *names, rates(steps, [F.col(c) for c in names]).alias("r"))
+    n, free = F.col("n_tokens").cast("double"), F.when(F.col("r") > 0, F.col("n_tokens").cast("double")).otherwise(0.0)
+    k = range(len(names))
+    sums = [F.sum(n * F.col("r") * F.col(c)).alias(f"s{i}") for i, c in enumerate(names)] + [F.sum(free * F.col(names[i]) * F.col(names[j])).alias(f"a{i}{j}") for i in k for j in k if i <= j]
+    row = rows.agg(*sums).first()
+    value = lambda c: float(row[c] or 0.0)
+    return np.array([value(f"s{i}") for i in k]), np.array([[value(f"a{min(i, j)}{max(i, j)}") for j in k] for i in k])
+
+
+def _steepest(members: DataFrame, steps: list[Step], slope: Step) -> float:
+    """The largest projected gradient of any row: what a rate above zero may go either way, one at zero only up."""
+    names = [F.col(f"p_{d}") for d in DOMAINS]
+    g = sum((F.lit(s) * c for s, c in zip(slope, names)), F.lit(0.0))
+    r = rates(steps, names)
+    row = members.filter("n_tokens > 0").select(F.when(r > 0, F.abs(g)).otherwise(F.greatest(F.lit(0.0), -g)).alias("g")).agg(F.max("g")).first()
+    return float(row[0] or 0.0)
+
+
+def solve(members: DataFrame, targets: dict[str, float] = TARGETS) -> list[Step]:
+    """The steps that lead the rates of rows (n_tokens, p_good, p_low, p_toxic) from one to the least squared relative gaps."""
+    have, gram = _totals(members, [])
+    if have.sum() <= 0:
+        return []
+    want = np.array([targets[d] for d in DOMAINS], float)
+    want = want / want[0] * have[0] if want[0] > 0 and have[0] > 0 else want / want.sum() * have.sum()
+    scale = np.maximum(want, 1e-6 * have.sum())  # a target of zero tokens has a gap too
+    gap = lambda s: (s - want) / scale
+    steps: list[Step] = []
+    off, damping = gap(have), 1e-9
+    for _ in range(MAX_PASSES):
+        if np.abs(off).max() <= TOLERANCE:
+            break
+        metric = gram / np.outer(scale, scale)
+        lead = float(np.trace(metric))
+        e = np.linalg.solve(metric + damping * lead * np.eye(len(want)), off) / scale
+        step = tuple(round(float(x), PLACES) for x in e)
+        tried, tried_gram = _totals(members, [*steps, step])
+        before, after = float(off @ off), float(gap(tried) @ gap(tried))
+        if after < before:
+            steps.append(step)
+            off, gram = gap(tried), tried_gram
+            damping = max(damping / 10, 1e-9)
         else:
-            y, momentum = new + (momentum - 1) / after * (new - rate), after
-        rate = new
-        if step % POLISH == 0:
-            if done(rate):
-                return rate
-            y = rate = _settle(share, p, gap, rate)
-            momentum = 1.0
-            if done(rate):
-                return rate
-    raise RuntimeError(f"the rates do not converge in {MAX_STEPS} steps")
-
-
-def _settle(share: np.ndarray, p: np.ndarray, gap: Callable[[np.ndarray], np.ndarray], rate: np.ndarray) -> np.ndarray:
-    """The least squares over the entries above zero, by the least change; an entry that falls to zero on the way stays there."""
-    free = rate > 0
-    while free.any():
-        root = np.sqrt(share[free])
-        move = np.zeros(len(rate))
-        move[free] = np.linalg.lstsq((p[free] * root[:, None]).T, -gap(rate), rcond=1e-14)[0] / root
-        falls = free & (rate + move < 0)
-        if not falls.any():
-            return rate + move
-        part = np.full(len(rate), np.inf)
-        part[falls] = rate[falls] / -move[falls]
-        rate = np.maximum(0.0, rate + part.min() * move)
-        rate[part.argmin()] = 0.0
-        free = rate > 0
-    return rate
+            damping *= 100
+        if after >= before * 0.999:  # next to no gain: at the optimum of targets out of reach?
+            slope = tuple(float(x) for x in off / scale * have.sum())
+            if damping > 1e6 or _steepest(members, steps, slope) <= TOLERANCE * float(np.abs(slope).max()):
+                break
+    return steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, p_good, p_low, p_toxic, rate and copies."""
     model = fit(docs, labels, id_col, text_col)
-    found = features(docs, text_col, [F.col(id_col).alias("id")])
-    members = materialise(found.select("id", "n_tokens", model.cell(F.col("features")).alias("cell")), "posteriors")
-    rate = _by_cell(solve(members, model.table, targets))
-    posterior = [_by_cell([row[k] for row in model.table]).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return members.select(F.col("id").alias(id_col), "n_tokens", *posterior, rate.alias("rate"), copies(F.col("id"), rate).alias("copies"))
+    held = materialise(measured(features(docs, text_col, [F.col(id_col).alias("id")]), model.telling), "memberships")
+    posterior = [p.alias(f"p_{d}") for p, d in zip(model.posteriors(), DOMAINS)]
+    members = held.select("id", "n_tokens", *posterior)
+    steps = solve(members, targets)
+    rated = members.withColumn("rate", rates(steps, [F.col(f"p_{d}") for d in DOMAINS]))
+    return rated.select(F.col("id").alias(id_col), "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies(F.col("id"), F.col("rate")).alias("copies"))
 
 
 def copies(key: Column, rate: Column) -> Column:
@@ -223,12 +221,15 @@ def copies(key: Column, rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, each as often as its copies, with all their columns. Narrow passes; texts are not shuffled."""
+    """The documents, each as often as its copies, with all their columns.
+
+    Rows and measures are written once; the steps read the measures' columns only. Texts are not shuffled.
+    """
     model = fit(docs, labels, id_col, text_col)
-    held = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id")])
-    held = held.select("row", "id", "n_tokens", model.cell(F.col("features")).alias("cell"))
-    members = materialise(held.select("n_tokens", "cell"), "posteriors")
-    rate = _by_cell(solve(members, model.table, targets))
-    times = held.select("row", copies(F.col("id"), rate).cast("int").alias("times"))
-    # no filter on times: it would be pushed below the features, where each text is cut again for each use
+    found = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id")])
+    held = materialise(measured(found, model.telling), "memberships")
+    posterior = [p.alias(f"p_{d}") for p, d in zip(model.posteriors(), DOMAINS)]
+    steps = solve(held.select("n_tokens", *posterior), targets)
+    rated = held.select("row", "id", *posterior).withColumn("rate", rates(steps, [F.col(f"p_{d}") for d in DOMAINS]))
+    times = rated.select("row", copies(F.col("id"), F.col("rate")).cast("int").alias("times"))
     return times.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

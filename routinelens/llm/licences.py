@@ -3,16 +3,17 @@
 Templates are word sequences with the positions of their words; ``STOP`` words keep their position but are not
 indexed. A template matches at a start if at least ``SHARE`` of its indexed words stand at their relative
 positions there and all words of its mandatory key phrases do. A match lacks at most n - m of a template's n words
-(m = ceil(SHARE * n)), so it holds one of the template's n - m + 1 words of highest IDF over all documents: a file's
-words among these are looked up, each posting gives a (template, start) by relative position, and the starts found
-are verified by how many indexed words, and how many mandatory ones, point to the same start. The selection by IDF
-therefore loses nothing.
+(m = ceil(SHARE * n)), so it holds one of the template's n - m + 1 words of highest IDF over all documents: only a file's
+words among these are looked up, each posting gives a (template, start) by relative position, and only the starts found
+are verified, by looking at the words that stand at the template's relative positions. Starts that the rare words do not point to are
+never looked at, and the selection by IDF loses none.
 
-The base phrases are templates whose every word is mandatory; each of their places is a match.
+The base phrases are templates whose every word is mandatory; each of their places is a match, and the rarest word of each finds it.
 
 Defined results: a null or empty text has no words and score 0. The score is the largest share of a matched template.
-Repeated rows give repeated results; columns other than the id and the text are not read. The text is read
-once; what is kept of it are its positions of template words.
+Repeated rows give repeated results, and equal IDFs are settled by position. Columns other than the id and the text are not read, so
+their names cannot clash. Whole texts are read once; what is kept of a text is the codes of its words, in the row that held it, and
+verifying takes time in proportion to its rare words, however long it is. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: The phrases of the base labels.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: Words of licence texts (label, template, mandatory key phrase).
+#: Words of licence texts (label, template, mandatory key phrase), short notices first, then whole grants.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "associated documentation files"),
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "except in compliance"),
@@ -46,6 +47,46 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "creative commons attribution 4 0 international", "creative commons attribution"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+        "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "to deal in the software without restriction",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright "
+        "notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+        "retain the above copyright notice",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "the author disclaims all warranties",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "unless required by applicable law",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your "
+        "option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "free software foundation",
+    ),
+    (
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "commercial or non commercial",
+    ),
 )
 #: Frequent words that are not indexed.
 STOP = frozenset("a an and any are by can for in into is it may not of or the this to under use with you".split())
@@ -80,6 +121,11 @@ class Index:
                     by[self.code[x]].append(t * _SHIFT + _BIAS - i)
         return F.array(*[F.array(*map(F.lit, p)).cast("array<bigint>") for p in by])
 
+    def templates(self) -> Column:
+        """By template, the codes and positions of its indexed words and whether each is mandatory."""
+        word = lambda t, i, x: F.struct(F.lit(i).alias("at"), F.lit(self.code[x]).alias("code"), F.lit(i in self.mandatory[t]).alias("must"))
+        return F.array(*[F.array(*[word(t, i, x) for i, x in kept]) for t, kept in enumerate(self.words)])
+
     def rare(self, idf: dict[int, float]) -> list[set[int]]:
         """Of each template the positions of its n - m + 1 words of highest IDF."""
         out = []
@@ -89,67 +135,66 @@ class Index:
         return out
 
 
-def word_hits(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    """Per row, written once: id, n_words and the positions and codes of template words."""
+def word_codes(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+    """Per row, written once: id, n_words and codes, the code of each word, -1 of a word of no template; null if there is none but these."""
     words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
-    places = F.filter(
-        F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.lower(F.get("words", i)).isin(index.vocabulary) & (F.octet_length(F.get("words", i)) == F.length(F.get("words", i))),
-    )
-    codes = F.create_map(*[x for w, c in index.code.items() for x in (F.lit(w), F.lit(c))])
-    hits = F.transform(places, lambda i: F.struct(i.alias("pos"), F.element_at(codes, F.lower(F.get("words", i))).alias("code")))
-    return materialise(words.select("id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")), "licence-words")
+    numbers = F.create_map(*[x for w, c in index.code.items() for x in (F.lit(w), F.lit(c))])
+    # a letter outside ASCII may have a lower case inside it, which the contract's A-Z does not
+    known = lambda w: F.lower(w).isin(index.vocabulary) & (F.octet_length(w) == F.length(w))
+    codes = F.when(F.exists("words", known), F.transform("words", lambda w: F.when(known(w), F.element_at(numbers, F.lower(w))).otherwise(F.lit(-1))))
+    return materialise(words.select("id", F.size("words").cast("long").alias("n_words"), codes.alias("codes")), "licence-words")
 
 
-def inverse_frequencies(hits: DataFrame) -> dict[int, float]:
+def inverse_frequencies(found: DataFrame) -> dict[int, float]:
     """IDF by word code, over all documents; at most one row a template word is collected."""
-    total = hits.count()
-    seen = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["code"]))).alias("code")).groupBy("code").count().collect()
+    total = found.count()
+    seen = found.filter("codes is not null").select(F.explode(F.array_distinct("codes")).alias("code")).filter("code >= 0").groupBy("code").count().collect()
     return {r["code"]: math.log((total + 1) / (r["count"] + 1)) for r in seen}
 
 
-def _starts(postings: Column) -> Column:
-    """template * _SHIFT + _BIAS + start for each posting of each hit, sorted."""
-    return F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(F.get(postings, h["code"]), lambda p: p + h["pos"]))))
-
-
 def _template(key: Column) -> Column:
     return F.floor(key / _SHIFT).cast("int")
 
 
-def _at_least(name: str, least: Column) -> Column:
-    """The keys of the sorted array column ``name`` that it holds ``least[template]`` times or more."""
-    i = F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1)).otherwise(F.array().cast("array<int>"))
-    full = F.filter(i, lambda k: F.get(name, k) == F.get(name, k + F.get(least, _template(F.get(name, k))) - 1))
-    return F.array_distinct(F.transform(full, lambda k: F.get(name, k)))
+def _start(key: Column) -> Column:
+    return (key - _template(key).cast("long") * _SHIFT - _BIAS).cast("int")
+
+
+def looked_up(found: DataFrame, index: Index, rare: list[set[int]]) -> DataFrame:
+    """Adds looked: the (template, start) keys, each once and sorted, that the rare words of a row point to."""
+    codes = sorted({index.code[x] for t, kept in enumerate(index.words) for i, x in kept if i in rare[t]})
+    postings = index.postings(rare)
+    i = F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1))
+    places = F.filter(i, lambda k: F.get("codes", k).isin(codes))
+    keys = F.flatten(F.transform(places, lambda k: F.transform(F.get(postings, F.get("codes", k)), lambda p: p + k)))
+    return found.withColumn("looked", F.coalesce(F.array_sort(F.array_distinct(keys)), F.array().cast("array<bigint>")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score and n_looked, the starts that were verified."""
     index = Index()
-    hits = word_hits(docs, index, id_col, text_col)
-    rare = index.rare(inverse_frequencies(hits))
-    every = [{i for i, _ in kept} for kept in index.words]
+    found = word_codes(docs, index, id_col, text_col)
+    found = looked_up(found, index, index.rare(inverse_frequencies(found)))
     ints = lambda values: F.array(*map(F.lit, values))
-    found = hits.select(
-        "id",
-        "n_words",
-        F.array_distinct(_starts(index.postings(rare))).alias("looked"),
-        _starts(index.postings(every)).alias("every"),
-        _starts(index.postings(index.mandatory)).alias("must"),
-    )
-    found = found.withColumn("enough", _at_least("every", ints(index.need))).withColumn("verified", _at_least("must", ints([len(m) for m in index.mandatory])))
-    found = found.withColumn("matches", F.array_intersect(F.array_intersect("looked", "enough"), "verified"))
-    sizes = ints([len(kept) for kept in index.words])
+    templates, need, sizes = index.templates(), ints(index.need), ints([len(kept) for kept in index.words])
+
+    def there(key, w):
+        at = _start(key) + w["at"]
+        return F.coalesce((at >= 0) & (F.get("codes", at) == w["code"]), F.lit(False))
+
+    def verified(key):
+        words = F.get(templates, _template(key))
+        hits = F.size(F.filter(words, lambda w: there(key, w)))
+        whole = F.forall(words, lambda w: ~w["must"] | there(key, w))
+        return F.struct(key.alias("key"), F.when(whole, hits).otherwise(F.lit(0)).alias("hits"))
+
+    tried = found.withColumn("matches", F.filter(F.transform("looked", verified), lambda m: m["hits"] >= F.get(need, _template(m["key"]))))
     names = F.array(*map(F.lit, index.labels))
-    base = F.filter("matches", lambda k: _template(k) < len(BASE))
-    place = F.transform(base, lambda k: k - _template(k).cast("long") * _SHIFT - _BIAS)
-    label = lambda keys: F.array_join(F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.get(names, _template(k))))), ",")
-    share = F.transform(
-        "matches",
-        lambda k: F.size(F.filter(F.slice("every", F.array_position("every", k).cast("int"), F.get(sizes, _template(k))), lambda x: x == k)) / F.get(sizes, _template(k)),
-    )
-    return found.select(
+    base = F.filter("matches", lambda m: _template(m["key"]) < len(BASE))
+    place = F.transform(base, lambda m: _start(m["key"]).cast("long"))
+    label = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: F.get(names, _template(m["key"]))))), ",")
+    share = F.transform("matches", lambda m: m["hits"] / F.get(sizes, _template(m["key"])))
+    return tried.select(
         F.col("id").alias(id_col),
         "n_words",
         F.size(base).cast("long").alias("n_base"),
@@ -158,6 +203,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         label(base).alias("base_labels"),
         label(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(share), F.lit(0.0)).alias("score"),
+        F.size("looked").cast("long").alias("n_looked"),
     )
 
 

@@ -35,7 +35,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(_table(spark, sf_dir, "documents"))
+    return licences.scan(_table(spark, sf_dir, "documents")).drop("n_looked")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

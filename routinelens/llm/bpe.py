@@ -10,7 +10,7 @@ checks this when it loads a vocabulary.
 Defined results: a null or empty text has no tokens, and decodes to the empty text. Rows are
 independent, so repeated rows give repeated results; columns other than the id and the text are not read.
 A text of any length is encoded whole. The vocabulary is a fixed file of about two MB that is read on the
-driver and broadcast.
+driver and broadcast. Ties between pairs are settled by rank, then from left to right. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Chunks kept between batches; a full cache is emptied, which costs time but changes nothing.
-CACHE_WORDS = 700_000
+#: Bytes of chunks and words, with their ids and tokens, kept between batches; a full cache is emptied, which costs time but changes
+#: nothing. A longer chunk or word (in characters) is never kept.
+CACHE_BYTES, CACHE_LENGTH = 320 << 20, 100
+#: Bytes that an entry takes beside its characters, about.
+_ENTRY = 300
 #: Code points for which Python's lower(), NFC and the character classes below were compared with the
 #: library's over the whole range. A text with any other goes through the library's own normaliser and splitter.
 _COMMON = re.compile(r"[^\x00-\x1b\x20-ȳΑ-Ρα-ωА-я‐-‧‰-⁞€]")
@@ -69,6 +72,7 @@ class PairIndex:
         self.library = None
         self.known: dict[str, tuple[str, str]] = {}
         self.seen: dict[str, tuple[str, str] | None] = {}
+        self.held = 0
 
     def library_words(self, text: str) -> list[str]:
         """The words of a text, by the library's own normaliser and splitter."""
@@ -198,13 +202,16 @@ class PairIndex:
         for chunks in cut:
             fresh.update(chunks)
         missing = fresh.difference(self.seen)
-        if len(self.seen) + len(missing) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.seen.clear()
             self.known.clear()
+            self.held = 0
             missing = fresh
+        words_missing: set[str] = set()
         if missing:
             parts = {c: self.words_of(c) for c in missing}
-            self.learn({w for words in parts.values() for w in words}.difference(self.known))
+            words_missing = {w for words in parts.values() for w in words}.difference(self.known)
+            self.learn(words_missing)
             known = self.known
             for c, words in parts.items():
                 if len(words) == 1:
@@ -218,6 +225,17 @@ class PairIndex:
         for chunks in cut:
             got = [g for g in map(seen, chunks) if g]
             yield " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        self._trim(self.seen, missing)
+        self._trim(self.known, words_missing)
+
+    def _trim(self, cache: dict[str, tuple[str, str] | None], new: set[str]) -> None:
+        """Count what new entries hold, and let go of the long ones."""
+        for c in new:
+            if len(c) > CACHE_LENGTH:
+                del cache[c]
+            else:
+                got = cache[c]
+                self.held += _ENTRY + len(c) + (len(got[0]) + len(got[1]) if got else 0)
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder of its own the vocabulary's tokens are joined by a space; unknown ids have none."""

@@ -5,8 +5,12 @@ entity tags by weak comparison if both have one, else Last-Modified dates; a rev
 response is not resolved. The resolved record has the response's headers, with those that a 304 may update taken from
 the revisit.
 
-Defined results: a null URL, or a URL without an earlier response, is not resolved. Of responses of one time the one of
-largest record id counts. Repeated revisits give repeated rows. A URL that holds a third of all records is split by time.
+Header names are compared in lower case, as HTTP has them, and given back so; of names that differ in case only the first counts.
+
+Defined results: a null URL, or a URL without an earlier response, is not resolved. Null headers are none. Of responses of one time the one of
+largest record id counts. Repeated revisits give repeated rows. URLs and headers may be empty or of any length. Columns other than the four
+named are not read, so their names cannot clash. No revisits give no rows; without responses all are missing. A URL that holds a third of
+all records is split by time.
 """
 
 from __future__ import annotations
@@ -31,6 +35,14 @@ def canonical(url: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.lower(host), "^(www|m)[.]", ""), ":(80|443)$", ""), F.regexp_replace(rest, "/$", ""))
 
 
+def _lower(headers: Column) -> Column:
+    """The headers with their names in lower case, the first of equal ones."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    made = F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(entries, lambda e: F.lower(e["key"]) == n), F.lit(0))["value"]))
+    return F.coalesce(made, F.create_map().cast("map<string,string>"))
+
+
 def _tag(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
@@ -41,8 +53,8 @@ def resolve(revisits: DataFrame, responses: DataFrame, width: int | None = None)
     status is resolved, changed (validators differ), unverified (no common validator) or missing (no earlier response).
     headers is null unless resolved.
     """
-    left = revisits.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", F.col("headers").alias("own"))
-    right = responses.select(F.col("record_id").alias("response_id"), canonical(F.col("url")).alias("url_key"), "ts", F.col("headers").alias("full"))
+    left = revisits.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", _lower(F.col("headers")).alias("own"))
+    right = responses.select(F.col("record_id").alias("response_id"), canonical(F.col("url")).alias("url_key"), "ts", _lower(F.col("headers")).alias("full"))
     found = asof(left, right.filter("url_key is not null"), ["url_key"], "ts", "response_id", ["response_id", "full"], width=width, inclusive=False)
     same = lambda name, f=lambda c: c: f(F.col("own")[name]) == f(F.col("full")[name])
     agrees = F.coalesce(same("etag", _tag), same("last-modified"))

@@ -15,11 +15,16 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else
    payloads agree on l bytes before and LENGTH - l bytes after it, byte by byte.
 5. The runs found go back to the texts that hold them, and the texts are cut.
 
-An anchor with over ``MAX_GROUP`` payloads is not sorted in one task: its windows are counted one by one by
-128-bit digests, an aggregate that any number of tasks share.
+An anchor that many payloads share is split before it is sorted. Two payloads agree on a window whose anchor stands at a distance from a to b
+only if they agree on the a bytes before the anchor and on the LENGTH - b bytes from it on. So each payload of such an anchor goes, for every interval
+[a, b] of ``INTERVALS``, to the group of those that have these bytes in common, with the b - a bytes to either side that are left
+to compare. Intervals are short where the common bytes are few; at a single distance nothing is left to compare, and a count by
+group, which tasks share, settles it. Other anchors have the one interval of all distances. Either way the bytes are
+compared by the same sort, and no result depends on where ``SPLIT`` stands.
 
 Defined results: a null text is empty. Texts shorter than LENGTH bytes stay whole. Repeated rows are copies of each other.
-Columns other than the id and the text are not read. Texts of any length are handled in slices.
+Columns other than the id and the text are not read, so their names cannot clash. Texts of any length are handled in slices. Of equal hashes in
+a window the leftmost is the anchor. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from routinelens.storage import materialise
+from routinelens.storage import materialise, new_path
 
 LENGTH = 200
 GRAM = 32
 SHALLOW = 8
-MAX_GROUP = 100_000
+#: The largest distance from the start of a window to its anchor.
+FAR = LENGTH - GRAM
+#: An anchor with more payloads than this is split by the intervals of distances below.
+SPLIT = 500
+INTERVALS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 31), (32, 63), (64, 104), (105, 136), (137, 152), (153, 160), (161, 164), (165, 166), (167, 167), (168, 168))
 SLICE = 1 << 19
 #: Texts handed on in one batch.
 PACKED = 500
@@ -174,27 +183,28 @@ def deep_shallow(items: list[bytes]) -> list[int]:
     return out
 
 
-def repeats(before: list[bytes], after: list[bytes], twice: list[bool]) -> list[list[tuple[int, int]]]:
-    """For payloads of one anchor string, the distances from window start to anchor whose windows another one has.
+def repeats(before: list[bytes], after: list[bytes], twice: list[bool], length: int) -> list[list[tuple[int, int]]]:
+    """For payloads that agree around an anchor, the distances from window start to there whose windows another one has.
 
-    before: the bytes before the anchor, reversed; after: those from the anchor on. For each payload, which itself has
-    all windows that fit, half-open intervals of distances; those of a payload that is found twice are left out.
+    before: the bytes before what they have in common, reversed; after: those behind it; length: how many bytes of both sides
+    together a window has. For each payload, which itself has all windows that fit, half-open intervals of distances; those of a
+    payload that is found twice are left out.
     """
     c = len(before)
     order_a, order_b = deep_shallow(after), deep_shallow(before)
     lcp_a = np.array([0] + [common(after[i], after[j]) for i, j in zip(order_a, order_a[1:])])
     lcp_b = np.array([0] + [common(before[i], before[j]) for i, j in zip(order_b, order_b[1:])])
     order_a, order_b = np.array(order_a), np.array(order_b)
-    low = np.array([LENGTH - len(x) for x in after])
+    low = np.array([length - len(x) for x in after])
     high = np.array([len(x) for x in before])
-    ends = np.unique(np.concatenate((lcp_b + 1, LENGTH - lcp_a, low, high + 1)))
+    ends = np.unique(np.concatenate((lcp_b + 1, length - lcp_a, low, high + 1)))
     ends = ends[(ends >= max(0, int(low.min()))) & (ends <= int(high.max()) + 1)]
     once = ~np.array(twice)
     found: list[list[tuple[int, int]]] = [[] for _ in range(c)]
     kind = np.empty(c, np.int64)
     part = np.empty(c, np.int64)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        kind[order_a] = np.cumsum(lcp_a < LENGTH - a)
+        kind[order_a] = np.cumsum(lcp_a < length - a)
         part[order_b] = np.cumsum(lcp_b < a)
         live = np.flatnonzero((low <= a) & (high >= a))
         if len(live) < 2:
@@ -208,8 +218,8 @@ def repeats(before: list[bytes], after: list[bytes], twice: list[bool]) -> list[
     return found
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, key, n_bytes, sha) and the distinct texts (key, compressed text, copies), bucketed by key."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The documents (id, key, n_bytes, sha) and the name of a table in the shared folder: the distinct texts (key, compressed text, copies), bucketed by key."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(text)).alias("key")
@@ -228,14 +238,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     distinct = long_enough.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
-    distinct.write.option("compression", "uncompressed").bucketBy(n, "key").saveAsTable(name)
-    _collect_garbage(spark)
-    return held, spark.table(name)
-
-
-def _collect_garbage(spark: SparkSession) -> None:
-    """Let the driver find that the shuffles of finished steps are out of use, so that their files go."""
-    spark._jvm.System.gc()
+    distinct.write.option("path", new_path(spark, "texts")).option("compression", "uncompressed").bucketBy(n, "key").saveAsTable(name)
+    return held, name
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -263,40 +267,52 @@ def _grams(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text", "copies").mapInArrow(run, "key binary, kh long, kp long, n long")
 
 
-def _payloads(wanted: DataFrame) -> DataFrame:
-    """From rows (text, wanted: array of (kh, kp, n)): rows (kh, kp, n, before, after)."""
+def pieces(before: bytes, after: bytes, intervals: tuple[tuple[int, int], ...]) -> Iterator[tuple[bytes, int, int, bytes, bytes]]:
+    """For each interval of distances that the payload has windows in: its group, the interval, and the bytes left to compare."""
+    low, high = LENGTH - len(after), len(before)
+    for a, b in intervals:
+        if low <= b and high >= a:
+            yield xxhash.xxh3_128_digest(bytes((a,)) + before[:a] + after[: LENGTH - b]), a, b, before[a:b], after[LENGTH - b : LENGTH - a]
+
+
+def _payloads(wanted: DataFrame, intervals: tuple[tuple[int, int], ...]) -> DataFrame:
+    """From rows (text, wanted: array of (kh, kp, n)): rows (g, a, b, kh, kp, n, before, after), one for each piece of each payload."""
+    names = ["g", "a", "b", "kh", "kp", "n", "before", "after"]
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, unpack = batch.column(0), zstandard.ZstdDecompressor().decompress
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for i in range(batch.num_rows):
                 text = unpack(column[i].as_py())
                 left = {(w["kh"], w["kp"]): w["n"] for w in batch.column(1)[i].as_py()}
                 h, place, first, after = runs(text)
                 signed = zip(h.view(np.int64).tolist(), payload_keys(text, first, after).view(np.int64).tolist(), place.tolist(), first.tolist(), after.tolist())
-                for kh, kp, p, a, b in signed:
+                for kh, kp, p, start, end in signed:
                     n = left.pop((kh, kp), None)
                     if n is not None:
-                        for x, v in zip(out, (kh, kp, n, text[a:p][::-1], text[p : b + LENGTH - 1])):
-                            x.append(v)
+                        for g, a, b, x, y in pieces(text[start:p][::-1], text[p : end + LENGTH - 1], intervals):
+                            for column_of, v in zip(out, (g, a, b, kh, kp, n, x, y)):
+                                column_of.append(v)
                 if len(out[0]) > 50_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["kh", "kp", "n", "before", "after"])
-                    out = [[], [], [], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+                    out = [[] for _ in names]
 
-    return wanted.select("text", "wanted").mapInArrow(run, "kh long, kp long, n long, before binary, after binary")
+    return wanted.select("text", "wanted").mapInArrow(run, "g binary, a int, b int, kh long, kp long, n long, before binary, after binary")
 
 
 _CUTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _sorted_groups(payloads: DataFrame) -> DataFrame:
-    """Rows (kh, kp, cuts) from payloads that lie together and in order by kh."""
+    """Rows (kh, kp, cuts) from pieces that lie together and in order by g."""
 
     def settle(group: list[tuple]) -> tuple[list, list, list]:
-        found = repeats([g[3] for g in group], [g[4] for g in group], [g[2] > 1 for g in group])
+        shift, size = group[0][1], group[0][2] - group[0][1]
+        found = repeats([g[6] for g in group], [g[7] for g in group], [g[5] > 1 for g in group], size)
         hit = [(g, f) for g, f in zip(group, found) if f]
-        return [g[0] for g, _ in hit], [g[1] for g, _ in hit], [[{"a": a, "b": b} for a, b in f] for _, f in hit]
+        return [g[3] for g, _ in hit], [g[4] for g, _ in hit], [[{"a": a + shift, "b": b + shift} for a, b in f] for _, f in hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -308,38 +324,29 @@ def _sorted_groups(payloads: DataFrame) -> DataFrame:
                 x.clear()
             return made
 
+        def close() -> None:
+            if len(group) > 1:
+                for x, y in zip(out, settle(group)):
+                    x += y
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][0] != row[0]:
-                    for x, y in zip(out, settle(group)):
-                        x += y
+                    close()
                     group = []
                 group.append(row)
             yield flush()
-        if group:
-            for x, y in zip(out, settle(group)):
-                x += y
-            yield flush()
+        close()
+        yield flush()
 
     return payloads.mapInArrow(run, "kh long, kp long, cuts array<struct<a:int,b:int>>")
 
 
-def _counted_windows(payloads: DataFrame) -> DataFrame:
-    """Rows (kh, kp, cuts) for payloads of hot anchors: each window is counted by its digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for kh, kp, n, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                text, at = before[::-1] + after, len(before)
-                starts = range(len(text) - LENGTH + 1)
-                size = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array([kh] * size, pa.int64()), pa.array([kp] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array([at - s for s in starts], pa.int32()), pa.array([digest(text[s : s + LENGTH]) for s in starts], pa.binary())], ["kh", "kp", "n", "l", "digest"])
-
-    windows = payloads.mapInArrow(run, "kh long, kp long, n long, l int, digest binary")
-    twice = windows.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
-    hit = windows.filter("n = 1").join(twice, "digest").groupBy("kh", "kp").agg(F.collect_list(F.struct(F.col("l").alias("a"), (F.col("l") + 1).alias("b"))).alias("cuts"))
-    return hit.select("kh", "kp", hit["cuts"].cast("array<struct<a:int,b:int>>").alias("cuts"))
+def _counted(single: DataFrame) -> DataFrame:
+    """Rows (kh, kp, cuts) from pieces at single distances: those of a group of two or more are found elsewhere too."""
+    often = single.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("g")
+    cut = F.array(F.struct(F.col("a").alias("a"), (F.col("a") + 1).alias("b")))
+    return single.filter("n = 1").join(often, "g").select("kh", "kp", cut.alias("cuts"))
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -351,7 +358,10 @@ def _cut(texts: DataFrame) -> DataFrame:
             removed, spans, kept = [], [], []
             for i in range(batch.num_rows):
                 text = unpack(column[i].as_py())
-                found = {(f["kh"], f["kp"]): f["cuts"] for f in batch.column(2)[i].as_py()}
+                found: dict[tuple[int, int], list | None] = {}
+                for f in batch.column(2)[i].as_py():
+                    cuts = f["cuts"]
+                    found[f["kh"], f["kp"]] = None if cuts is None else (found.get((f["kh"], f["kp"])) or []) + cuts
                 h, place, first, after = runs(text)
                 edge = np.zeros(len(text) + 1, np.int32)
                 keys = zip(h.view(np.int64).tolist(), payload_keys(text, first, after).view(np.int64).tolist(), place.tolist(), first.tolist(), after.tolist())
@@ -372,42 +382,46 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    held, texts = _texts(docs, id_col, text_col)
+    held, name = _texts(docs, id_col, text_col)
+    try:
+        cut, copied = _found(docs.sparkSession.table(name))
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    every = held.join(copied, "key", "left").join(cut, "key", "left")
+    return every.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copied"), F.lit(EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    )
+
+
+def _found(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the distinct texts, those that are cut (key, n_removed, n_spans, kept) and those that go whole as copies (key, copied); both written."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = materialise(_grams(texts), "payloads")
     counted = grams.groupBy("kh", "kp").agg(F.sum("n").alias("n"))
-    by = W.partitionBy("kh")
-    seen = counted.withColumn("c", F.count(F.lit(1)).over(by)).withColumn("total", F.sum("n").over(by)).filter("total > 1")
-    known = materialise(seen.select("kh", "kp", "n", F.col("c").alias("rivals")), "repeated-payloads")
-    _collect_garbage(spark)
+    anchors = counted.groupBy("kh").agg(F.count(F.lit(1)).alias("rivals"), F.sum("n").alias("total")).filter("total > 1").select("kh", "rivals")
+    known = materialise(counted.join(anchors, "kh").select("kh", "kp", "n", "rivals"), "repeated-payloads")
     held_by = materialise(grams.select("key", "kh", "kp").join(known, ["kh", "kp"]), "payloads-of-texts")
-    _collect_garbage(spark)
 
     some = held_by.filter("rivals > 1").groupBy("kh", "kp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("rivals").alias("rivals"))
-    hot = F.col("rivals") > MAX_GROUP
-    wanted = some.groupBy("key", hot.alias("hot")).agg(F.collect_list(F.struct("kh", "kp", "n")).alias("wanted"))
+    wanted = some.groupBy("key", (F.col("rivals") > SPLIT).alias("hot")).agg(F.collect_list(F.struct("kh", "kp", "n")).alias("wanted"))
     wanted = materialise(wanted, "wanted-payloads")
-    few = _payloads(texts.join(wanted.filter("not hot"), "key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kh").sortWithinPartitions("kh")
-    found = _sorted_groups(few)
-    if not wanted.filter("hot").isEmpty():
-        many = materialise(_payloads(texts.join(wanted.filter("hot"), "key")), "hot-payloads")
-        found = found.unionByName(_counted_windows(many))
+    # both kinds meet in one sort, so that its tasks are not those of the hot anchors alone
+    lie_together = lambda rows: rows.repartition(parts, "g").sortWithinPartitions("g")
+    few = _payloads(texts.join(wanted.filter("not hot"), "key"), ((0, FAR),))
+    if wanted.filter("hot").isEmpty():
+        found = _sorted_groups(lie_together(few))
+    else:
+        many = materialise(_payloads(texts.join(wanted.filter("hot"), "key"), INTERVALS), "split-payloads")
+        found = _sorted_groups(lie_together(few.unionByName(many.filter("a < b")))).unionByName(_counted(many.filter("a = b")))
     found = materialise(found, "repeated-windows")
-    _collect_garbage(spark)
 
     whole = held_by.filter("n > 1").select("key", "kh", "kp", F.lit(None).cast("array<struct<a:int,b:int>>").alias("cuts"))
     partly = held_by.filter("n = 1 and rivals > 1").select("key", "kh", "kp").join(found, ["kh", "kp"])
     marks = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("kh", "kp", "cuts")).alias("found"))
     single = texts.filter("copies = 1").select("key", "text")
     cut = materialise(_cut(single.join(marks, "key").select("key", "text", "found")), "cut-texts")
-    _collect_garbage(spark)
-
-    copied = texts.filter("copies > 1").select("key", F.lit(True).alias("copied"))
-    every = held.join(copied, "key", "left").join(cut, "key", "left")
-    return every.select(
-        F.col("id").alias(id_col),
-        "n_bytes",
-        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("copied"), F.lit(EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    )
+    return cut, materialise(texts.filter("copies > 1").select("key", F.lit(True).alias("copied")), "copied-texts")

@@ -8,9 +8,10 @@ regression on votes, kind and length. The classifier adds spans; base spans alwa
 
 What is gathered are counts by (kind, votes, length class): at most 5 * 3^5 * 4 rows, whatever the input.
 
-Defined results: a null or empty text has no spans, and base_sha256 is that of the empty string. Offsets are code
-points, ends exclusive. Added spans overlap no base span and no added one of their kind. Repeated rows give
-repeated results; columns other than the id and the text are not read.
+Defined results: a null or empty text has no spans, and base_sha256 is that of the empty string. Very long texts are read whole, in the
+row that holds them. Offsets are code points, ends exclusive. Added spans overlap no base span and no added one of their kind;
+of equal starts the shorter one is taken. Repeated rows give repeated results; columns other than the id and the text are not read, so
+their names cannot clash. No documents give no rows, and no candidates no classifier.
 """
 
 from __future__ import annotations
@@ -251,17 +252,18 @@ def train(counts: dict[int, int]) -> dict[int, float]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bar: float = 0.5) -> DataFrame:
-    """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
+    """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans, the number of all spans."""
     found = materialise(candidates(docs, id_col, text_col), "personal-data")
     counted = found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()
     chance = train({r["code"]: r["count"] for r in counted})
     size = len(KINDS) * 3**LABELERS * SIZES
     said = F.lit("".join("1" if chance.get(c, 0.0) >= bar else "0" for c in range(size)))
     stays = F.filter("found", lambda s: s["base"] | (F.substring(said, s["code"] + 1, F.lit(1)) == "1"))
-    order = F.array_sort(F.transform(stays, lambda s: F.struct(s["kind"], s["start"], s["end"])))
+    order = F.array_sort(F.transform("found", lambda s: F.struct(s["kind"], s["start"], s["end"])))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    return found.select(id_col, *[f"n_{k}" for k in KINDS[:N_BASE]], "base_sha256", text.alias("spans"))
+    found = found.withColumn("found", stays)
+    return found.select(id_col, *[f"n_{k}" for k in KINDS[:N_BASE]], "base_sha256", text.alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bar: float = 0.5) -> DataFrame:

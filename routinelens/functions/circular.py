@@ -17,7 +17,7 @@ def distance(a: Column, b: Column, period: int = PERIOD) -> Column:
 
 
 def mean(minute: Column) -> Column:
-    """Aggregate: the circular mean; where all cancel out, the smallest value."""
+    """Aggregate: the circular mean; where all cancel out, the smallest value, as rows have no first."""
     s, c = F.sum(F.sin(minute * _TURN)), F.sum(F.cos(minute * _TURN))
     turned = F.pmod(F.atan2(s, c) / _TURN, F.lit(float(PERIOD)))
     return F.when((F.abs(s) < 1e-9) & (F.abs(c) < 1e-9), F.min(minute).cast("double")).otherwise(turned)

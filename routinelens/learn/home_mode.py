@@ -70,9 +70,10 @@ def filtered(x: np.ndarray, mean: np.ndarray, var: np.ndarray, a: np.ndarray) ->
 def modes(levels: DataFrame, counts: tuple[int, ...] = (2, 3)) -> DataFrame:
     """From activity (domain, bin, active) the mode of each bin: (bin, mode), modes in order of their activity.
 
-    At most MAX_BINS bins go to a task for each number of states; the number with the lower BIC stays.
+    The fit is on the last MAX_BINS bins, every bin is decoded; a bin is a quarter of an hour, however many rows it has, so that
+    a task for each number of states holds a few MB a decade. The number with the lower BIC stays.
     """
-    wide = levels.groupBy("bin").pivot("domain").agg(F.first("active")).na.fill(0).orderBy(F.desc("bin")).limit(MAX_BINS)
+    wide = levels.groupBy("bin").pivot("domain").agg(F.first("active")).na.fill(0)
     cols = [c for c in wide.columns if c != "bin"]
     tries = wide.crossJoin(wide.sparkSession.createDataFrame([(k,) for k in counts], "k int"))  # a fixed handful of rows
 
@@ -81,9 +82,10 @@ def modes(levels: DataFrame, counts: tuple[int, ...] = (2, 3)) -> DataFrame:
         x, k = np.log1p(np.maximum(pdf[cols].to_numpy(float), 0)), int(pdf["k"].iloc[0])
         if len(x) < 4 * k:
             return pd.DataFrame({"k": [], "bin": [], "mode": [], "bic": []})
-        mean, var, a, like = fit(x, k)
+        seen = x[-MAX_BINS:]
+        mean, var, a, like = fit(seen, k)
         rank = np.argsort(np.argsort(mean.sum(axis=1)))
-        bic = (k * 2 * x.shape[1] + k * (k - 1)) * np.log(len(x)) - 2 * like
+        bic = (k * 2 * x.shape[1] + k * (k - 1)) * np.log(len(seen)) - 2 * like
         return pd.DataFrame({"k": k, "bin": pdf["bin"].to_numpy(), "mode": rank[filtered(x, mean, var, a)], "bic": bic})
 
     decoded = tries.groupBy("k").applyInPandas(run, "k int, bin long, mode int, bic double")

@@ -10,7 +10,10 @@ SECOND, MINUTE, HOUR, DAY = 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000
 #: States that mean no reading.
 NO_READING = ("unknown", "unavailable", "")
 #: Domains whose entities can be acted on.
-ACTIONABLE = ("light", "switch", "media_player", "climate", "cover", "fan", "lock", "vacuum", "valve", "humidifier", "input_boolean", "input_select", "scene", "script", "siren", "water_heater", "button", "number", "select")
+ACTIONABLE = ("light", "switch", "fan", "cover", "climate", "media_player", "lock", "vacuum", "humidifier", "water_heater", "input_boolean", "input_number", "input_select", "select", "number", "siren", "valve", "lawn_mower", "scene", "script")
+#: Domains where a wrong rule costs more, and services that leave a home less secured.
+RISKY = ("lock", "cover", "valve", "alarm_control_panel", "water_heater", "siren", "lawn_mower", "vacuum")
+SECURITY = ("lock.unlock", "lock.open", "cover.open_cover", "cover.open_cover_tilt", "valve.open_valve", "alarm_control_panel.alarm_disarm")
 
 
 def micros(ts: Column) -> Column:

@@ -11,7 +11,7 @@ from routinelens.model import DAY, MINUTE
 
 BIN = 15 * MINUTE
 #: States in which an entity is not active.
-INACTIVE = ("off", "not_home", "closed", "idle", "standby", "unknown", "unavailable", "")
+INACTIVE = ("off", "not_home", "away", "closed", "locked", "docked", "idle", "paused", "standby", "none", "unknown", "unavailable", "")
 
 
 def bins(changes: DataFrame, start_us: int, end_us: int, width_us: int = BIN) -> DataFrame:
@@ -41,9 +41,21 @@ def gap_bucket(gap_us):
 
 
 def windows(rows: DataFrame, size: int = 6) -> DataFrame:
-    """Each row with the items before it on its day, the oldest first; windows stay within a day, so days run apart."""
-    by = W.partitionBy(F.floor(F.col("us") / DAY)).orderBy("us", "sid")
-    return rows.withColumn("before", F.collect_list("item").over(by.rowsBetween(-size, -1))).withColumn("gap", gap_bucket(F.col("us") - F.lag("us").over(by)))
+    """Each row with the items before it, the oldest first, in one running list over all history.
+
+    Days are windows of their own, for all tasks to share; what runs across midnight comes from a table of one row a day, the
+    last ``size`` items and the last time of each day, carried over days that have fewer.
+    """
+    held = rows.withColumn("d", F.floor(F.col("us") / DAY))
+    by = W.partitionBy("d").orderBy("us", "sid")
+    tails = held.withColumn("back", F.row_number().over(W.partitionBy("d").orderBy(F.desc("us"), F.desc("sid")))).filter(F.col("back") <= size)
+    ends = tails.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("us", "sid", "item"))).alias("tail"), F.max("us").alias("last"))
+    days = W.orderBy("d").rowsBetween(-size, -1)  # one row a day; any day holds an item or more
+    carry = ends.select("d", F.flatten(F.collect_list("tail").over(days)).alias("earlier"), F.lag("last").over(W.orderBy("d")).alias("last"))
+    own = held.join(carry, "d").withColumn("own", F.collect_list("item").over(by.rowsBetween(-size, -1)))
+    both = F.concat(F.col("earlier.item"), F.col("own"))
+    gap = F.col("us") - F.coalesce(F.lag("us").over(by), F.col("last"))
+    return own.select(*rows.columns, F.slice(both, F.greatest(F.lit(1), F.size(both) - size + 1), size).alias("before"), gap_bucket(gap).alias("gap"))
 
 
 def usable(annotated: DataFrame) -> DataFrame:

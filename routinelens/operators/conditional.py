@@ -28,8 +28,8 @@ def background(actions: DataFrame, start_us: int, end_us: int) -> DataFrame:
     return made.filter((F.col("us") >= start_us) & (F.col("us") < end_us)).select(*key, "us")
 
 
-def numeric_stump(samples: DataFrame) -> DataFrame:
-    """From rows (entity_id, state, signal, positive, num): the best threshold per kind and signal.
+def numeric_stump(samples: DataFrame, coverage: float = COVERAGE, lift: float = LIFT) -> DataFrame:
+    """From rows (entity_id, state, signal, positive, num): the best threshold per kind and signal that clears both bars.
 
     Thresholds are the distinct values to two places, both directions strict. Counts at each come from running sums over
     the sorted values, so a kind's samples are read once, not once a threshold.
@@ -52,12 +52,12 @@ def numeric_stump(samples: DataFrame) -> DataFrame:
     ).select(*key, "np", "nb", "cuts", "cut", "t.*")
     rated = tried.withColumn("coverage", F.col("p") / F.col("np")).withColumn("baseline", F.greatest(F.col("b"), F.lit(0.5)) / F.col("nb"))
     rated = rated.withColumn("lift", F.col("coverage") / F.col("baseline")).filter((F.col("np") >= MIN_POSITIVE) & (F.col("nb") >= MIN_BACKGROUND) & (F.col("cuts") >= 2))
-    good = rated.filter((F.col("coverage") >= COVERAGE) & (F.col("lift") >= LIFT)).withColumn("strength", F.col("coverage") * F.least(F.col("lift") / 2, F.lit(1.0)))
+    good = rated.filter((F.col("coverage") >= coverage) & (F.col("lift") >= lift)).withColumn("strength", F.col("coverage") * F.least(F.col("lift") / 2, F.lit(1.0)))
     best = F.row_number().over(total.orderBy(F.desc("strength"), "cut", "late"))
     return good.withColumn("rank", best).filter("rank = 1").select(*key, "direction", "cut", "coverage", "lift", "strength")
 
 
-def categorical_split(samples: DataFrame) -> DataFrame:
+def categorical_split(samples: DataFrame, coverage: float = 0.0, lift: float = 0.0) -> DataFrame:
     """From rows (entity_id, state, signal, positive, us, str): the modal value at actions, the first seen of equal ones."""
     key = ["entity_id", "state", "signal"]
     rows = samples.filter("str is not null")
@@ -66,4 +66,17 @@ def categorical_split(samples: DataFrame) -> DataFrame:
     modal = values.filter("p > 0").groupBy(*key).agg(F.max(F.struct("p", (-F.col("first")).alias("early"), "str", "b")).alias("m"))
     rated = modal.join(totals, key).filter((F.col("np") >= MIN_POSITIVE) & (F.col("nb") >= MIN_BACKGROUND))
     rated = rated.select(*key, F.col("m.str").alias("value"), (F.col("m.p") / F.col("np")).alias("coverage"), (F.greatest("m.b", F.lit(0.5)) / F.col("nb")).alias("baseline"))
-    return rated.withColumn("lift", F.col("coverage") / F.col("baseline"))
+    rated = rated.withColumn("lift", F.col("coverage") / F.col("baseline")).withColumn("strength", F.col("coverage") * F.least(F.col("lift") / 2, F.lit(1.0)))
+    return rated.filter((F.col("coverage") >= coverage) & (F.col("lift") >= lift))
+
+
+def conditions(samples: DataFrame, kinds: DataFrame, order: DataFrame, most: int = 2, coverage: float = COVERAGE, lift: float = LIFT) -> DataFrame:
+    """Per action kind its strongest signals, at most ``most``: the first is the trigger, others are conditions.
+
+    samples (entity_id, state, signal, positive, us, num, str), kinds (signal, numeric), order (signal, place) to settle equal strengths.
+    """
+    told = samples.join(kinds, "signal")
+    stumps = numeric_stump(told.filter("numeric"), coverage, lift).select("entity_id", "state", "signal", F.concat_ws(" ", "direction", F.col("cut").cast("string")).alias("test"), "coverage", "lift", "strength")
+    splits = categorical_split(told.filter("not numeric"), coverage, lift).select("entity_id", "state", "signal", F.concat(F.lit("is "), F.col("value")).alias("test"), "coverage", "lift", "strength")
+    ranked = stumps.unionByName(splits).join(order, "signal").withColumn("rank", F.row_number().over(W.partitionBy("entity_id", "state").orderBy(F.desc("strength"), "place", "signal")))
+    return ranked.filter(F.col("rank") <= most).select("entity_id", "state", "rank", "signal", "test", "coverage", "lift", "strength")

@@ -56,15 +56,76 @@ def device_races(rules: DataFrame, devices: DataFrame) -> DataFrame:
     return pairs.filter(_overlap("a", "b")).select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), F.col("a.device_id").alias("device_id")).distinct()
 
 
-def exclusive(conditions: DataFrame) -> DataFrame:
-    """Pairs of rules that provably never hold together, from rows (rule_id, kind, entity_id, states, above, below, weekdays).
+#: How severe each kind of conflict is.
+SEVERITY = {"loop": 3, "inconsistent": 3, "self": 3, "race": 2, "redundant": 2, "unresolved": 2}
 
-    One contradicting pair of conditions is enough: disjoint states of an entity, a band below another, disjoint weekdays.
+
+def expand(targets: DataFrame, entities: DataFrame) -> DataFrame:
+    """Targets (rule_id, entity_id, area_id, device_id, state) as entities (rule_id, target_entity, target_state, resolved).
+
+    An area or a device stands for all its entities (entity_id, area_id, device_id); one that has none is not resolved.
+    """
+    own = targets.filter("entity_id is not null").select("rule_id", F.col("entity_id").alias("target_entity"), F.col("state").alias("target_state"), F.lit(True).alias("resolved"))
+    held = lambda key: targets.filter(F.col("entity_id").isNull() & F.col(key).isNotNull()).select("rule_id", key, "state").join(entities.select(key, F.col("entity_id").alias("target_entity")), key, "left").select("rule_id", "target_entity", F.col("state").alias("target_state"), F.col("target_entity").isNotNull().alias("resolved"))
+    return own.unionByName(held("area_id")).unionByName(held("device_id")).distinct()
+
+
+def unresolved(expanded: DataFrame) -> DataFrame:
+    """Rules with a target that cannot be enumerated."""
+    return expanded.filter("not resolved").select("rule_id").distinct()
+
+
+def siblings(entities: DataFrame) -> DataFrame:
+    """Pairs (entity_id, sibling) of one device."""
+    a, b = entities.select("device_id", "entity_id"), entities.select("device_id", F.col("entity_id").alias("sibling"))
+    return a.join(b, "device_id").filter("entity_id <> sibling").select("entity_id", "sibling")
+
+
+def _without(pairs: DataFrame, proven: DataFrame | None) -> DataFrame:
+    """Pairs of rules but for those that provably never hold together (rule_a < rule_b)."""
+    return pairs if proven is None else pairs.join(proven, ["rule_a", "rule_b"], "left_anti")
+
+
+def check(rules: DataFrame, devices: DataFrame, proven: DataFrame | None = None) -> DataFrame:
+    """All checks as rows (kind, rule_a, rule_b, detail, severity), each once, the most severe first."""
+    rows = [
+        _without(inconsistent(rules), proven).select("kind", "rule_a", "rule_b", F.col("entity_id").alias("detail")),
+        _without(redundant(rules), proven).select("kind", "rule_a", "rule_b", F.col("entity_id").alias("detail")),
+        _without(device_races(rules, devices), proven).select(F.lit("race").alias("kind"), "rule_a", "rule_b", F.col("device_id").alias("detail")),
+        self_conflicts(rules).select(F.lit("self").alias("kind"), F.col("rule_id").alias("rule_a"), F.col("rule_id").alias("rule_b"), F.col("entity_id").alias("detail")),
+        loops(rules).select(F.lit("loop").alias("kind"), F.col("rule_id").alias("rule_a"), F.col("rule_id").alias("rule_b"), F.col("way").alias("detail")),
+    ]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    level = F.element_at(F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+    return every.distinct().withColumn("severity", level).orderBy(F.desc("severity"), "kind", "rule_a", "rule_b", "detail")
+
+
+def blocked(found: DataFrame) -> DataFrame:
+    """Rules with a conflict of the highest severity."""
+    worst = found.filter(F.col("severity") >= 3)
+    return worst.select(F.explode(F.array("rule_a", "rule_b")).alias("rule_id")).distinct()
+
+
+def audit(rules: DataFrame, signatures: DataFrame, proven: DataFrame | None = None) -> DataFrame:
+    """Existing enabled rules against each other: (kind, rule_a, rule_b, entity_id, severity).
+
+    Different states on overlapping triggers are an error, or a warning where the rules' conditions (rule_id, signature) differ; equal states
+    are information. Two rules that act on each other's triggers are a loop, whether enabled or not.
     """
-    a, b = conditions.alias("a"), conditions.alias("b")
-    same = (F.col("a.kind") == F.col("b.kind")) & F.col("a.entity_id").eqNullSafe(F.col("b.entity_id")) & (F.col("a.rule_id") < F.col("b.rule_id"))
-    state = (F.col("a.kind") == "state") & ~F.arrays_overlap("a.states", "b.states")
-    band = (F.col("a.kind") == "numeric") & ((F.col("a.below") <= F.col("b.above")) | (F.col("b.below") <= F.col("a.above")))
-    days = (F.col("a.kind") == "time") & ~F.arrays_overlap("a.weekdays", "b.weekdays")
-    hit = F.coalesce(state, F.lit(False)) | F.coalesce(band, F.lit(False)) | F.coalesce(days, F.lit(False))
-    return a.join(b, same).filter(hit).select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b")).distinct()
+    live = rules.filter("enabled and target_state is not null")
+    said = lambda k: signatures.select(F.col("rule_id").alias(f"rule_{k}"), F.col("signature").alias(f"sig_{k}"))
+    pairs = live.alias("a").join(live.alias("b"), F.col("a.target_entity") == F.col("b.target_entity")).filter("a.rule_id < b.rule_id").filter(_overlap("a", "b"))
+    pairs = pairs.select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), F.col("a.target_entity").alias("entity_id"), (F.col("a.target_state") != F.col("b.target_state")).alias("other")).distinct()
+    told = _without(pairs, proven).join(said("a"), "rule_a", "left").join(said("b"), "rule_b", "left")
+    differ = ~F.col("sig_a").eqNullSafe(F.col("sig_b"))
+    kind = F.when(F.col("other"), "inconsistent").otherwise("redundant")
+    severity = F.when(~F.col("other"), "info").when(differ, "warning").otherwise("error")
+    values = told.select(kind.alias("kind"), "rule_a", "rule_b", "entity_id", severity.alias("severity"))
+    edge = rules.select("rule_id", "trigger_entity", "target_entity").distinct()
+    x, y = edge.alias("x"), edge.alias("y")
+    through = x.join(y, F.col("x.target_entity") == F.col("y.trigger_entity")).filter("x.rule_id <> y.rule_id").select(F.col("x.rule_id").alias("rule_a"), F.col("y.rule_id").alias("rule_b"), F.col("x.target_entity").alias("entity_id")).distinct()
+    back = through.select(F.col("rule_b").alias("rule_a"), F.col("rule_a").alias("rule_b")).distinct()
+    mutual = through.join(back, ["rule_a", "rule_b"], "left_semi").select(F.lit("loop").alias("kind"), "rule_a", "rule_b", "entity_id", F.lit("error").alias("severity"))
+    return values.unionByName(mutual).distinct()

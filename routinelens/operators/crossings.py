@@ -26,14 +26,16 @@ def crossings(points: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def matched(found: DataFrame, actions: DataFrame, lead_us: int) -> DataFrame:
-    """Per entity, threshold and direction: crossings, actions and greedy matches.
+    """Per kind of action (column kind, if there), entity, threshold and direction: crossings, actions and greedy matches.
 
     Actions in time order each take the earliest unused crossing at most ``lead_us`` before. Events further apart than
     that do not interact, so the fold runs over islands of the common timeline, not over whole histories.
     """
-    key = ["entity_id", "threshold", "direction"]
-    kinds = found.select(*key).distinct()
-    both = found.select(*key, "us", F.lit(0).alias("side")).unionByName(kinds.join(actions.select("entity_id", "us"), "entity_id").select(*key, "us", F.lit(1).alias("side")))
+    key = ["kind", "entity_id", "threshold", "direction"]
+    acts = actions if "kind" in actions.columns else actions.withColumn("kind", F.lit(""))
+    tried = acts.select("kind", "entity_id").distinct().join(found.select("entity_id", "threshold", "direction").distinct(), "entity_id")
+    each = acts.select("kind", "entity_id").distinct().join(found, "entity_id").select(*key, "us", F.lit(0).alias("side"))
+    both = each.unionByName(tried.join(acts.select("kind", "entity_id", "us"), ["kind", "entity_id"]).select(*key, "us", F.lit(1).alias("side")))
     by = W.partitionBy(*key).orderBy("us", "side")
     marked = both.withColumn("gap", F.when(F.col("us") - F.lag("us").over(by) <= lead_us, 0).otherwise(1)).withColumn("island", F.sum("gap").over(by.rowsBetween(W.unboundedPreceding, 0)))
     groups = marked.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("us")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("us")))).alias("a"))
@@ -69,3 +71,29 @@ def expensive_share(runs: DataFrame, points: DataFrame) -> DataFrame:
     ranked = numbers.select(F.col("entity_id").alias("signal"), "num", (F.row_number().over(W.partitionBy("entity_id").orderBy("num")) - 1).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("entity_id")).alias("n"))
     cuts = ranked.filter(F.floor(F.col("n") * 2 / 3) == F.col("rank")).select("signal", F.col("num").alias("cut"))
     return runs.filter("num is not null").join(cuts, "signal").groupBy("entity_id", "signal", "cut").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("num") >= F.col("cut")).alias("expensive"))
+
+
+def best_crossing(scored: DataFrame, recall: float = 0.5, strength: float = 0.4) -> DataFrame:
+    """Per action kind the crossing of largest strength (precision times recall), from rows (kind, entity_id, threshold, direction, crossings, actions, hits).
+
+    Of equal ones the first by signal, threshold and direction. Kinds of fewer than five actions are left out.
+    """
+    rated = scored.filter("actions >= 5 and crossings > 0").withColumn("recall", F.col("hits") / F.col("actions")).withColumn("precision", F.col("hits") / F.col("crossings"))
+    rated = rated.withColumn("strength", F.col("precision") * F.col("recall")).filter((F.col("recall") >= recall) & (F.col("strength") >= strength))
+    first = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("strength"), "entity_id", "threshold", "direction"))
+    return rated.withColumn("place", first).filter("place = 1").drop("place")
+
+
+def shift_candidates(runs: DataFrame, price: DataFrame, profile: DataFrame, share: float = 0.35, least: int = 4) -> DataFrame:
+    """Loads that are run by hand when power is dear: runs (entity_id, us, num price or null), price points of one signal, its hourly profile.
+
+    The cut is that of the hours' mean prices at rank int(n * 2 / 3); the trigger is the cheapest block of two hours, if one is known.
+    The typical minute is a plain mean.
+    """
+    hours = profile.withColumn("rank", F.row_number().over(W.partitionBy("entity_id").orderBy("level")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("entity_id")))
+    cut = hours.filter(F.floor(F.col("n") * 2 / 3) == F.col("rank")).select(F.col("entity_id").alias("signal"), F.col("level").alias("cut"))  # at most 24 rows a signal
+    block = cheapest_block(profile).select(F.col("entity_id").alias("signal"), "hour", "cost")
+    minute = F.floor(F.pmod("us", F.lit(DAY)) / 60_000_000)
+    rated = runs.join(cut, "signal").groupBy("entity_id", "signal").agg(F.count(F.lit(1)).alias("runs"), F.count("num").alias("rated"), F.count_if(F.col("num") >= F.col("cut")).alias("expensive"), F.floor(F.avg(minute)).alias("minute"))
+    rated = rated.filter((F.col("runs") >= least) & (F.col("rated") > 0)).withColumn("share", F.col("expensive") / F.col("rated")).filter(F.col("share") >= share)
+    return rated.join(block, "signal", "left").select("entity_id", "signal", "runs", "rated", "expensive", "share", "minute", "hour", (F.col("share") * F.least(F.col("runs") / 10.0, F.lit(1.0))).alias("score"))

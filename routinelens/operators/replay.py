@@ -6,11 +6,14 @@ joins to history are equi-joins on the entity and left to the planner to broadca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from routinelens.model import DAY, MINUTE, SECOND
+from routinelens.model import DAY, HOUR, MINUTE, RISKY, SECOND, SECURITY
+from routinelens.operators.signals import value_at
 
 BURST = 60 * SECOND
 EVENT_TOLERANCE = 300 * SECOND
@@ -121,33 +124,162 @@ def counts(matched: DataFrame) -> DataFrame:
     return matched.groupBy("rule_id").agg(*[F.count_if(F.col("what") == k).alias(n) for k, n in (("true", "true_fires"), ("false", "false_fires"), ("missed", "missed"))])
 
 
-def gates(counted: DataFrame, days: float, min_true: int = 3, min_precision: float = 0.7, min_recall: float = 0.2, max_false_week: float = 3.0) -> DataFrame:
-    """precision, recall, false fires a week, and the reasons for which a rule does not pass."""
+def suppressed(fires: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per rule the fires that a collapse took out (rule_id, bursts)."""
+    return fires.groupBy("rule_id").agg(F.count(F.lit(1)).alias("all")).join(kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("kept")), "rule_id", "left").select("rule_id", (F.col("all") - F.coalesce("kept", F.lit(0))).alias("bursts"))
+
+
+def nuisances(matched: DataFrame, targets: DataFrame, overrides: DataFrame, window_us: int) -> DataFrame:
+    """Per rule its false fires that an override of a target follows within the window (rule_id, nuisance).
+
+    matched (rule_id, us, what), targets (rule_id, target_entity), overrides (entity_id, us). A range join by time buckets as wide as the window.
+    """
+    bucket = lambda c: F.floor(c / window_us)
+    false = matched.filter("what = 'false'").select("rule_id", "us").distinct().join(targets.select("rule_id", F.col("target_entity").alias("entity_id")).distinct(), "rule_id")
+    near = false.withColumn("bucket", F.explode(F.array(bucket(F.col("us")), bucket(F.col("us")) + 1)))
+    late = overrides.select("entity_id", F.col("us").alias("at"), bucket(F.col("us")).alias("bucket"))
+    hit = near.join(late, ["entity_id", "bucket"]).filter((F.col("at") >= F.col("us")) & (F.col("at") - F.col("us") <= window_us))
+    return hit.select("rule_id", "us").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("nuisance"))
+
+
+@dataclass(frozen=True)
+class Bars:
+    """What a rule has to reach, and more of it where it moves something that matters."""
+
+    min_true: int = 4
+    precision: float = 0.7
+    recall: float = 0.25
+    false_week: float = 3.0
+    nuisance: int = 0
+    bursts: float = 3.0
+    risky_true: int = 12
+    risky_precision: float = 0.95
+    risky_false_week: float = 0.0
+    allow_security: bool = False
+    holdout: float = 0.25
+    min_train_days: float = 14.0
+    min_holdout_days: float = 7.0
+
+
+def gates(counted: DataFrame, days: float | Column, bars: Bars = Bars(), scale: float | Column = 1.0) -> DataFrame:
+    """precision, recall, false fires a week, the reasons for which a rule does not pass, and whether it passes.
+
+    counted: rule_id, true_fires, false_fires, missed and, where they are known, bursts, nuisance, service and target domain. A part
+    of the window has its floor of true fires scaled, never below two. A service that leaves the home less secured is refused first; a rule
+    without fires and truth is not judged, and does not pass.
+    """
+    known = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in counted.columns else F.lit(other)
     t, f, m = F.col("true_fires"), F.col("false_fires"), F.col("missed")
-    rated = counted.withColumn("precision", F.coalesce(F.try_divide(t, t + f), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide(t, t + m), F.lit(0.0))).withColumn("false_week", f * 7.0 / max(days, 1e-9))
-    why = F.array_compact(F.array(F.when(t < min_true, "few"), F.when(F.col("precision") < min_precision, "precision"), F.when(F.col("recall") < min_recall, "recall"), F.when(F.col("false_week") > max_false_week, "noisy")))
-    return rated.withColumn("reasons", F.array_join(why, ","))
+    days = F.lit(float(days)) if isinstance(days, (int, float)) else days
+    scale = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
+    risky = known("domain", "").isin(*RISKY)
+    base = F.when(risky, max(bars.min_true, bars.risky_true)).otherwise(bars.min_true)
+    floor = F.when(scale == 1.0, base).otherwise(F.greatest(F.lit(2), F.ceil(base * scale)))
+    rated = counted.withColumn("precision", F.try_divide(t, t + f)).withColumn("recall", F.try_divide(t, t + m)).withColumn("false_week", f * 7.0 / F.greatest(days, F.lit(0.01)))
+    why = F.array_compact(
+        F.array(
+            F.when(F.col("precision").isNull(), "never fired"),
+            F.when(F.col("precision").isNotNull() & (t < floor), "few"),
+            F.when(F.col("precision") < F.when(risky, max(bars.precision, bars.risky_precision)).otherwise(bars.precision), "precision"),
+            F.when(F.col("precision").isNotNull() & (F.col("recall") < bars.recall), "recall"),
+            F.when(F.col("false_week") > F.when(risky, min(bars.false_week, bars.risky_false_week)).otherwise(bars.false_week), "noisy"),
+            F.when(known("bursts", 0) > bars.bursts * F.greatest(t + f, F.lit(1)), "bursts"),
+            F.when(known("nuisance", 0) > bars.nuisance, "nuisance"),
+        )
+    )
+    refused = known("service", "").isin(*SECURITY) & F.lit(not bars.allow_security)
+    reasons = F.when(refused, "security").when(t + f + m == 0, "nothing to judge").otherwise(F.array_join(why, ","))
+    return rated.withColumn("reasons", reasons).withColumn("passed", F.col("reasons") == "")
 
 
-def split(start_us: int, end_us: int, share: float = 0.3) -> int:
-    """Where the holdout begins: the last ``share`` of the time, at the nearest midnight inside the window."""
-    raw = end_us - int((end_us - start_us) * share)
-    snapped = (raw + DAY // 2) // DAY * DAY
-    return snapped if start_us < snapped < end_us else raw
+def split(start_us: int, end_us: int, bars: Bars = Bars(), offset_us: int = 0) -> int:
+    """Where the holdout begins: the last share of the time, at the nearest local midnight unless a part would fall below its minimum."""
+    end_us = max(start_us, end_us)
+    raw = end_us - int((end_us - start_us) * bars.holdout)
+    snapped = min(max((raw + offset_us + DAY // 2) // DAY * DAY - offset_us, start_us), end_us)
+    enough = (snapped - start_us) / DAY >= bars.min_train_days and (end_us - snapped) / DAY >= bars.min_holdout_days
+    return snapped if enough else raw
 
 
-def verdicts(full: DataFrame, train: DataFrame, holdout: DataFrame, days: float, holdout_days: float, **bars) -> DataFrame:
-    """Per rule: insufficient_history, no_activity_in_holdout, behaviour_absent_in_holdout, passed or failed."""
-    whole, late = gates(full, days, **bars), gates(holdout, holdout_days, **bars)
-    rows = whole.select("rule_id", "true_fires", (F.col("reasons") == "").alias("ok"), (F.col("true_fires") + F.col("missed")).alias("acts")).join(
-        late.select("rule_id", F.col("true_fires").alias("late_true"), (F.col("reasons") == "").alias("late_ok"), (F.col("true_fires") + F.col("missed")).alias("late_acts"), (F.col("true_fires") + F.col("false_fires")).alias("late_fires")), "rule_id", "left"
-    )
-    n = lambda c: F.coalesce(c, F.lit(0))
-    verdict = (
-        F.when(n("acts") == 0, "insufficient_history")
-        .when((n("late_fires") == 0) & (n("late_acts") == 0), "no_activity_in_holdout")
-        .when(n("late_acts") == 0, "behaviour_absent_in_holdout")
-        .when(F.col("ok") & F.coalesce("late_ok", F.lit(False)), "passed")
-        .otherwise("failed")
+def segments(fires: DataFrame, truth: DataFrame, start_us: int, cut_us: int, end_us: int) -> tuple[DataFrame, DataFrame]:
+    """Fires and truth once for each of full, train and holdout, told by the rule id's prefix, so that one pass judges all three.
+
+    A fire at the cut itself counts in both parts; truth is split before and from it.
+    """
+    at = F.col("us")
+    part = lambda late: F.array_compact(F.array(F.lit("full"), F.when(at < cut_us if not late else at <= cut_us, "train"), F.when(at >= cut_us, "holdout")))
+    put = lambda rows, late: rows.filter(at.between(start_us, end_us)).withColumn("seg", F.explode(part(late))).withColumn("rule_id", F.concat_ws(":", "seg", "rule_id")).drop("seg")
+    return put(fires, True), put(truth, False)
+
+
+def backtest(rules: DataFrame, fires: DataFrame, truth: DataFrame, overrides: DataFrame, start_us: int, end_us: int, bars: Bars = Bars(), clock_us: int = 900 * SECOND, override_us: int = 120 * SECOND) -> DataFrame:
+    """Per rule and segment (full, train, holdout) its counts and gates.
+
+    rules (rule_id, target_entity, service); fires before any collapse; truth of ground_truth(); overrides (entity_id, us).
+    """
+    cut = split(start_us, end_us, bars)
+    every, true = segments(fires, truth, start_us, cut, end_us)
+    kept = collapse(every)
+    matched = match(kept, true, clock_us)
+    names = F.explode(F.array(*map(F.lit, ("full", "train", "holdout"))))
+    keyed = rules.withColumn("seg", names).withColumn("rule_id", F.concat_ws(":", "seg", "rule_id"))
+    facts = keyed.groupBy("rule_id", "seg").agg(F.min("service").alias("service"), F.min(F.split_part("target_entity", F.lit("."), F.lit(1))).alias("domain"))
+    found = facts.join(counts(matched), "rule_id", "left").join(suppressed(every, kept), "rule_id", "left").join(nuisances(matched, keyed, overrides, 4 * override_us), "rule_id", "left")
+    found = found.na.fill(0, ["true_fires", "false_fires", "missed", "bursts", "nuisance"])
+    length = {"full": end_us - start_us, "train": cut - start_us, "holdout": end_us - cut}
+    by = lambda f: F.when(F.col("seg") == "full", f("full")).when(F.col("seg") == "train", f("train")).otherwise(f("holdout"))
+    rated = gates(found, by(lambda k: F.lit(length[k] / DAY)), bars, by(lambda k: F.lit(length[k] / length["full"] if length["full"] else 1.0)))
+    return rated.withColumn("rule_id", F.split_part("rule_id", F.lit(":"), F.lit(2)))
+
+
+def verdicts(judged: DataFrame, start_us: int, end_us: int, bars: Bars = Bars()) -> DataFrame:
+    """Per rule, from rows of backtest(): validation (in_sample or holdout), its reason, and whether it passes: then full and holdout both do.
+
+    Without enough days, or without fires and truth in the holdout, the whole window decides; fires against no truth there fail.
+    """
+    cut = split(start_us, end_us, bars)
+    enough = (cut - start_us) / DAY >= bars.min_train_days and (end_us - cut) / DAY >= bars.min_holdout_days
+    whole = judged.filter("seg = 'full'").select("rule_id", "true_fires", "precision", F.col("passed").alias("ok"), "reasons")
+    late = judged.filter("seg = 'holdout'").select("rule_id", F.col("true_fires").alias("late_true"), F.col("passed").alias("late_ok"), (F.col("true_fires") + F.col("missed")).alias("acts"), (F.col("true_fires") + F.col("false_fires")).alias("fired"))
+    why = (
+        F.when(F.lit(not enough), "insufficient_history")
+        .when((F.col("acts") == 0) & (F.col("fired") == 0), "no_activity_in_holdout")
+        .when(F.col("acts") == 0, "behaviour_absent_in_holdout")
+        .otherwise("evaluated")
     )
-    return rows.select("rule_id", "true_fires", n("late_true").alias("late_true"), verdict.alias("verdict"))
+    rows = whole.join(late, "rule_id").withColumn("reason", why)
+    passed = F.when(F.col("reason") == "behaviour_absent_in_holdout", False).when(F.col("reason") == "evaluated", F.col("ok") & F.col("late_ok")).otherwise(F.col("ok"))
+    kind = F.when(F.col("reason").isin("evaluated", "behaviour_absent_in_holdout"), "holdout").otherwise("in_sample")
+    return rows.select("rule_id", "true_fires", "late_true", kind.alias("validation"), "reason", passed.alias("passed"), "precision")
+
+
+def settle(candidates: DataFrame, decided: DataFrame) -> DataFrame:
+    """``candidates`` (rule_id, score, ...) with passed, and the score of those that pass drawn half way to the precision."""
+    told = candidates.join(decided.select("rule_id", "passed", "precision"), "rule_id")
+    return told.withColumn("score", F.when(F.col("passed") & F.col("precision").isNotNull(), (F.col("score") + F.col("precision")) / 2).otherwise(F.col("score"))).drop("precision")
+
+
+def unsupported(rules: DataFrame) -> DataFrame:
+    """Rules whose trigger kind cannot be replayed (rule_id, kind)."""
+    return rules.filter(~F.col("kind").isin("time", "state", "numeric")).select("rule_id", "kind")
+
+
+def conditions_hold(fires: DataFrame, conditions: DataFrame, points: DataFrame, staleness_us: int = 6 * HOUR) -> DataFrame:
+    """Fires whose rule's conditions all hold at that time.
+
+    conditions (rule_id, kind, entity_id, state, above, below, after_minute, before_minute, weekdays): time, state and numeric ones; other
+    kinds never hold. States are read as-of, not older than the staleness, whatever their case; bounds of numbers are strict, those of times include.
+    """
+    every = fires.join(conditions.withColumnRenamed("kind", "what"), "rule_id")
+    read = value_at(every.filter("what in ('state', 'numeric')"), points, staleness_us)
+    number = F.coalesce((F.col("above").isNull() | (F.col("num") > F.col("above"))) & (F.col("below").isNull() | (F.col("num") < F.col("below"))), F.lit(False)) & F.col("num").isNotNull()
+    seen = F.when(F.col("what") == "state", F.coalesce(F.lower("str") == F.lower("state"), F.lit(False))).otherwise(number)
+    minute = F.floor(F.pmod("us", F.lit(DAY)) / MINUTE)
+    after, before = F.coalesce("after_minute", F.lit(0)), F.coalesce("before_minute", F.lit(1439))
+    clock = F.when(after > before, (minute >= after) | (minute <= before)).otherwise((minute >= after) & (minute <= before))
+    today = F.pmod(F.floor(F.col("us") / DAY) + 3, F.lit(7)).cast("int")
+    clock = clock & (F.col("weekdays").isNull() | F.array_contains("weekdays", today))
+    names = ["rule_id", "us", "kind"]
+    told = read.select(*names, seen.alias("ok")).unionByName(every.filter("what not in ('state', 'numeric')").select(*names, F.when(F.col("what") == "time", clock).otherwise(False).alias("ok")))
+    failed = told.groupBy(*names).agg(F.bool_and("ok").alias("ok")).filter("not ok").select("rule_id", "us")
+    return fires.join(failed, ["rule_id", "us"], "left_anti")

@@ -35,12 +35,56 @@ def _bounds(part: dict) -> str:
     return " and ".join(f"{word} {part[word]:g}" for word in ("above", "below") if part.get(word) is not None)
 
 
+def _trigger(t: dict) -> str:
+    if t["kind"] == "time":
+        return f"at {t['at'][:5]}"
+    if t["kind"] == "sun":
+        return f"at {t['event']}" + (f" {t['offset']}" if t.get("offset") else "")
+    if t["kind"] == "numeric_state":
+        return f"{t['entity_id']} goes {_bounds(t)}"
+    if t["kind"] == "state":
+        becomes = f" becomes '{t['to_state']}'" if t.get("to_state") else " changes"
+        return t["entity_id"] + becomes + (f" for {t['for_seconds']}s" if t.get("for_seconds") else "")
+    return f"{t['kind']} {t.get('entity_id') or ''}".strip()
+
+
+def _condition(c: dict) -> str:
+    kind = c.get("kind") or ("time" if not c.get("entity_id") else "state" if c.get("state") else "numeric_state")
+    if kind == "time":
+        days = [f"on {', '.join(c['weekday'])}"] if c.get("weekday") else []
+        return " and ".join([f"{k} {c[k]}" for k in ("after", "before") if c.get(k)] + days) or "any time"
+    if kind == "sun":
+        return f"sun {c.get('after') or c.get('before') or ''}".strip()
+    return f"{c['entity_id']} is '{c['state']}'" if kind == "state" else f"{c['entity_id']} is {_bounds(c)}" if kind == "numeric_state" else kind
+
+
+def _action(a: dict) -> str:
+    more = ", ".join(f"{k}={v}" for k, v in sorted((a.get("data") or {}).items()))
+    return f"{a['service'].split('.')[-1].replace('_', ' ')} {a.get('entity_id') or ''}".strip() + (f" ({more})" if more else "")
+
+
 def sentence(triggers: list[dict], conditions: list[dict], actions: list[dict]) -> str:
-    one = {"time": lambda t: f"at {t['at'][:5]}", "state": lambda t: f"{t['entity_id']} becomes {t['to_state']}", "numeric_state": lambda t: f"{t['entity_id']} goes {_bounds(t)}"}
-    when = " or ".join(one[t["kind"]](t) for t in triggers)
-    only = " and ".join(f"{c['entity_id']} is {c.get('state') or _bounds(c)}" if c.get("entity_id") else f"on {', '.join(c['weekday'])}" for c in conditions)
-    do = " and ".join(f"{a['service'].split('.')[-1].replace('_', ' ')} {a['entity_id']}" for a in actions)
-    return f"{'' if when.startswith('at ') else 'When '}{when}, {do}{' - but only if ' + only if only else ''}"
+    """The rule in words; without a trigger it always holds."""
+    when = " or ".join(map(_trigger, triggers)) or "always"
+    text = f"{'' if when.startswith('at ') else 'When '}{when}, {' and '.join(map(_action, actions))}".strip()
+    only = " and ".join(map(_condition, conditions))
+    return text[:1].upper() + text[1:] + (f" - but only if {only}" if only else "")
+
+
+def evidence(known: dict) -> str:
+    """One line of what speaks for a rule."""
+    seen, of = known.get("occurrences"), known.get("opportunities")
+    bits = [f"{seen} of {of}" if of else f"{seen} occurrences"] if seen else []
+    for name, form in (("consistency", "consistency {:.0%}"), ("confidence", "confidence {:.0%}"), ("lift", "lift {:.2f}"), ("spread_minutes", "±{:.0f} min")):
+        if known.get(name) is not None:
+            bits.append(form.format(known[name]))
+    return ", ".join(bits)
+
+
+def touched(triggers: list[dict], actions: list[dict]) -> tuple[list[str], list[str]]:
+    """The entities that start a rule and those that it acts on, each once and sorted."""
+    names = lambda parts: sorted({p["entity_id"] for p in parts if p.get("entity_id")})
+    return names(triggers), names(actions)
 
 
 def invented_numbers(text: str, evidence: dict) -> list[str]:

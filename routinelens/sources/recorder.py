@@ -85,12 +85,21 @@ def statistics(rows: DataFrame, meta: DataFrame, ids: list[str] | None = None, s
         out = out.filter(F.col("start_ts") >= start)
     if end is not None:
         out = out.filter(F.col("start_ts") < end)
-    return out.select("statistic_id", "start_ts", "mean", "min", "max", "state", "sum")
+    return out.select("statistic_id", "start_ts", "mean", "min", "max", "state", "sum").orderBy("statistic_id", "start_ts")
+
+
+def statistic_ids(meta: DataFrame) -> DataFrame:
+    return meta.select("statistic_id").distinct()
+
+
+def seconds(value: Column) -> Column:
+    """Epoch seconds of a column that holds them as numbers, as text of a number, or as ISO texts."""
+    return F.coalesce(value.try_cast("double"), value.cast("string").try_cast("timestamp").cast("double"))
 
 
 def probe(tables: dict[str, DataFrame]) -> dict:
     """What a recorder offers: its layout, context kind, and oldest and newest time."""
     states = tables.get("states")
     columns = set(states.columns) if states is not None else set()
-    bounds = states.agg(F.min("last_updated_ts"), F.max("last_updated_ts")).first() if "last_updated_ts" in columns else (None, None)
+    bounds = states.agg(F.min(seconds(F.col("last_updated_ts"))), F.max(seconds(F.col("last_updated_ts")))).first() if "last_updated_ts" in columns else (None, None)
     return {"tables": sorted(tables), "normalised": "states_meta" in tables and "metadata_id" in columns, "context": "binary" if "context_id_bin" in columns else "text" if "context_id" in columns else None, "oldest": bounds[0], "newest": bounds[1]}

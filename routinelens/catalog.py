@@ -1057,7 +1057,7 @@ def clock_texts(spark, sf_dir):
 
 #: Sequences of contexts and sessions together, as items in order, and the patterns among them.
 ALL_SEQUENCES = SESSIONS + """, cx AS (SELECT context, item, min(us) AS u, min(sid) AS s FROM us_ WHERE context IS NOT NULL AND (cause IN ('automation', 'script') OR chain_depth > 0) AND context IN (SELECT context FROM us_ WHERE context IS NOT NULL AND (cause IN ('automation', 'script') OR chain_depth > 0) GROUP BY context HAVING count(*) > 1) GROUP BY ALL),
-    aq AS (SELECT row_number() OVER () AS seq_id, items FROM (SELECT DISTINCT items FROM (SELECT items FROM sq UNION ALL SELECT list(item ORDER BY u, s) FROM cx GROUP BY context HAVING count(*) > 1)))
+    aq AS (SELECT row_number() OVER () AS seq_id, items FROM (SELECT items FROM sq UNION ALL SELECT list(item ORDER BY u, s) FROM cx GROUP BY context HAVING count(*) > 1))
 """
 
 

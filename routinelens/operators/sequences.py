@@ -91,10 +91,9 @@ def patterns(sequences: DataFrame, min_support: int) -> DataFrame:
 
 
 def all_sequences(rows: DataFrame, gap_us: int) -> DataFrame:
-    """Context sequences, then session sequences; of equal item lists one, and among these the context's first."""
-    held = context_sequences(rows).select(F.lit(0).alias("rank"), F.col("seq_id").cast("string"), "items").unionByName(session_sequences(sessions(rows, gap_us)).select(F.lit(1).alias("rank"), F.col("seq_id").cast("string"), "items"))
-    best = held.groupBy("items").agg(F.min(F.struct("rank", "seq_id")).alias("first"))
-    return best.select(F.concat_ws(":", "first.rank", "first.seq_id").alias("seq_id"), "items")
+    """Context sequences and session sequences, each with every item once, where it first came."""
+    told = lambda found, kind: found.select(F.concat_ws(":", F.lit(kind), F.col("seq_id").cast("string")).alias("seq_id"), "items")
+    return told(context_sequences(rows), "context").unionByName(told(session_sequences(sessions(rows, gap_us)), "session"))
 
 
 def _within(short: str, long: str):

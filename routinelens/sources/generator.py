@@ -52,7 +52,7 @@ def planted_home(spark: SparkSession, days: int = 45, start_day: int = 19_800, s
         when(F.lit(True), _change(dim, "light.bedroom", "off", "automation", "automation.bedtime_dim")),
         when(yes("undo", 0.7), _change(dim + F.floor((15 + 75 * _chance(seed, "late")) * SECOND), "light.bedroom", "on")),
         when(yes("bed", 0.9), _change(dim - 3 * HOUR, "light.bedroom", "on")),
-        F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct((h.cast("long") * HOUR).alias("at"), F.lit("sensor.outdoor_temperature").alias("entity_id"), degrees(12 + 3 * F.sin(h / 3.82)).alias("state"), F.lit("device").alias("cause"), F.lit(None).cast("string").alias("cause_entity"))),
+        F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct((h.cast("long") * HOUR).alias("at"), F.lit("sensor.outdoor_temperature").alias("entity_id"), degrees(14 + 3 * F.sin((h - 9) * 0.2618)).alias("state"), F.lit("device").alias("cause"), F.lit(None).cast("string").alias("cause_entity"))),
     ]
     if messy:
         parts.append(when(yes("drop", 0.4), _change(_around(seed, "gone", 700, 300), "light.kitchen", "unavailable", "device"), _change(_around(seed, "gone", 700, 300) + 3 * SECOND, "light.kitchen", "off", "device")))

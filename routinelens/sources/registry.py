@@ -15,7 +15,7 @@ SHAPES = {"entity": ENTITY, "device": DEVICE, "area": AREA}
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The active rows of a registry file; a file that is malformed, or has no list, has none."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = F.from_json(F.get_json_object("value", f"$.data.{LISTS[kind]}"), SHAPES[kind])
     return text.select(F.explode(rows).alias("r")).select("r.*")
 

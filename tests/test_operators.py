@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from routinelens.learn import home_mode, ranking
 from routinelens.model import DAY, HOUR, MINUTE, SECOND
-from routinelens.operators import asof, causality, crossings, habits, replay, sequences
-from routinelens.sources import recorder
+from routinelens import model
+from routinelens.functions import circular
+from routinelens.operators import activity, asof, causality, conditional, conditions, conflicts, crossings, dimensions, habits, health, replay, sequences, signals, store
+from routinelens.sources import generator, recorder
 
 CHANGE = "sid long, us long, entity_id string, domain string, state string, num double, old_state string, context long, parent long, user long, origin string, origin_entity string"
 
@@ -144,13 +146,23 @@ def test_recorder_scan(spark):
     assert recorder.probe({"states": states, "states_meta": meta})["normalised"]
 
 
-def test_ranking_falls_back_to_the_prior():
-    prior = np.array([ranking.BIAS, *ranking.PRIOR.values()])
-    assert np.allclose(ranking.train(np.zeros((2, 4)), np.array([0.0, 1.0])), prior)
+def test_ranking_falls_back_to_the_prior(spark):
+    centre = np.array([ranking.BIAS, *ranking.prior().values()])
+    x = np.zeros((2, len(centre) - 1))
+    assert np.allclose(ranking.train(x, np.array([0.0, 1.0]), centre), centre)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 4))
+    x = np.zeros((60, len(centre) - 1))
+    x[:, 0] = rng.normal(size=60)
     y = (x[:, 0] < 0).astype(float)
-    assert ranking.train(x, y)[1] < prior[1]
+    assert ranking.train(x, y, centre)[1] < centre[1]
+    rows = [("a", 0.9, 0.5, "holdout", ["light"], "sequence", 2.0), ("b", None, None, None, ["lock", "sun"], "other", None)]
+    got = spark.createDataFrame(rows, "rule_id string, precision double, recall double, validation string, domains array<string>, miner string, occurrences double")
+    made = {r.rule_id: r for r in got.select("rule_id", *ranking.features(got)).collect()}
+    assert set(ranking.prior()) | {"rule_id"} == set(got.select("rule_id", *ranking.features(got)).columns) and len(ranking.prior()) == 38 + 3 + 12 + 10
+    assert made["a"].holdout_validated == 1 and made["a"].miner_sequence == 1 and abs(made["a"].occurrences - np.log(3)) < 1e-9 and made["a"].domain_light == 1
+    assert made["b"].precision_missing == 1 and made["b"].risky_domain == 1 and made["b"].domain_other == 1 and made["b"].miner_other == 1 and made["b"].has_backtest == 0
+    ranked = {r.rule_id: r.probability for r in ranking.rank(got, got.withColumn("label", F.lit(1)).withColumn("decided_at", F.lit(1)).limit(0)).collect()}
+    assert ranked["a"] > 0.5 > ranked["b"]
 
 
 def test_two_planted_modes_are_recovered(spark):
@@ -184,3 +196,120 @@ def test_streaming_corrections_equal_the_batch(spark, tmp_path):
     q.stop()
     got = {(r.entity_id, r.us, r.automation_state, r.human_state) for r in spark.table("corrections").collect()}
     assert got == {(r.entity_id, r.us, r.automation_state, r.human_state) for r in causality.overrides(df, 6).collect()} and got
+
+
+@pytest.fixture(scope="module", params=[False, True], ids=["tidy", "messy"])
+def home(spark, request):
+    rows = generator.planted_home(spark, days=45, messy=request.param).cache()
+    return rows, *rows.agg(F.min("us"), F.max("us")).first()
+
+
+def test_planted_habit(home):
+    rows, start, end = home
+    got = {(r.entity_id, r.state): r for r in habits.time_of_day(habits.human_actions(rows), start, end, bandwidth=30, min_occurrences=5).collect()}
+    wake = got["light.kitchen", "on"]
+    assert wake["filter"] == "weekdays" and abs(wake["minute"] - 390) < 5 and wake["consistency"] > 0.7
+
+
+def test_planted_routine(spark, home):
+    rows, _, _ = home
+    all_rows = sequences.all_sequences(sequences.usable(rows), 300 * SECOND)
+    kept = sequences.prune(sequences.patterns(all_rows, 4))
+    item = F.concat_ws("=", "entity_id", "state").alias("item")
+    human = habits.human_actions(rows).groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    services = spark.createDataFrame([("light.hallway=on", "light.turn_on"), ("climate.living_room=heat", "climate.set_hvac_mode")], "item string, service string")
+    got = {r.trigger: r for r in sequences.candidates(kept, all_rows, human, list(model.ACTIONABLE), services).collect()}
+    arrival = got["person.alex=home"]
+    assert arrival.actions == "light.hallway=on>climate.living_room=heat" and arrival.confidence > 0.9 and arrival.score > 0.9
+
+
+def test_planted_condition_and_crossing(home):
+    rows, start, end = home
+    points = signals.build(rows)
+    acts = habits.human_actions(rows).filter("entity_id = 'switch.heater' and state = 'on'")
+    back = conditional.background(acts, start, end).withColumn("positive", F.lit(False))
+    probes = acts.select("entity_id", "state", "us").withColumn("positive", F.lit(True)).unionByName(back).withColumn("kind_entity", F.col("entity_id")).withColumn("entity_id", F.lit("sensor.outdoor_temperature"))
+    samples = signals.value_at(probes, points, 3 * HOUR).select(F.col("kind_entity").alias("entity_id"), "state", F.col("entity_id").alias("signal"), "positive", "us", "num", "str")
+    kinds = samples.select("signal").distinct().withColumn("numeric", F.lit(True))
+    best = conditional.conditions(samples, kinds, kinds.select("signal", F.lit(0).alias("place"))).first()
+    assert best.signal == "sensor.outdoor_temperature" and best.test.startswith("below") and 6.5 < float(best.test.split()[1]) < 11 and best.coverage > 0.9
+    tried = acts.select(F.lit("heater").alias("kind"), F.lit("sensor.outdoor_temperature").alias("entity_id"), "us")
+    cross = crossings.best_crossing(crossings.matched(crossings.crossings(points, crossings.deciles(points)), tried, 900 * SECOND), strength=0.2).first()
+    assert cross.kind == "heater" and cross.direction == "falling" and cross.recall > 0.5
+
+
+def test_planted_overrides(home):
+    rows, _, _ = home
+    got = causality.override_summary(causality.overrides(rows, 120 * SECOND)).first()
+    assert got.automation == "automation.bedtime_dim" and 20 <= got.overrides <= 42
+
+
+def test_gates_of_risky_and_security_rules(spark):
+    rows = [("plain", 5, 0, 1, 0, 0, "light.turn_on", "light"), ("lock", 5, 0, 1, 0, 0, "lock.lock", "lock"), ("open", 50, 0, 0, 0, 0, "lock.unlock", "lock"), ("flaps", 5, 0, 1, 40, 0, "light.turn_on", "light"), ("nuisance", 5, 1, 1, 0, 1, "light.turn_on", "light"), ("never", 0, 0, 4, 0, 0, "light.turn_on", "light"), ("nothing", 0, 0, 0, 0, 0, "light.turn_on", "light")]
+    df = spark.createDataFrame(rows, "rule_id string, true_fires long, false_fires long, missed long, bursts long, nuisance long, service string, domain string")
+    got = {r.rule_id: r.reasons for r in replay.gates(df, 30.0).collect()}
+    assert got == {"plain": "", "lock": "few", "open": "security", "flaps": "bursts", "nuisance": "nuisance", "never": "never fired", "nothing": "nothing to judge"}
+    scaled = {r.rule_id: r.passed for r in replay.gates(df, 7.5, scale=0.25).collect()}
+    assert scaled["plain"] and scaled["lock"]
+    assert replay.gates(df, 30.0, replay.Bars(allow_security=True)).filter("rule_id = 'open'").first().passed
+
+
+def test_split_at_midnight_unless_a_part_is_too_short():
+    assert replay.split(0, 40 * DAY + HOUR) == 30 * DAY and replay.split(5 * HOUR, 40 * DAY + 5 * HOUR) % DAY == 0
+    assert replay.split(0, 10 * DAY) == 10 * DAY - int(2.5 * DAY) and replay.split(5, 3) == 5
+
+
+def test_windows_cross_midnight(spark):
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6 * DAY) if k else 2 * DAY, k, f"i{k}") for k in range(60))
+    rows = [(us, k, x) for us, k, x in rows if not DAY <= us < 2 * DAY]  # a day without rows
+    got = {r.sid: r for r in activity.windows(spark.createDataFrame(rows, "us long, sid long, item string")).collect()}
+    for n, (us, sid, _) in enumerate(rows):
+        gap = us - rows[n - 1][0] if n else None
+        want = 4 if gap is None else sum(gap >= x for x in (10 * SECOND, MINUTE, 10 * MINUTE, HOUR))
+        assert got[sid].before == [x for _, _, x in rows[max(0, n - 6) : n]] and got[sid].gap == want
+
+
+def test_conditions_as_facts(spark):
+    rows = ['{"condition": "state", "entity_id": ["a.b"], "state": ["On", "off "]}', '{"condition": "state", "entity_id": ["a.b", "a.c"], "state": "on"}', '{"condition": "numeric_state", "entity_id": "s.t", "above": "5", "below": null}', '{"condition": "numeric_state", "entity_id": "s.t"}', '{"condition": "time", "after": "22:00:00", "before": "06:00", "weekday": ["Monday", "xyz"]}', '{"condition": "sun", "after": "sunset"}', '{"condition": "sun", "before": "sunset"}', "not json", '{"condition": "zone"}']
+    told = conditions.facts(spark.createDataFrame([(str(k), c) for k, c in enumerate(rows)], "rule_id string, condition string"))
+    got = {r.rule_id: r for r in told.collect()}
+    assert [got[str(k)].kind for k in range(9)] == ["state", "unknown", "numeric", "unknown", "time", "sun", "sun", "unknown", "unknown"]
+    assert got["0"].states == ["off", "on"] and got["2"].above == 5.0 and (got["4"].after, got["4"].before, got["4"].weekdays) == (1320, 360, ["mon"])
+    assert [tuple(r) for r in conditions.exclusive(told).collect()] == [("5", "6")]
+    clock = lambda k, a, b, d="[]": (k, f'{{"condition": "time", "after": "{a}", "before": "{b}", "weekday": {d}}}')
+    times = [clock("a", "22:00", "06:00"), clock("b", "06:00", "07:00"), clock("c", "07:01", "21:59"), clock("d", "00:00", "23:59", '["sat"]'), clock("e", "00:00", "23:59", '["sun"]')]
+    got = conditions.exclusive(conditions.facts(spark.createDataFrame(times, "rule_id string, condition string"))).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "c"), ("b", "c"), ("d", "e")]
+    assert len({r.signature for r in conditions.signature(told).collect()}) == 6
+
+
+def test_stale_and_health(spark):
+    now = 1_706_000_000_000_000
+    rows = [("x", "OFF", now - 100 * DAY), ("y", "on", None), ("z", "on", now - 100 * DAY), ("ok", "on", now - DAY), ("month", "on", now - 31 * DAY)]
+    got = {r.id: (r.reason, round(r.score, 6)) for r in health.stale(spark.createDataFrame(rows, "id string, state string, last_triggered_us long"), now).collect()}
+    assert got == {"x": ("off", 0.4), "y": ("never", 0.4), "z": ("old", round(0.4 + 100 / 365, 6)), "month": ("old", round(0.4 + 31 / 365, 6))}
+    facts = [("gone", False, False, True, True, 30.0, False, 5, 5, 0), ("edited", True, True, True, True, 30.0, False, 5, 5, 0), ("dead", True, False, False, False, 30.0, False, 5, 5, 0), ("off", True, False, True, False, 30.0, False, 5, 5, 0), ("young", True, False, True, True, 3.0, False, 5, 5, 0), ("broken", True, False, True, True, 30.0, True, 9, 9, 0), ("quiet", True, False, True, True, 30.0, False, 2, 0, 0), ("dormant", True, False, True, True, 30.0, False, 3, 0, 0), ("few", True, False, True, True, 30.0, False, 4, 4, 4), ("undone", True, False, True, True, 30.0, False, 9, 10, 6), ("noisy", True, False, True, True, 30.0, False, 9, 10, 3), ("weak", True, False, True, True, 30.0, False, 40, 10, 0), ("fine", True, False, True, True, 30.0, False, 3, 10, 2)]
+    schema = "rule_id string, present boolean, edited boolean, live boolean, enabled boolean, days double, error boolean, predicted int, actual int, overridden int"
+    got = {r.rule_id: r.status for r in health.verdict(spark.createDataFrame(facts, schema)).collect()}
+    assert got == {"gone": "deleted", "edited": "edited", "dead": "insufficient_data", "off": "disabled", "young": "insufficient_data", "broken": "insufficient_data", "quiet": "insufficient_data", "dormant": "dormant", "few": "insufficient_data", "undone": "overridden", "noisy": "noisy", "weak": "underperforming", "fine": "healthy"}
+
+
+def test_roles(spark):
+    rows = [("sensor.mangoethanol", "x", None, None), ("sensor.go_echarger", "x", None, None), ("sensor.garden", "x", "temperature", None), ("sensor.garden_template", "x", None, "template"), ("sensor.a", "Tibber price level", None, None), ("sensor.b", "Tibber price", None, None), ("binary_sensor.w", "x", None, "workday"), ("binary_sensor.fp2", "presence", None, None), ("weather.home", "x", None, None), ("sensor.lux_hall", "x", None, None)]
+    df = spark.createDataFrame([(e, e.split(".")[0], n, c, p, 20.0 if e.startswith("weather") else None) for e, n, c, p in rows], "entity_id string, domain string, name string, device_class string, platform string, temperature double")
+    got = {(r.role, r.entity_id) for r in dimensions.roles(df).collect()}
+    assert got == {("ev_charger", "sensor.go_echarger"), ("outdoor_temperature", "sensor.garden"), ("outdoor_temperature", "sensor.garden_template"), ("price_level", "sensor.a"), ("energy_price", "sensor.b"), ("workday", "binary_sensor.w"), ("occupancy", "binary_sensor.fp2"), ("room_presence", "binary_sensor.fp2"), ("weather", "weather.home"), ("illuminance", "sensor.lux_hall")}
+    assert ("outdoor_temperature", "weather.home#temperature") in {(r.role, r.entity_id) for r in dimensions.roles(df.filter("domain = 'weather'")).collect()}
+
+
+def test_decisions_and_runs(spark):
+    table = spark.createDataFrame([("a", "tod", 0.5, "new", 2, 1)], "id string, miner string, score double, status string, seen_count int, last_run int")
+    log = spark.createDataFrame([], "id string, decision string, n long, reason string, score double, seen_count int")
+    table, log = store.decide(table, log, "a", "dismissed", 1, "no")
+    assert table.first().status == "dismissed" and [tuple(r) for r in store.dismissed(table, log).collect()] == [("a", "tod", "no", 1)]
+    table, log = store.decide(table, log, "a", "restored", 2)
+    assert table.first().status == "new" and log.count() == 2
+    runs = spark.createDataFrame([(1, 5, None, "running"), (2, 6, 8, "done")], "run int, started_us long, finished_us long, status string")
+    assert sorted(tuple(r) for r in store.close_interrupted(runs, 9).collect()) == [(1, 5, 9, "interrupted"), (2, 6, 8, "done")]
+    assert circular is not None and conflicts.siblings(spark.createDataFrame([("d", "x"), ("d", "y"), ("e", "z")], "device_id string, entity_id string")).count() == 2

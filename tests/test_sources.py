@@ -23,7 +23,49 @@ def test_aras_and_kasteren(spark):
 def test_rules():
     t, a = [{"kind": "time", "at": "06:30:00", "entity_id": None}], [{"service": "light.turn_on", "entity_id": "light.k", "data": {}}]
     assert rules.signature("tod", t, [], a) == rules.signature("tod", [{"kind": "time", "at": "06:30:00"}], [], a) != rules.signature("tod", t, [{"kind": "state", "entity_id": "x", "state": "on"}], a)
-    assert rules.sentence(t, [], a) == "at 06:30, turn on light.k"
+    assert rules.sentence(t, [], a) == "At 06:30, turn on light.k"
     assert rules.automation("1", "x", t, [], a)["triggers"] == [{"trigger": "time", "at": "06:30:00"}]
     assert rules.invented_numbers("8 of 10 days, 80% and 77", {"hits": 8, "days": 10, "share": 0.8}) == ["77"]
     assert rules.target_state("light.turn_on") == "on" and rules.target_state("media_player.media_play") is None
+
+
+def test_registry_files(spark, tmp_path):
+    import json
+
+    from routinelens.sources import registry
+
+    rows = [{"entity_id": "light.a", "device_id": "d", "labels": ["x"], "options": {"conversation": {"aliases": ["lamp"]}}}, {"entity_id": "light.b", "disabled_by": "user", "aliases": ["b"]}, {"name": "no id"}]
+    path = tmp_path / "entities"
+    path.write_text(json.dumps({"version": 1, "data": {"entities": rows, "deleted_entities": [{"entity_id": "light.ghost"}] * 5}}, indent=1))
+    got = {r.entity_id: r for r in registry.entities(registry.read(spark, str(path), "entity")).collect()}
+    assert set(got) == {"light.a", "light.b"} and got["light.a"].aliases == ["lamp"] and not got["light.b"].enabled and got["light.b"].aliases == ["b"]
+    path.write_text("{broken")
+    assert registry.read(spark, str(path), "device").count() == 0
+    path.write_text(json.dumps({"data": {"areas": [{"id": "k", "name": "Kitchen"}]}}))
+    assert registry.areas(registry.read(spark, str(path), "area")).first().area_id == "k"
+
+
+def test_dataset_activities_and_dispatch(spark, tmp_path):
+    from routinelens.sources import datasets
+
+    path = tmp_path / "day.txt"
+    path.write_text("\n".join(["0 1 7 3", "1 1 7 3", "1 0 8 3", "1 0 8 3"]))
+    runs = sorted((r.resident, r.activity, r.start_us // 1_000_000, r.end_us // 1_000_000) for r in datasets.aras_activities(datasets.lines(spark, str(path)), 0).collect())
+    assert runs == [(0, "7", 0, 2), (0, "8", 2, 4), (1, "3", 0, 4)]
+    one = datasets.stats(datasets.load(spark, str(path), "aras")).first()
+    assert (one.n, one.entities, one.human) == (2, 2, 2)
+
+
+def test_statistics(spark):
+    from pyspark.sql import functions as F
+
+    from routinelens.sources import recorder
+
+    meta = spark.createDataFrame([(1, "s.a"), (2, "s.b")], "id long, statistic_id string")
+    rows = spark.createDataFrame([(2, 10.0, 1.0), (1, 20.0, 2.0), (1, 10.0, 3.0), (1, 30.0, 4.0)], "metadata_id long, start_ts double, mean double")
+    for c in ("min", "max", "state", "sum"):
+        rows = rows.withColumn(c, F.lit(0.0))
+    got = [(r.statistic_id, r.start_ts) for r in recorder.statistics(rows, meta, ["s.a"], 10.0, 30.0).collect()]
+    assert got == [("s.a", 10.0), ("s.a", 20.0)] and recorder.statistic_ids(meta).count() == 2
+    texts = spark.createDataFrame([("12.5",), ("1970-01-01T00:01:00+00:00",), ("x",)], "t string").select(recorder.seconds(F.col("t")).alias("s"))
+    assert [r.s for r in texts.collect()] == [12.5, 60.0, None]

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 #: Bytes of chunks and words, with their ids and tokens, kept between batches; a full cache is emptied, which costs time but changes
 #: nothing. A longer chunk or word (in characters) is never kept.
-CACHE_BYTES, CACHE_LENGTH = 320 << 20, 100
+CACHE_BYTES, CACHE_LENGTH = 64 << 20, 100
 #: Bytes that an entry takes beside its characters, about.
 _ENTRY = 300
 #: Code points for which Python's lower(), NFC and the character classes below were compared with the
@@ -285,7 +285,7 @@ def loaded(blob: str) -> PairIndex:
 
 
 #: Characters encoded at a time; a longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def _runs(texts: list[str]) -> Iterator[list[str]]:

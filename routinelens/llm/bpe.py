@@ -20,7 +20,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -288,7 +288,7 @@ def loaded(blob: str) -> PairIndex:
 BATCH_CHARS = 2_000_000
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
+def _runs(texts: Iterable[str]) -> Iterator[list[str]]:
     run, size = [], 0
     for t in texts:
         run.append(t)
@@ -317,14 +317,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         index = loaded(blob.value)
         for batch in batches:
             at = 0
-            for texts in _runs([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in _runs(t.as_py() or "" for t in batch.column(1)):
                 n, ids_hash, text_hash, ids = [], [], [], []
                 for a, b in index.encode(texts):
                     n.append(a.count(" ") + 1 if a else 0)
                     ids_hash.append(hashlib.sha256(a.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(b.encode()).hexdigest())
                     if with_ids:
-                        ids.append([int(x) for x in a.split()])
+                        ids.append(np.array(a.split(), np.int32))
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.field("element", pa.int32(), False))))

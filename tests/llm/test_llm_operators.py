@@ -221,15 +221,41 @@ def test_similar_texts(spark, edge, empty):
             family[len(rows)] = f
             rows.append((len(rows), " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    _, texts = simhash._texts(docs, "doc_id", "text")
+    held, name = simhash._held(docs, "doc_id", "text")
+    texts = simhash._texts(held)
     number = {r.n: r.first.id for r in texts.collect()}
-    got = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.similar_links(docs, texts).collect()}
+    got = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.similar_links(held, texts).collect()}
+    spark.sql(f"DROP TABLE {name}")
     want = brute_similar([t for _, t in rows])
     assert got <= want and len(got) > 0.6 * len(want)  # a group has more pairs than comparisons
     kept = [r.doc_id for r in simhash.keep_one_similar(docs).collect()]
     assert len(kept) == len(set(kept)) and {family[k] for k in kept} == set(range(40)) and len(kept) <= 44 and sum(k % 4 == 0 for k in kept) >= 40
     out = simhash.keep_one_similar(edge)
     assert out.columns == edge.columns and out.select("doc_id").distinct().count() == out.count() and simhash.keep_one_similar(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("held_")]
+
+
+def test_candidates_meet_all_halves_one_bit_apart(spark):
+    """Against brute force over halves that differ in any one bit, the uncoded top bit included, or in none, or in two."""
+    rng = random.Random(14)
+    one = lambda: [rng.getrandbits(64) for _ in range(simhash.TABLES)]
+    rows = []
+    for bit in range(64):
+        base, near, far = one(), one(), one()
+        table = rng.randrange(simhash.TABLES)
+        near[table], far[table] = base[table] ^ 1 << bit, base[table] ^ 1 << bit ^ 1 << (bit ^ 1)
+        far[table] ^= rng.getrandbits(32) << (0 if bit >= 32 else 32)  # the other half is another one
+        rows += [base, near, far]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    texts = spark.createDataFrame([(n, list(map(signed, r))) for n, r in enumerate(rows)], "n long, prints array<long>")
+    half = lambda x, h: x >> 32 * h & 0xFFFFFFFF
+    meets = lambda x, y: any((half(p, h) ^ half(q, h)).bit_count() <= 1 for p, q in zip(x, y) for h in (0, 1))
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if meets(rows[a], rows[b])}
+    assert len(want) >= 64 and {(r.a, r.b) for r in simhash.candidates(texts).collect()} <= want
+    keys = {(t, h, half(p, h)) for r in rows for t, p in enumerate(r) for h in (0, 1)}
+    apart = {(a, b) for a, b in want if not any(half(p, h) == half(q, h) for p, q in zip(rows[a], rows[b]) for h in (0, 1))}
+    got = {(r.a, r.b) for r in simhash.candidates(texts).collect()}
+    assert apart <= got and len(keys) > 64  # two texts of one half meet by way of the first of it
 
 
 # 5

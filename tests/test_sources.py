@@ -69,3 +69,35 @@ def test_statistics(spark):
     assert got == [("s.a", 10.0), ("s.a", 20.0)] and recorder.statistic_ids(meta).count() == 2
     texts = spark.createDataFrame([("12.5",), ("1970-01-01T00:01:00+00:00",), ("x",)], "t string").select(recorder.seconds(F.col("t")).alias("s"))
     assert [r.s for r in texts.collect()] == [12.5, 60.0, None]
+
+
+def test_automation_files(spark, tmp_path):
+    import json
+
+    from routinelens.sources import automations
+
+    deep = {"service": "light.turn_on", "target": {"entity_id": ["light.a", "light.b"], "area_id": "hall"}}
+    for _ in range(4):
+        deep = {"if": [], "then": [{"repeat": {"count": 2, "sequence": deep}}], "else": [{"scene": "scene.night"}]}
+    listed = [
+        {"id": 7, "alias": "Evening", "mode": "restart", "trigger": [{"platform": "time", "at": ["18:00", "19:00"]}, {"trigger": "state", "entity_id": "switch.x"}], "condition": {"condition": "state", "entity_id": ["person.p", "nodot"]}, "action": [deep, "wait", {"delay": 5}]},
+        {"triggers": {"platform": "sun"}, "actions": {"choose": [{"conditions": [], "sequence": {"action": "climate.set_hvac_mode", "data": {"hvac_mode": "heat", "entity_id": "climate.c", "device_id": "d1"}}}], "default": [{"service": "script.bedtime"}, {"service": "automation.trigger", "entity_id": "automation.z"}]}},
+        {"alias": "no trigger", "action": []},
+        "not an automation",
+    ]
+    (tmp_path / "automations.json").write_text(json.dumps(listed))
+    (tmp_path / "broken.json").write_text("{")
+    rows = automations.read(spark, str(tmp_path))
+    told = {r.key: r for r in automations.normalise(rows).collect()}
+    one, two = told["automations.json#0"], told["automations.json#1"]
+    assert len(told) == 2 and (one.id, one.alias, one.mode, one.trigger_times, one.trigger_kinds, one.trigger_entities, one.condition_entities) == ("7", "Evening", "restart", ["18:00", "19:00"], ["time", "state"], ["switch.x"], ["person.p"])
+    assert (two.id, two.alias, two.mode, two.trigger_kinds) == (None, "unnamed automation", "single", ["sun"])
+    called = automations.actions(rows)
+    got = sorted((r.key[-1], r.service, tuple(r.entity_ids), r.target_state) for r in called.collect())
+    assert got == sorted([("0", "light.turn_on", ("light.a", "light.b"), "on")] + [("0", "scene.turn_on", ("scene.night",), None)] * 4 + [("1", "climate.set_hvac_mode", ("climate.c",), "heat"), ("1", "script.bedtime", (), None), ("1", "automation.trigger", ("automation.z",), None)])
+    assert {(r.entity_id, r.area_id, r.device_id) for r in automations.targets(called).collect()} >= {("light.a", None, None), (None, "hall", None), (None, None, "d1")}
+    assert {r.entity_id for r in automations.started(called).collect()} == {"script.bedtime", "automation.z"}
+    live = spark.createDataFrame([("automation.evening", "7", "Evening", "off"), ("automation.other", None, "Other", None)], "entity_id string, unique_id string, name string, state string")
+    met = {(r.alias, r.entity_id, r.enabled, r.source) for r in automations.attach(automations.normalise(rows), live).collect()}
+    assert met == {("Evening", "automation.evening", False, "automations.json"), ("unnamed automation", None, True, "automations.json"), ("Other", "automation.other", True, "states-only")}
+    assert automations.actions(rows.filter("false")).count() == 0

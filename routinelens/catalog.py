@@ -13,6 +13,7 @@ from routinelens.functions import circular
 from routinelens.learn import home_mode as home
 from routinelens.learn import ranking
 from routinelens.operators import activity, association, causality, conditional, conditions, conflicts, crossings, dimensions, habits, health, replay, sequences, signals, store
+from routinelens.sources import automations
 from routinelens.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -804,6 +805,29 @@ def expanded_targets(spark, sf_dir):
     return conflicts.expand(devices.unionByName(area), held)
 
 
+#: The rules of LINKED as raw automations: an action of each kind two branches deep, a scene in the default branch, and a notice to the trigger.
+def _raw_automations(spark, sf_dir):
+    kinds = _kinds(spark, sf_dir).filter("state in ('on', 'off')")
+    text = """concat('{"id":"', rule_id, '","trigger":[{"platform":"state","entity_id":"', trigger_entity, '"},{"platform":"time","at":"', printf('%02d:%02d', int(m div 60), int(m % 60)), '"}],"action":[{"choose":[{"conditions":[],"sequence":[{"if":[],"then":[{"service":"', domain, '.turn_', state,
+        '","target":{"entity_id":["', entity_id, '"]}}]}]}],"default":[{"scene":"scene.d', d, '"}]},{"repeat":{"count":', n, ',"sequence":{"action":"notify.send","data":{"entity_id":"', trigger_entity, '"}}}}]}')"""
+    return kinds.select(F.col("rule_id").alias("key"), F.expr(text).alias("automation"), F.lit("events").alias("source"))
+
+
+@query(LINKED + """SELECT rule_id AS key, domain || '.turn_' || state AS service, entity_id, state AS target_state, '0.0.0' AS path FROM kt WHERE state IN ('on', 'off')
+    UNION ALL SELECT rule_id, 'scene.turn_on', 'scene.d' || d, NULL, '0.1' FROM kt WHERE state IN ('on', 'off')
+    UNION ALL SELECT rule_id, 'notify.send', trig, NULL, '1.0' FROM kt WHERE state IN ('on', 'off')""")
+def automation_actions(spark, sf_dir):
+    """Every service call of raw automations with its place among the nested steps."""
+    called = automations.actions(_raw_automations(spark, sf_dir))
+    return called.select("key", "service", F.explode("entity_ids").alias("entity_id"), "target_state", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+@query(LINKED + """SELECT rule_id AS key, rule_id AS alias, trig AS trigger_entities, printf('%02d:%02d', m // 60, m % 60) AS trigger_times, 'state,time' AS trigger_kinds FROM kt WHERE state IN ('on', 'off')""")
+def automation_triggers(spark, sf_dir):
+    told = automations.normalise(_raw_automations(spark, sf_dir))
+    return told.select("key", "alias", *[F.array_join(c, ",").alias(c) for c in ("trigger_entities", "trigger_times", "trigger_kinds")])
+
+
 # --- activity and tokens ---------------------------------------------------------------------------------------------
 
 

@@ -49,3 +49,16 @@ def test_proposals(spark):
     scene = df([("a", "time", None, 400, "light.a", "on"), ("b", "time", None, 405, "light.b", "on"), ("c", "state", "p.a", None, "light.a", "on"), ("d", "state", "p.a", None, "light.a", "off")], "rule_id string, kind string, trigger string, minute int, target_entity string, target_state string")
     assert ids(validators.scenes(scene), "rules", "entities") == [(2, 2)]
     assert validators.inventory(df([("a", "x"), ("b", None)], "entity_id string, name string")).first() == validators.inventory(df([("b", None), ("a", "x")], "entity_id string, name string")).first()
+
+
+def test_options(spark, tmp_path):
+    from routinelens.plans import options
+
+    plain = options.resolve()
+    assert set(plain) == set(options.SETTINGS) and plain["min_occurrences"] == 5 and plain["min_lift"] == 1.5 and "sun" in plain["excluded_domains"]
+    got = options.resolve({"min_occurrences": "1", "min_support": 7, "min_lift": "much", "allow_security_actions": " Yes ", "excluded_domains": "Camera, ,vacuum", "excluded_users": ["u", None, ""], "unheard": 1, "min_confidence": None, "health_noisy_override_rate": 0.8, "backtest_holdout_fraction": "0.95", "ranking_prior_strength": 0})
+    assert (got["min_occurrences"], got["min_support"], got["min_lift"], got["allow_security_actions"], got["excluded_users"], got["min_confidence"]) == (2, 1.0, 1.5, True, ("u",), 0.6)
+    assert {"camera", "vacuum", "sun"} <= set(got["excluded_domains"]) and "unheard" not in got and got["health_overridden_override_rate"] == 0.8 and got["backtest_holdout_fraction"] == 0.9 and got["ranking_prior_strength"] == 0.01
+    for name, text in (("good", '{"min_occurrences": 9}'), ("broken", "{"), ("list", "[1]"), ("empty", "")):
+        (tmp_path / name).write_text(text)
+    assert [options.load(spark, str(tmp_path / n))["min_occurrences"] for n in ("good", "broken", "list", "empty")] == [9, 5, 5, 5]

@@ -865,6 +865,15 @@ def home_mode(spark, sf_dir):
     return home.modes(activity.bins(rows, start, end + 1))
 
 
+@query()
+def home_mode_summary(spark, sf_dir):
+    """What each mode of the history is like: its share, hours and busiest domains."""
+    start, end = _bounds(spark, sf_dir)
+    levels = materialise(activity.bins(changes(spark, sf_dir), start, end + 1), "activity-levels")
+    decoded = materialise(home.occupied(home.modes(levels)), "modes")
+    return home.summaries(decoded, levels, first_minute=start // MINUTE % 1440)
+
+
 # --- store, health, dimensions, ranking ------------------------------------------------------------------------------
 
 #: Suggestions made of kinds of action: those of the first week are stored, those after it are fresh.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routinelens.functions import circular
+
 #: Bins used for training, the last ones of the window: 60 days of 15 minutes.
 MAX_BINS = 5760
 FLOOR = 1e-2
@@ -91,3 +95,48 @@ def modes(levels: DataFrame, counts: tuple[int, ...] = (2, 3)) -> DataFrame:
     decoded = tries.groupBy("k").applyInPandas(run, "k int, bin long, mode int, bic double")
     best = decoded.groupBy("k").agg(F.min("bic").alias("bic")).agg(F.min_by("k", "bic").alias("k"))
     return decoded.join(best, "k").select("bin", "mode")
+
+
+def occupied(decoded: DataFrame) -> DataFrame:
+    """Rows (bin, mode) with the modes that any bin has numbered from 0 without gaps, in their order."""
+    used = decoded.select("mode").distinct().agg(F.array_sort(F.collect_set("mode")).alias("used"))  # one row of a handful of modes
+    return decoded.crossJoin(F.broadcast(used)).select("bin", (F.array_position("used", F.col("mode")) - 1).cast("int").alias("mode"))
+
+
+#: Domains less active than this are not named in a summary, nor more than so many.
+NAMED, TOP = 0.05, 3
+
+
+def summaries(decoded: DataFrame, levels: DataFrame, minutes: int = 15, first_minute: int = 0) -> DataFrame:
+    """Per mode: share of the bins, typical_time and spread_minutes around the clock, and top_domains by mean activity.
+
+    Bins are numbered from ``first_minute`` of a day, ``minutes`` long each. Means are those of log(1 + active), as the fit sees them.
+    """
+    minute = (F.col("bin") * minutes + first_minute) % circular.PERIOD
+    shape = decoded.groupBy("mode").agg(F.count(F.lit(1)).alias("bins"), circular.hhmm(circular.mean(minute)).alias("typical_time"), F.round(circular.std(minute), 1).alias("spread_minutes"))
+    total = decoded.agg(F.count(F.lit(1)).alias("total"))  # one row
+    mean = F.expm1(F.sum(F.log1p(F.greatest(F.col("active"), F.lit(0)).cast("double"))) / F.first("bins"))
+    means = levels.join(decoded, "bin").join(F.broadcast(shape.select("mode", "bins")), "mode").groupBy("mode", "domain").agg(mean.alias("mean")).filter(F.col("mean") > NAMED)
+    tops = means.groupBy("mode").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("m"), "domain"))), 1, TOP)["domain"].alias("top_domains"))
+    told = shape.crossJoin(F.broadcast(total)).join(tops, "mode", "left")
+    return told.select("mode", F.round(F.col("bins") / F.col("total"), 4).alias("share"), "typical_time", "spread_minutes", F.coalesce("top_domains", F.array().cast("array<string>")).alias("top_domains"))
+
+
+def profiles(decoded: DataFrame, levels: DataFrame) -> DataFrame:
+    """Per mode and domain the mean of log(1 + active): (mode, domain, mean)."""
+    return levels.join(decoded, "bin").groupBy("mode", "domain").agg(F.avg(F.log1p(F.greatest(F.col("active"), F.lit(0)).cast("double"))).alias("mean"))
+
+
+def aligned(decoded: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows (bin, mode) under the numbers of an earlier run's modes: the order whose profiles are nearest to that run's.
+
+    Left as it is if the runs differ in the number of modes or in their domains. Profiles are a few modes times a few domains.
+    """
+    tables = [frame.toPandas().pivot(index="mode", columns="domain", values="mean").fillna(0.0) for frame in (now, before)]
+    new, old = tables
+    if list(new.index) != list(old.index) or list(new.columns) != list(old.columns) or not len(new):
+        return decoded
+    gaps = ((old.to_numpy()[:, None] - new.to_numpy()[None]) ** 2).sum(axis=2) ** 0.5
+    best = min(permutations(range(len(new))), key=lambda order: sum(gaps[i, j] for i, j in enumerate(order)))
+    name = F.create_map(*[F.lit(int(x)) for i, j in enumerate(best) for x in (new.index[j], old.index[i])])
+    return decoded.select("bin", F.element_at(name, F.col("mode")).cast("int").alias("mode"))

@@ -313,3 +313,19 @@ def test_decisions_and_runs(spark):
     runs = spark.createDataFrame([(1, 5, None, "running"), (2, 6, 8, "done")], "run int, started_us long, finished_us long, status string")
     assert sorted(tuple(r) for r in store.close_interrupted(runs, 9).collect()) == [(1, 5, 9, "interrupted"), (2, 6, 8, "done")]
     assert circular is not None and conflicts.siblings(spark.createDataFrame([("d", "x"), ("d", "y"), ("e", "z")], "device_id string, entity_id string")).count() == 2
+
+
+def test_modes_are_summed_up_and_keep_their_numbers(spark):
+    quiet, busy = range(0, 28), range(72, 88)  # from midnight, and from 18:00, of one day in quarters of an hour
+    decoded = spark.createDataFrame([(b, 3) for b in quiet] + [(b, 1) for b in busy], "bin long, mode int")
+    levels = spark.createDataFrame([(d, b, (4 if d == "light" else 1 if d == "media_player" else 0) * int(b in busy)) for d in ("light", "media_player", "lock") for b in [*quiet, *busy]], "domain string, bin long, active long")
+    dense = home_mode.occupied(decoded)
+    assert {r["mode"] for r in dense.collect()} == {0, 1} and dense.filter("mode = 0").count() == len(busy)
+    got = {r["mode"]: r for r in home_mode.summaries(dense, levels).collect()}
+    assert (got[0]["share"], got[0]["typical_time"], got[0]["top_domains"]) == (round(16 / 44, 4), "19:52:00", ["light", "media_player"])
+    assert (got[1]["share"], got[1]["typical_time"], got[1]["top_domains"]) == (round(28 / 44, 4), "03:22:00", []) and got[1]["spread_minutes"] > got[0]["spread_minutes"] > 0
+    now = home_mode.profiles(dense, levels)
+    swapped = now.withColumn("mode", 1 - now["mode"])
+    again = {r["bin"]: r["mode"] for r in home_mode.aligned(dense, now, swapped).collect()}
+    assert all(again[b] == 1 for b in busy) and all(again[b] == 0 for b in quiet)
+    assert home_mode.aligned(dense, now, now.filter("mode = 0")) is dense and home_mode.summaries(dense.filter("false"), levels).count() == 0

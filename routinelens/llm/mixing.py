@@ -12,16 +12,19 @@ gradient). A step that does not lessen the gap is taken back and damped more. Wh
 a step; a rate is the fold of the steps over the document's posterior, so no table of rates has to be kept or joined.
 
 The target totals are such that the first domain keeps the expected tokens it has, so documents that are surely of it have rates near one.
-Whole copies of a document are floor(rate + u), u uniform in [0, 1) by its hashed id: the expectation is the rate.
+A target smaller than what the classifier can tell apart is raised to it, see feasible(): else least squares would leave few documents with high rates.
+Whole copies of a document are floor(rate + u), u uniform in [0, 1) by its hashed id and text: the expectation is the rate.
 
 Defined results: a null or empty text has no tokens and the posterior of a text without telling features. Very long texts are cut
-into words in the one row that holds them. Without labels, or with labels of one domain only, all posteriors are equal, and so are the rates.
+into words in the one row that holds them. Without labels, or with too few to fit, the posteriors are a third each; with labels of one domain only, its
+posterior is one; in both cases every rate is one, as nothing can be told apart.
 Null labels are not used; of repeated labels of an id the lowest quality and highest toxicity count. Repeated rows get equal
 rates and copies, and ties cannot arise. Columns of the documents keep their names; mix() packs them away while it works. No documents give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from routinelens.storage import materialise
 
 DOMAINS = ("good", "low", "toxic")
-#: The share of all tokens that each domain is to have.
-TARGETS = {"good": 0.95, "low": 0.025, "toxic": 0.025}
+#: The share of all tokens that each domain is to have, if it can be told apart so far.
+TARGETS = {"good": 0.98, "low": 0.015, "toxic": 0.005}
+#: What of the first domain's expected tokens may be lost to reach a target, and steps a power of ten of the ratios by which feasible() orders documents.
+LOSS, STEPS = 0.02, 40
 #: At most this many labelled documents, those whose hashed ids come first, take part in the fit.
 MAX_LABELLED = 20_000
 #: A domain's telling features: at most this many, each in so many of its labelled documents, so many times as
@@ -92,9 +97,13 @@ class Classifier:
     telling: tuple[tuple[str, ...], ...]
     weights: tuple[tuple[float, ...], ...]
     intercepts: tuple[float, ...]
+    #: Without a fit, the posteriors of all documents.
+    fixed: tuple[float, ...] | None = None
 
     def posteriors(self) -> list[Column]:
         """The chance of each domain, from the columns MEASURES."""
+        if self.fixed:
+            return [F.lit(p) for p in self.fixed]
         score = [sum((F.col(m) * w for m, w in zip(MEASURES, row) if w), F.lit(b)) for row, b in zip(self.weights, self.intercepts)]
         top = F.greatest(*score)
         odds = [F.exp(z - top) for z in score]
@@ -113,8 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
     half = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(2)).alias("half")
     rows = materialise(features(some, "text", [F.col("domain"), half]), "labelled-features")
-    by = dict(rows.filter("half = 0").groupBy("domain").count().collect())
+    by, seen = ({r["domain"]: r["n"] for r in found if r["half"] == half} for found in [rows.groupBy("half", "domain").agg(F.count(F.lit(1)).alias("n")).collect()] for half in (0, 1))
     sizes = [by.get(k, 0) for k in kinds]
+    if len(seen) < 2:
+        only = {*by, *seen}
+        return Classifier(tuple(() for _ in kinds[1:]), (), (), tuple(float(k in only) for k in kinds) if len(only) == 1 else tuple(1 / len(DOMAINS) for _ in kinds))
     total = sum(sizes)
     counts = rows.filter("half = 0").select("domain", F.explode("features").alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in kinds], F.count(F.lit(1)).alias("c"))
     telling = []
@@ -126,10 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         best = counts.filter((own >= MIN_DOCUMENTS) & (p >= MIN_LIFT * q)).withColumn("g", g).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "f").limit(MAX_FEATURES)
         telling.append(tuple(sorted(r["f"] for r in best.select("f").collect())))
     train = materialise(measured(rows.filter("half = 1"), tuple(telling)), "labelled-measures")
-    seen = dict(train.groupBy("domain").count().collect())
     none = tuple(0.0 for _ in MEASURES)
-    if len(seen) < 2:
-        return Classifier(tuple(telling), tuple(none for _ in kinds), tuple(0.0 for _ in kinds))
     vectors = VectorAssembler(inputCols=list(MEASURES), outputCol="x").transform(train.withColumn("domain", F.col("domain").cast("double")))
     made = LogisticRegression(featuresCol="x", labelCol="domain", family="multinomial", regParam=RIDGE, maxIter=100).fit(vectors)
     rows_of, cuts = made.coefficientMatrix.toArray(), made.interceptVector.toArray()
@@ -171,6 +180,30 @@ def _steepest(members: DataFrame, steps: list[Step], slope: Step) -> float:
     return float(row[0] or 0.0)
 
 
+def feasible(members: DataFrame, targets: dict[str, float]) -> dict[str, float]:
+    """The targets, none smaller than the share that its domain keeps when the documents most like it go, until ``LOSS`` of the first domain's tokens are gone.
+
+    Documents are ordered by the ratio of the two posteriors, in steps whose number does not depend on the input. One aggregate a domain.
+    """
+    first = DOMAINS[0]
+    made = {first: 1.0}
+    for d in DOMAINS[1:]:
+        ratio = F.log10(F.greatest(F.col(f"p_{d}"), F.lit(1e-12)) / F.greatest(F.col(f"p_{first}"), F.lit(1e-12)))
+        n = F.col("n_tokens").cast("double")
+        steps = members.groupBy(F.floor(ratio * STEPS).alias("step")).agg(F.sum(n * F.col(f"p_{first}")).alias("kept"), F.sum(n * F.col(f"p_{d}")).alias("own")).orderBy("step").collect()
+        least, kept, own = (1 - LOSS) * sum(r["kept"] for r in steps), 0.0, 0.0
+        for r in steps:
+            kept, own = kept + r["kept"], own + r["own"]
+            if kept >= least:
+                break
+        wanted = targets[d] / targets[first] if targets[first] else math.inf
+        made[d] = max(wanted, own / kept) if kept > 0 else wanted
+    if not all(map(math.isfinite, made.values())) or all(made[d] == targets[d] / targets[first] for d in DOMAINS[1:]):
+        return targets
+    whole = sum(made.values())
+    return {d: x / whole for d, x in made.items()}
+
+
 def solve(members: DataFrame, targets: dict[str, float] = TARGETS) -> list[Step]:
     """The steps that lead the rates of rows (n_tokens, p_good, p_low, p_toxic) from one to the least squared relative gaps."""
     have, gram = _totals(members, [])
@@ -207,16 +240,25 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS) -> list[Step]
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, p_good, p_low, p_toxic, rate and copies."""
     model = fit(docs, labels, id_col, text_col)
-    held = materialise(measured(features(docs, text_col, [F.col(id_col).alias("id")]), model.telling), "memberships")
+    held = materialise(measured(features(docs, text_col, [F.col(id_col).alias("id"), _key(id_col, text_col)]), model.telling), "memberships")
     posterior = [p.alias(f"p_{d}") for p, d in zip(model.posteriors(), DOMAINS)]
-    members = held.select("id", "n_tokens", *posterior)
-    steps = solve(members, targets)
+    members = held.select("id", "key", "n_tokens", *posterior)
+    steps = [] if model.fixed else solve(members, feasible(members, targets))
     rated = members.withColumn("rate", rates(steps, [F.col(f"p_{d}") for d in DOMAINS]))
-    return rated.select(F.col("id").alias(id_col), "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies(F.col("id"), F.col("rate")).alias("copies"))
+    return rated.select(F.col("id").alias(id_col), "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", _copies(F.col("key"), F.col("rate")).alias("copies"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("key")
+
+
+def copies(id_: Column, text: Column, rate: Column) -> Column:
+    """How often a document of that id and text comes; the same for equal rows, and of one null id not the same for all texts."""
+    return _copies(F.xxhash64(F.lit(SEED), id_, text), rate)
 
 
-def copies(key: Column, rate: Column) -> Column:
-    u = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 53)) / float(1 << 53)
+def _copies(key: Column, rate: Column) -> Column:
+    u = F.pmod(key, F.lit(1 << 53)) / float(1 << 53)
     return F.floor(rate + u)
 
 
@@ -226,10 +268,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     Rows and measures are written once; the steps read the measures' columns only. Texts are not shuffled.
     """
     model = fit(docs, labels, id_col, text_col)
-    found = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id")])
+    found = features(docs, text_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col)])
     held = materialise(measured(found, model.telling), "memberships")
     posterior = [p.alias(f"p_{d}") for p, d in zip(model.posteriors(), DOMAINS)]
-    steps = solve(held.select("n_tokens", *posterior), targets)
-    rated = held.select("row", "id", *posterior).withColumn("rate", rates(steps, [F.col(f"p_{d}") for d in DOMAINS]))
-    times = rated.select("row", copies(F.col("id"), F.col("rate")).cast("int").alias("times"))
+    members = held.select("n_tokens", *posterior)
+    steps = [] if model.fixed else solve(members, feasible(members, targets))
+    rated = held.select("row", "key", *posterior).withColumn("rate", rates(steps, [F.col(f"p_{d}") for d in DOMAINS]))
+    times = rated.select("row", _copies(F.col("key"), F.col("rate")).cast("int").alias("times"))
     return times.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

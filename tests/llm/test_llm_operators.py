@@ -176,23 +176,9 @@ def test_near_groups(spark, edge, edge_rows, empty):
                 group = [min(a, b) if g in (a, b) else g for g in group]
     want = Counter((d, f"{p:016x}", min(r[0] for r, h in zip(rows, group) if h == g)) for (d, _), p, g in zip(rows, prints, group))
     assert multiset(simhash.near_groups(edge), "doc_id", "fingerprint", "component_id") == want
-    kept = simhash.keep_one_each(edge)
-    assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
     assert simhash.near_groups(empty).count() == 0
 
 
-def test_keep_one_each_of_null_and_repeated_ids(spark):
-    rng = random.Random(8)
-    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
-    near = [(t, t.replace(" ", "  ") + "\n") for t in prose]  # equal fingerprints, other bytes
-    rows = [(None, t) for t in prose[:4]] + [(7, t) for t in prose[4:8]] + [(9, prose[8]), (None, near[8][1]), (7, prose[9]), (5, near[9][1]), (7, near[4][1]), (7, prose[5]), (3, prose[10]), (3, prose[11]), (3, near[11][1])]
-    got = [(r.doc_id, r.text, r.fp) for r in simhash.keep_one_each(spark.createDataFrame([(i, t, f"own {t}") for i, t in rows], "doc_id long, text string, fp string").repartition(3)).collect()]
-    group = {x: k for k, pair in enumerate(near) for x in pair}
-    assert sorted(group[t] for _, t, _ in got) == list(range(12)) and all(own == f"own {t}" and (i, t) in rows for i, t, own in got)
-    least = {k: min((i is None, i or 0) for i, t in rows if group[t] == k) for k in range(12)}
-    assert {group[t]: (i is None, i or 0) for i, t, _ in got} == least
-
-
 def five_word_sets(texts):
     words = [(t or "").encode().lower().split() for t in texts]
     return [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 5 else frozenset([tuple(w)] if w else []) for w in words]
@@ -208,31 +194,80 @@ def brute_similar(texts):
     return {(a, b) for a, b in seen if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
-def test_similar_texts(spark, edge, empty):
+def components(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def families():
+    """Texts of many kinds of likeness about the bar: words changed, parts cut off or added, copies of a hub unlike each other, shared passages."""
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(3000)]
-    rows, family = [], {}
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
     for f in range(40):
-        base = [rng.choice(vocabulary) for _ in range(rng.choice([120, 400]))]
-        for c in range(4):
+        base = some(rng.choice([120, 400]))
+        rows.append(base)
+        for c in range(3):
             text = list(base)
-            for _ in range(0 if c == 0 else max(1, len(base) // 100)):
+            for _ in range(max(1, len(base) * (f % 5) // 100)):
                 text[rng.randrange(len(text))] = rng.choice(vocabulary)
-            family[len(rows)] = f
-            rows.append((len(rows), " ".join(text)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    held, name = simhash._held(docs, "doc_id", "text")
-    texts = simhash._texts(held)
-    number = {r.n: r.first.id for r in texts.collect()}
-    got = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.similar_links(held, texts).collect()}
-    spark.sql(f"DROP TABLE {name}")
-    want = brute_similar([t for _, t in rows])
-    assert got <= want and len(got) > 0.6 * len(want)  # a group has more pairs than comparisons
-    kept = [r.doc_id for r in simhash.keep_one_similar(docs).collect()]
-    assert len(kept) == len(set(kept)) and {family[k] for k in kept} == set(range(40)) and len(kept) <= 44 and sum(k % 4 == 0 for k in kept) >= 40
+            rows.append(text)
+    for f in range(30):
+        base = some(200)
+        rows += [base, base[: 150 + 2 * f], base + some(10 + 2 * f), base[f:] + some(f)]
+    hub = some(300)
+    for k in range(60):  # each of four of five alike to the hub, not to each other
+        text = list(hub)
+        for _ in range(6):
+            text[rng.randrange(300)] = rng.choice(vocabulary)
+        rows.append(text)
+    rows.append(hub)
+    passages = [some(60) for _ in range(6)]
+    rows += [[w for p in rng.sample(passages, 4) for w in p] + some(rng.choice([5, 20, 60])) for _ in range(80)]
+    rows += [["one"], ["ONE"], ["two", "words"], [], [], ["the", "same"] * 50, ["the", "same"] * 60]
+    return [" ".join(t) for t in rows]
+
+
+def test_similar_texts_are_all_found(spark, edge, empty, monkeypatch):
+    texts = families()
+    want = components(len(texts), brute_similar(texts) | {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if not texts[a] and not texts[b]})
+    assert len(brute_similar(texts)) > 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for far, sent in ((simhash.FAR, simhash.SENT), (-1.0, 0)):  # with anchors and by the exact way alone
+        monkeypatch.setattr(simhash, "FAR", far)
+        monkeypatch.setattr(simhash, "SENT", sent)
+        kept = [r.doc_id for r in simhash.keep_one_similar(docs).collect()]
+        lone = {i for i, r in enumerate(want) if texts[i] and want.count(r) == 1}
+        assert len(kept) == len(set(kept)) and lone <= set(kept)
+        if far > 0:
+            assert sorted(kept) == sorted(set(want))
+        else:
+            assert sorted(i for i in kept if texts[i]) == sorted({r for i, r in enumerate(want) if texts[i]})
+    monkeypatch.undo()
     out = simhash.keep_one_similar(edge)
     assert out.columns == edge.columns and out.select("doc_id").distinct().count() == out.count() and simhash.keep_one_similar(empty).count() == 0
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("held_")]
+
+
+def test_one_of_rows_with_null_and_repeated_ids_stays(spark):
+    rng = random.Random(8)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    near = [(t, t.replace(" ", "  ") + "\n") for t in prose]  # equal shingles, other bytes
+    rows = [(None, t) for t in prose[:4]] + [(7, t) for t in prose[4:8]] + [(9, prose[8]), (None, near[8][1]), (7, prose[9]), (5, near[9][1]), (7, near[4][1]), (7, prose[5]), (3, prose[10]), (3, prose[11]), (3, near[11][1])]
+    got = [(r.doc_id, r.text, r.place) for r in simhash.keep_one_similar(spark.createDataFrame([(i, t, f"own {t}") for i, t in rows], "doc_id long, text string, place string").repartition(3)).collect()]
+    group = {x: k for k, pair in enumerate(near) for x in pair}
+    assert sorted(group[t] for _, t, _ in got) == list(range(12)) and all(own == f"own {t}" and (i, t) in rows for i, t, own in got)
+    least = {k: min((i is None, i or 0) for i, t in rows if group[t] == k) for k in range(12)}
+    assert {group[t]: (i is None, i or 0) for i, t, _ in got} == least
 
 
 def test_candidates_meet_all_halves_one_bit_apart(spark):
@@ -304,10 +339,14 @@ def least_gap(tokens, p, want):
     return best
 
 
+#: Targets that the posteriors of these tests allow.
+ALLOWED = {"good": 0.95, "low": 0.025, "toxic": 0.025}
+
+
 def test_mixing_meets_feasible_targets(spark):
     pure = [(0.98, 0.01, 0.01), (0.03, 0.95, 0.02), (0.03, 0.02, 0.95)]
     soft = [(0.999, 0.0005, 0.0005), (0.97, 0.02, 0.01), (0.3, 0.6, 0.1), (0.2, 0.1, 0.7), (0.03, 0.95, 0.02), (0.03, 0.02, 0.95)]
-    cases = [(pure, [400, 50, 50], {"good": 0.6, "low": 0.2, "toxic": 0.2}), (pure, [995, 3, 2], mixing.TARGETS), (soft, [9000, 800, 90, 60, 30, 20], mixing.TARGETS), (soft, [999_950, 9, 9, 9, 13, 10], {"good": 0.99, "low": 0.008, "toxic": 0.002})]
+    cases = [(pure, [400, 50, 50], {"good": 0.6, "low": 0.2, "toxic": 0.2}), (pure, [995, 3, 2], ALLOWED), (soft, [9000, 800, 90, 60, 30, 20], ALLOWED), (soft, [999_950, 9, 9, 9, 13, 10], {"good": 0.99, "low": 0.008, "toxic": 0.002})]
     for p, tokens, targets in cases:
         got, want, r = mixing_shares(spark, tokens, p, targets)
         assert r.min() >= 0 and np.allclose(got, want, rtol=1e-5, atol=0)
@@ -318,7 +357,7 @@ def test_mixing_of_random_posteriors_is_the_exact_optimum(spark):
     for _ in range(8):
         m = int(rng.integers(2, 8))
         tokens, p = rng.integers(1, 1000, m), rng.dirichlet(np.full(3, rng.choice([0.3, 1.0])), m)
-        got, want, r = mixing_shares(spark, tokens, p, mixing.TARGETS)
+        got, want, r = mixing_shares(spark, tokens, p, ALLOWED)
         assert r.min() >= 0 and float(((got / want - 1) ** 2).sum()) <= least_gap(tokens, p, want) * 1.05 + 1e-6
 
 
@@ -334,7 +373,8 @@ def test_mixing_posteriors_and_totals(spark):
         want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert np.allclose([r.p_good, r.p_low, r.p_toxic], want, atol=1e-9) and r.n_tokens == rows[r.doc_id].n_tokens
     total = np.sum([[r.rate * r.n_tokens * p for p in (r.p_good, r.p_low, r.p_toxic)] for r in out], axis=0)
-    assert np.allclose(total / total.sum(), list(mixing.TARGETS.values()), rtol=1e-2)
+    wanted = mixing.feasible(spark.createDataFrame([(r.n_tokens, r.p_good, r.p_low, r.p_toxic) for r in out], "n_tokens long, p_good double, p_low double, p_toxic double"), mixing.TARGETS)
+    assert np.allclose(total / total.sum(), list(wanted.values()), rtol=1e-2) and wanted["good"] > 0.94
     texts = {r.doc_id: r.text for r in docs.collect()}
     for i in list(rows)[:200]:
         w = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", texts[i].lower())
@@ -359,7 +399,36 @@ def test_mixing_edges(edge, empty, labels):
     got = mixing.mixed(edge, labels)
     assert got.count() == edge.count() and got.filter("rate < 0 or copies < 0 or rate is null").isEmpty()
     assert mixing.mix(edge, labels).columns == edge.columns
-    assert mixing.mixed(empty, labels).count() == 0 and mixing.mixed(edge, labels.limit(0)).select("rate").distinct().count() == 1
+    assert mixing.mixed(empty, labels).count() == 0
+
+
+def test_mixing_keeps_what_it_cannot_tell_apart(spark, edge, labels):
+    """Without labels, with those of one domain, or with null ids or marks only, every document stays once."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    marks = spark.read.parquet(f"{DATA}/labels.parquet")
+    good, low = (marks.withColumn("quality", F.lit(q)).withColumn("toxic", F.lit(0)) for q in (1, 0))
+    for some, one in ((marks.limit(0), None), (good, "p_good"), (low, "p_low"), (marks.withColumn("doc_id", F.lit(None).cast("long")), None), (marks.withColumn("toxic", F.lit(None).cast("int")), None)):
+        rows = mixing.mixed(docs, some).collect()
+        assert {(r.rate, r.copies) for r in rows} == {(1.0, 1)}
+        assert {(r.p_good, r.p_low, r.p_toxic) for r in rows} == {tuple(float(c == one) for c in ("p_good", "p_low", "p_toxic")) if one else (1 / 3, 1 / 3, 1 / 3)}
+        assert mixing.mix(docs, some).count() == docs.count()
+    rng = random.Random(2)  # labels that say nothing: most documents stay
+    noise = spark.createDataFrame([(r.doc_id, rng.randint(0, 1), rng.randint(0, 1)) for r in docs.collect()], "doc_id long, quality int, toxic int")
+    assert mixing.mix(docs, noise).select("doc_id").distinct().count() > 0.7 * docs.count()
+
+
+def test_copies_of_null_ids_are_dealt_by_text(spark):
+    rows = spark.createDataFrame([(None, f"text {k}") for k in range(2000)], "id long, text string")
+    times = Counter(r[0] for r in rows.select(mixing.copies(F.col("id"), F.col("text"), F.lit(0.25))).collect())
+    assert set(times) == {0, 1} and 400 < times[1] < 600
+
+
+def test_targets_are_no_smaller_than_what_can_be_told_apart(spark):
+    flat = spark.createDataFrame([(10, 0.8, 0.15, 0.05)] * 50, "n_tokens long, p_good double, p_low double, p_toxic double")
+    got = mixing.feasible(flat, mixing.TARGETS)
+    assert np.allclose([got[d] for d in mixing.DOMAINS], [0.8, 0.15, 0.05])
+    told = spark.createDataFrame([(90, 0.999, 0.0005, 0.0005), (8, 0.01, 0.98, 0.01), (2, 0.01, 0.01, 0.98)], flat.schema)
+    assert mixing.feasible(told, mixing.TARGETS) == mixing.TARGETS
 
 
 # 7
@@ -532,7 +601,7 @@ def test_pipeline(spark):
     for a, b in links:
         root[max(find(a), find(b))] = min(find(a), find(b))
     whole = {min(i for i in before if find(i) == r) for r in {find(i) for i in before}}
-    assert whole <= after and len(after - whole) <= 0.1 * (len(before) - len(whole)) + 1  # none too many goes, few stay that should go
+    assert whole == after
     assert seen["BPE"] == seen["mixing"] and seen["mixing"] <= seen["SimHash near-dedup"]
 
 

@@ -40,9 +40,11 @@ _ANNOTATED: dict[tuple, DataFrame] = {}
 
 
 def _stamp(spark: SparkSession, path: str) -> tuple:
-    """What a table's files are now: their number, newest change and bytes, from the file listing."""
-    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
-    return tuple(files.agg(F.count(F.lit(1)), F.max("file_modification_time"), F.sum("file_size")).first())
+    """What a table is now: its files' number and bytes and its last change, as the file system tells; nothing is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.getContentSummary(at)
+    return whole.getFileCount(), whole.getLength(), fs.getFileStatus(at).getModificationTime()
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,15 +147,33 @@ def human_actions_by_domain(spark, sf_dir):
     return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT entity_id, count(*) FILTER (cause <> 'human') AS passive FROM ann WHERE domain IN ('light', 'media_player', 'switch')
-    GROUP BY entity_id HAVING count(*) FILTER (cause = 'human' AND us >= (SELECT max(us) - 7200000000 FROM base)) = 0""")
+#: A registry made of the entities themselves: spare ones that no event names, one hidden, one disabled, and a category for media players numbered 1.
+REGISTRY = """, rg AS (SELECT entity_id, domain, entity_id = 'switch.z2' AS hidden, entity_id = 'light.z3' AS disabled, CASE WHEN entity_id = 'media_player.z1' THEN 'diagnostic' END AS category FROM (SELECT DISTINCT entity_id, domain FROM base)
+        UNION ALL SELECT DISTINCT domain || '.spare', domain, false, false, CASE WHEN domain = 'switch' THEN 'config' END FROM base)
+"""
+
+
+def _registry(spark, sf_dir):
+    known = entity_ids(spark, sf_dir)
+    spare = known.select(F.concat("domain", F.lit(".spare")).alias("entity_id"), "domain").distinct()
+    name = F.col("entity_id")
+    category = F.when((name == "media_player.z1") | (name == "switch.spare"), F.when(name == "switch.spare", "config").otherwise("diagnostic"))
+    return known.unionByName(spare).select("entity_id", "domain", (name == "switch.z2").alias("hidden"), (name == "light.z3").alias("disabled"), category.alias("category"))
+
+
+@query(REGISTRY + """SELECT rg.entity_id, count(ann.sid) AS passive FROM rg LEFT JOIN ann USING (entity_id) WHERE rg.domain IN ('light', 'media_player', 'switch') AND NOT hidden AND NOT disabled AND category IS NULL
+    GROUP BY rg.entity_id HAVING count(*) FILTER (cause = 'human') = 0""")
 def unused_entities(spark, sf_dir):
-    """Entities that nobody touched in the last two hours: over a whole month everything was touched."""
-    rows = annotated(spark, sf_dir).filter(F.col("domain").isin("light", "media_player", "switch"))
-    since = _bounds(spark, sf_dir)[1] - 2 * HOUR
-    touched = rows.filter((F.col("cause") == "human") & (F.col("us") >= since)).select("entity_id").distinct()
-    passive = rows.groupBy("entity_id").agg(F.count_if(F.col("cause") != "human").alias("passive"))
-    return passive.join(touched, "entity_id", "left_anti")
+    """Entities of a registry that nobody ever touched in the whole history."""
+    return health.unused(annotated(spark, sf_dir), _registry(spark, sf_dir)).select("entity_id", "passive")
+
+
+@query(REGISTRY + """, dy AS (SELECT DISTINCT day FROM ann) SELECT rg.entity_id, dy.day, count(ann.sid) AS passive FROM rg JOIN dy ON true LEFT JOIN ann ON ann.entity_id = rg.entity_id AND ann.day = dy.day
+    WHERE rg.domain IN ('light', 'media_player', 'switch') AND NOT hidden AND NOT disabled AND category IS NULL GROUP BY ALL HAVING count(*) FILTER (cause = 'human') = 0""")
+def unused_by_day(spark, sf_dir):
+    """The same for each day that has any event."""
+    rows = annotated(spark, sf_dir).withColumn("day", model.day(F.col("us")))
+    return health.unused(rows, _registry(spark, sf_dir), "day").select("entity_id", "day", "passive")
 
 
 @query(ACTS + """, z AS (SELECT entity_id, state, count(*) AS n, sum(sin(minute * 2 * pi() / 1440)) AS s, sum(cos(minute * 2 * pi() / 1440)) AS c FROM acts GROUP BY ALL)
@@ -683,18 +703,22 @@ def shadow_fires(spark, sf_dir):
 #: Rules for the conflict checks, made of what people do: each kind of action with a trigger entity and, in a second row, the minute of its
 #: earliest time; and for each switch a rule that sets both states. Every fifth count makes a disabled rule.
 LINKED = ACTS + """, kd AS (SELECT entity_id, domain, state, right(entity_id, 1) AS d, count(*) AS n, CAST(min(minute) AS INT) AS m FROM acts GROUP BY ALL),
-    kt AS (SELECT *, entity_id || '=' || state AS rule_id, n % 5 <> 0 AS enabled, CASE WHEN domain = 'light' THEN 'switch.z' || d WHEN domain = 'media_player' THEN 'light.z' || d WHEN state = 'on' THEN 'person.p' || d ELSE 'light.z' || ((CAST(d AS INT) + 1) % 4) END AS trig FROM kd),
+    kt AS (SELECT *, entity_id || '=' || state AS rule_id, n % 5 <> 0 AS enabled, CASE WHEN domain = 'light' THEN 'switch.z' || d WHEN domain = 'media_player' THEN 'light.z' || d WHEN state = 'on' THEN 'person.p' || d ELSE 'light.z' || ((CAST(d AS INT) + 1) % 2) END AS trig FROM kd),
     r AS (SELECT rule_id, enabled, trig AS trigger_entity, CAST(NULL AS INT) AS trigger_minute, entity_id AS target_entity, state AS target_state FROM kt
         UNION ALL SELECT rule_id, enabled, NULL, m, entity_id, state FROM kt
         UNION ALL SELECT 'both ' || entity_id, true, 'person.p' || d, NULL, entity_id, state FROM kt WHERE domain = 'switch'),
     dv AS (SELECT DISTINCT entity_id, 'd' || right(entity_id, 1) AS device_id FROM base WHERE domain IN ('light', 'switch')),
     p AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, a.target_entity AS ea, b.target_entity AS eb, a.target_state AS sa, b.target_state AS sb, a.enabled AND b.enabled AS live FROM r a JOIN r b ON a.rule_id < b.rule_id
         WHERE a.trigger_entity = b.trigger_entity OR least(abs(a.trigger_minute - b.trigger_minute), 1440 - abs(a.trigger_minute - b.trigger_minute)) <= 45),
-    cp AS (SELECT DISTINCT 'inconsistent' AS kind, rule_a, rule_b, ea AS detail FROM p WHERE ea = eb AND sa <> sb AND live UNION ALL SELECT DISTINCT 'redundant', rule_a, rule_b, ea FROM p WHERE ea = eb AND sa = sb),
+    ck AS (SELECT rule_id, bool_or(trigger_minute IS NOT NULL) AS clock FROM r GROUP BY rule_id),
+    ti_ AS (SELECT DISTINCT a.rule_id AS rule_a, b.rule_id AS rule_b, a.target_entity AS e FROM r a JOIN r b ON a.rule_id < b.rule_id AND a.target_entity = b.target_entity AND a.target_state <> b.target_state AND a.enabled AND b.enabled
+        JOIN ck x ON x.rule_id = a.rule_id JOIN ck y ON y.rule_id = b.rule_id
+        WHERE a.trigger_entity = b.trigger_entity OR NOT (x.clock AND y.clock) OR least(abs(a.trigger_minute - b.trigger_minute), 1440 - abs(a.trigger_minute - b.trigger_minute)) <= 45),
+    cp AS (SELECT 'inconsistent' AS kind, rule_a, rule_b, e AS detail FROM ti_ UNION ALL SELECT DISTINCT 'redundant', rule_a, rule_b, ea FROM p WHERE ea = eb AND sa = sb),
     sc AS (SELECT rule_id, target_entity AS entity_id FROM r GROUP BY ALL HAVING count(DISTINCT target_state) > 1),
     st AS (SELECT DISTINCT x.rule_id AS a, y.rule_id AS b FROM r x JOIN r y ON x.target_entity = y.trigger_entity WHERE x.enabled AND y.enabled),
-    lp AS (SELECT a AS start, b AS cur, [a, b] AS path FROM st UNION ALL SELECT start, st.b, list_append(path, st.b) FROM lp JOIN st ON lp.cur = st.a WHERE start <> cur AND len(path) < 4 AND (st.b = start OR NOT list_contains(path, st.b))),
-    lo AS (SELECT start AS rule_id, array_to_string(path, '>') AS way FROM lp WHERE start = cur QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path), array_to_string(path, '>')) = 1),
+    lp AS (SELECT a AS start, b AS cur, [a, b] AS path FROM st UNION ALL SELECT start, st.b, list_append(path, st.b) FROM lp JOIN st ON lp.cur = st.a WHERE start <> cur AND len(path) < 5 AND (st.b = start OR NOT list_contains(path, st.b))),
+    lo AS (SELECT start AS rule_id, array_to_string(path, '>') AS way FROM lp WHERE start = cur QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path), path) = 1),
     ra AS (SELECT DISTINCT rule_a, rule_b, x.device_id FROM p JOIN dv x ON x.entity_id = ea JOIN dv y ON y.entity_id = eb AND x.device_id = y.device_id WHERE live AND ea <> eb)
 """
 
@@ -703,7 +727,7 @@ def _kinds(spark, sf_dir):
     digit = F.right("entity_id", F.lit(1))
     kinds = _actions(spark, sf_dir).groupBy("entity_id", "domain", "state").agg(F.count(F.lit(1)).alias("n"), F.min("minute").alias("m")).withColumn("d", digit)
     by = F.when(F.col("domain") == "light", F.concat(F.lit("switch.z"), "d")).when(F.col("domain") == "media_player", F.concat(F.lit("light.z"), "d")).when(F.col("state") == "on", F.concat(F.lit("person.p"), "d"))
-    trigger = by.otherwise(F.concat(F.lit("light.z"), ((F.col("d").cast("int") + 1) % 4).cast("string")))
+    trigger = by.otherwise(F.concat(F.lit("light.z"), ((F.col("d").cast("int") + 1) % 2).cast("string")))
     return kinds.select("*", F.concat_ws("=", "entity_id", "state").alias("rule_id"), (F.col("n") % 5 != 0).alias("enabled"), trigger.alias("trigger_entity"))
 
 
@@ -742,10 +766,12 @@ def device_races(spark, sf_dir):
     return conflicts.device_races(_linked(spark, sf_dir), _devices(spark, sf_dir))
 
 
-@query(LINKED + """SELECT *, CASE kind WHEN 'race' THEN 2 WHEN 'redundant' THEN 2 ELSE 3 END AS severity FROM (SELECT kind, rule_a, rule_b, detail FROM cp
-    UNION ALL SELECT 'race', rule_a, rule_b, device_id FROM ra UNION ALL SELECT 'self', rule_id, rule_id, entity_id FROM sc UNION ALL SELECT 'loop', rule_id, rule_id, way FROM lo)""")
+@query(LINKED + """SELECT *, CASE kind WHEN 'race' THEN 2 WHEN 'redundant' THEN 2 WHEN 'unresolved' THEN 2 ELSE 3 END AS severity FROM (SELECT kind, rule_a, rule_b, detail FROM cp
+    UNION ALL SELECT 'race', rule_a, rule_b, device_id FROM ra UNION ALL SELECT 'self', rule_id, rule_id, entity_id FROM sc UNION ALL SELECT 'loop', rule_id, rule_id, way FROM lo
+    UNION ALL SELECT DISTINCT 'unresolved', 'area ' || domain, 'area ' || domain, NULL FROM base WHERE domain = 'sensor')""")
 def conflict_check(spark, sf_dir):
-    return conflicts.check(_linked(spark, sf_dir), _devices(spark, sf_dir))
+    """The rules of people's actions, and one that acts on an area that has no entity."""
+    return conflicts.check(_linked(spark, sf_dir), _devices(spark, sf_dir), expanded=expanded_targets(spark, sf_dir))
 
 
 @query(LINKED + """, bl AS (SELECT rule_a, rule_b FROM cp WHERE kind = 'inconsistent' UNION ALL SELECT rule_id, rule_id FROM sc UNION ALL SELECT rule_id, rule_id FROM lo) SELECT DISTINCT unnest([rule_a, rule_b]) AS rule_id FROM bl""")
@@ -757,7 +783,7 @@ def blocked_rules(spark, sf_dir):
 FACTS_SQL = ACTS + """, cj AS (SELECT 'band ' || entity_id || ' ' || day AS rule_id, 'numeric' AS kind, entity_id, CAST(NULL AS VARCHAR) AS st, min(num) AS above, min(num) + 20 AS below, CAST(NULL AS INT) AS after, CAST(NULL AS INT) AS before, CAST(NULL AS INT) AS wd FROM ann WHERE num IS NOT NULL GROUP BY entity_id, day
         UNION ALL SELECT 'hours ' || entity_id || ' ' || wd, 'time', NULL, NULL, NULL, NULL, CAST(min(minute) AS INT), CAST(max(minute) AS INT) // 2, wd FROM acts GROUP BY entity_id, wd
         UNION ALL SELECT DISTINCT 'state ' || entity_id || '=' || state, 'state', entity_id, state, NULL, NULL, NULL, NULL, NULL FROM acts),
-    sp2 AS (SELECT *, CASE WHEN kind = 'time' THEN CASE WHEN after <= before THEN [{'a': after, 'b': before}] ELSE [{'a': after, 'b': 1439}, {'a': 0, 'b': before}] END END AS spans FROM cj)
+    sp2 AS MATERIALIZED (SELECT *, coalesce(entity_id, '') AS ek, after AS a1, CASE WHEN after <= before THEN before ELSE 1439 END AS b1, CASE WHEN after > before THEN before END AS b2 FROM cj)
 """
 
 
@@ -779,11 +805,11 @@ def condition_facts(spark, sf_dir):
     return told.select("rule_id", "kind", "entity_id", F.array_join("states", "|").alias("states"), F.round("above", 6).alias("above"), F.round("below", 6).alias("below"), "after", "before", F.array_join("weekdays", "|").alias("weekdays"))
 
 
-@query(FACTS_SQL + """SELECT a.rule_id AS rule_a, b.rule_id AS rule_b FROM sp2 a JOIN sp2 b ON a.kind = b.kind AND a.entity_id IS NOT DISTINCT FROM b.entity_id AND a.rule_id < b.rule_id
+@query(FACTS_SQL + """SELECT a.rule_id AS rule_a, b.rule_id AS rule_b FROM sp2 a JOIN sp2 b ON a.kind = b.kind AND a.ek = b.ek AND a.rule_id < b.rule_id
     WHERE CASE a.kind WHEN 'state' THEN a.st <> b.st WHEN 'numeric' THEN a.below <= b.above OR b.below <= a.above
-        ELSE a.wd <> b.wd OR len(list_filter(a.spans, lambda x: len(list_filter(b.spans, lambda y: x.a <= y.b AND y.a <= x.b)) > 0)) = 0 END""")
+        ELSE a.wd <> b.wd OR NOT (a.a1 <= b.b1 AND b.a1 <= a.b1 OR coalesce(a.a1 <= b.b2, false) OR coalesce(b.a1 <= a.b2, false) OR (a.b2 IS NOT NULL AND b.b2 IS NOT NULL)) END""")
 def exclusive_conditions(spark, sf_dir):
-    return conditions.exclusive(conditions.facts(_conditions(spark, sf_dir)))
+    return conditions.exclusive(materialise(conditions.facts(_conditions(spark, sf_dir)), "facts"))
 
 
 @query(LINKED + """, sg_ AS (SELECT rule_id, n % 3 AS s FROM kt), mu AS (SELECT DISTINCT x.rule_id AS rule_a, y.rule_id AS rule_b, x.target_entity AS entity_id FROM r x JOIN r y ON x.target_entity = y.trigger_entity AND x.rule_id <> y.rule_id)

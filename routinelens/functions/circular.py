@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERIOD = 1440
@@ -50,3 +51,18 @@ def clean(text: Column, limit: int) -> Column:
     """White space collapsed; longer texts end in an ellipsis."""
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 1))), F.lit("…"))).otherwise(t)
+
+
+def tight_groups(times: DataFrame, within: float, period: int = PERIOD) -> DataFrame:
+    """Rows (anchor, minute): for times of day (minute) all largest groups that lie within so many minutes, also around midnight.
+
+    A group is told by its first time on the way round the clock. Distinct minutes of a day are few, so the window over three turns of the clock is one
+    small task whatever the input.
+    """
+    once = times.select(F.col("minute").cast("double").alias("minute")).filter("minute is not null").distinct()
+    turns = once.select("minute", F.explode(F.array(*[F.lit(float(k * period)) for k in (0, 1, 2)])).alias("turn")).withColumn("at", F.col("minute") + F.col("turn"))
+    ahead = W.orderBy("at").rangeBetween(0, within)
+    spans = turns.select("minute", "turn", "at", F.max("at").over(ahead).alias("last"), F.collect_list("minute").over(ahead).alias("members"))
+    before = spans.select("*", F.lag("last").over(W.orderBy("at")).alias("covered"))
+    first = before.filter((F.col("turn") == period) & (F.col("covered").isNull() | (F.col("last") > F.col("covered"))))
+    return first.select(F.col("minute").alias("anchor"), F.explode(F.array_distinct("members")).alias("minute"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routinelens.functions import circular
+from routinelens.storage import materialise
 
 NEAR_MINUTES = 45
-MAX_HOPS = 3
+#: A rule and three others may make a loop.
+MAX_HOPS = 4
 
 
 def _overlap(a: str, b: str):
@@ -19,10 +21,15 @@ def _overlap(a: str, b: str):
 
 
 def inconsistent(rules: DataFrame) -> DataFrame:
-    """Pairs that set one entity to different states on overlapping triggers; disabled rules are left out."""
-    live = rules.filter("enabled")
+    """Pairs that set one entity to different states on triggers that may overlap; disabled rules are left out.
+
+    Two rules that pull one entity opposite ways are told even without evidence that they fire together: only clock times apart rule it out,
+    and these only if both rules have one.
+    """
+    clocks = rules.groupBy("rule_id").agg(F.max(F.col("trigger_minute").isNotNull()).alias("clock"))
+    live = rules.filter("enabled").join(clocks, "rule_id")
     pairs = live.alias("a").join(live.alias("b"), F.col("a.target_entity") == F.col("b.target_entity")).filter("a.rule_id < b.rule_id and a.target_state <> b.target_state")
-    return pairs.filter(_overlap("a", "b")).select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), F.col("a.target_entity").alias("entity_id"), F.lit("inconsistent").alias("kind")).distinct()
+    return pairs.filter(_overlap("a", "b") | ~(F.col("a.clock") & F.col("b.clock"))).select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), F.col("a.target_entity").alias("entity_id"), F.lit("inconsistent").alias("kind")).distinct()
 
 
 def redundant(rules: DataFrame) -> DataFrame:
@@ -36,17 +43,22 @@ def self_conflicts(rules: DataFrame) -> DataFrame:
 
 
 def loops(rules: DataFrame) -> DataFrame:
-    """Rules that their own targets can trigger again through at most three enabled rules, with the shortest way."""
+    """Rules that their own targets can trigger again through enabled rules, ``MAX_HOPS`` in all at most, with the shortest way, of equal ones the first.
+
+    A frontier of one way for each start and place reached, each place once: rows grow with pairs of rules, not with ways.
+    """
     edge = rules.filter("enabled").select("rule_id", "trigger_entity", "target_entity").distinct()
     step = edge.alias("x").join(edge.alias("y"), F.col("x.target_entity") == F.col("y.trigger_entity")).select(F.col("x.rule_id").alias("a"), F.col("y.rule_id").alias("b")).distinct()
+    step = materialise(step, "rule-steps")
     path = step.select(F.col("a").alias("start"), F.col("b").alias("at"), F.array("a", "b").alias("path"))
-    closed = path.filter("start = at")
+    closed, seen = path.filter("start = at"), path.select("start", "at")
     for _ in range(MAX_HOPS - 1):
         open_ = path.filter("start <> at")
-        path = open_.join(step, open_["at"] == step["a"]).filter((F.col("b") == F.col("start")) | ~F.array_contains("path", F.col("b"))).select("start", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
-        closed = closed.unionByName(path.filter("start = at"))
-    ways = closed.select(F.col("start").alias("rule_id"), F.size("path").alias("n"), F.array_join("path", ">").alias("way"))
-    return ways.groupBy("rule_id").agg(F.min(F.struct("n", "way"))["way"].alias("way"))
+        more = open_.join(step, open_["at"] == step["a"]).select("start", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+        path = materialise(more.groupBy("start", "at").agg(F.min("path").alias("path")).join(seen, ["start", "at"], "left_anti"), "rule-ways")
+        closed, seen = closed.unionByName(path.filter("start = at")), seen.unionByName(path.select("start", "at"))
+    ways = closed.groupBy("start").agg(F.min(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path"))
+    return ways.select(F.col("start").alias("rule_id"), F.array_join("path", ">").alias("way"))
 
 
 def device_races(rules: DataFrame, devices: DataFrame) -> DataFrame:
@@ -86,8 +98,11 @@ def _without(pairs: DataFrame, proven: DataFrame | None) -> DataFrame:
     return pairs if proven is None else pairs.join(proven, ["rule_a", "rule_b"], "left_anti")
 
 
-def check(rules: DataFrame, devices: DataFrame, proven: DataFrame | None = None) -> DataFrame:
-    """All checks as rows (kind, rule_a, rule_b, detail, severity), each once, the most severe first."""
+def check(rules: DataFrame, devices: DataFrame, proven: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """All checks as rows (kind, rule_a, rule_b, detail, severity), each once, the most severe first.
+
+    With targets from expand(), enabled rules that have one which cannot be enumerated are unresolved: they may touch what any other rule does.
+    """
     rows = [
         _without(inconsistent(rules), proven).select("kind", "rule_a", "rule_b", F.col("entity_id").alias("detail")),
         _without(redundant(rules), proven).select("kind", "rule_a", "rule_b", F.col("entity_id").alias("detail")),
@@ -95,6 +110,9 @@ def check(rules: DataFrame, devices: DataFrame, proven: DataFrame | None = None)
         self_conflicts(rules).select(F.lit("self").alias("kind"), F.col("rule_id").alias("rule_a"), F.col("rule_id").alias("rule_b"), F.col("entity_id").alias("detail")),
         loops(rules).select(F.lit("loop").alias("kind"), F.col("rule_id").alias("rule_a"), F.col("rule_id").alias("rule_b"), F.col("way").alias("detail")),
     ]
+    if expanded is not None:
+        off = rules.filter("not enabled").select("rule_id").distinct()
+        rows.append(unresolved(expanded).join(off, "rule_id", "left_anti").select(F.lit("unresolved").alias("kind"), F.col("rule_id").alias("rule_a"), F.col("rule_id").alias("rule_b"), F.lit(None).cast("string").alias("detail")))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)

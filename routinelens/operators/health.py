@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routinelens.model import DAY
+from routinelens.model import ACTIONABLE, DAY
 
 #: The bars of the verdicts.
 MIN_DAYS, MIN_FIRES, MIN_PREDICTED = 7, 5, 3
@@ -101,3 +101,19 @@ def gap_facts(roles: DataFrame, by_domain: DataFrame, weekday_rules: int = 0, sh
     present = roles.agg(F.array_sort(F.collect_set("role")).alias("roles"))  # roles are a fixed list
     hands = by_domain.agg(F.coalesce(F.sum(F.when(F.col("domain").isin("light", "switch"), F.col("n"))), F.lit(0)).alias("hand_actions"))
     return present.join(hands).select("*", F.lit(weekday_rules).alias("weekday_rules"), F.lit(shifts_loads).alias("shifts_loads"), F.lit(file_store).alias("file_store"), F.lit(history_days).cast("double").alias("history_days"))
+
+
+def unused(changes: DataFrame, entities: DataFrame, window: str | None = None) -> DataFrame:
+    """Entities (entity_id, domain, hidden, disabled, category) that can be acted on and that nobody touched, with their passive changes.
+
+    Scenes, scripts, hidden, disabled and configuration or diagnostic entities do not count. With a ``window``, a column of the changes
+    such as the day, each of its values that has any change is judged by itself; the values are few, as days are.
+    """
+    own = F.col("domain").isin(*[d for d in ACTIONABLE if d not in ("scene", "script")]) & ~F.coalesce("hidden", F.lit(False)) & ~F.coalesce("disabled", F.lit(False)) & F.col("category").isNull()
+    held = entities.filter(own).select("entity_id").distinct()
+    keys = ["entity_id"] + ([window] if window else [])
+    if window:
+        held = held.join(F.broadcast(changes.select(window).distinct()))
+    counts = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cause") == "human").alias("touched"))
+    found = held.join(counts, keys, "left").filter("coalesce(touched, 0) = 0")
+    return found.select(*keys, F.coalesce("n", F.lit(0)).alias("passive"))

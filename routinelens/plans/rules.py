@@ -87,10 +87,28 @@ def touched(triggers: list[dict], actions: list[dict]) -> tuple[list[str], list[
     return names(triggers), names(actions)
 
 
+#: Numbers in words, which cannot be checked.
+NUMBER_WORDS = frozenset(
+    """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+    twenty thirty forty fifty sixty seventy eighty ninety hundred thousand half twice double dozen""".split()
+)
+#: Of which evidence fields one may be said to be "of" the other.
+PAIRS = (("occurrences", "opportunities"), ("true_fires", "total_fires"), ("hits", "days"))
+
+
 def invented_numbers(text: str, evidence: dict) -> list[str]:
-    """Numbers of a text that the evidence does not have, as such, rounded, or as a percentage."""
+    """What a text says in numbers that the evidence does not: a number that it does not have as such, rounded or as a percentage; a pair ("30 of 34")
+    whose numbers it does not have as one; a number in words. Shares from 0 to 1 are not rounded to whole numbers."""
     allowed = set()
     for v in evidence.values():
         if isinstance(v, (int, float)) and not isinstance(v, bool):
-            allowed |= {f"{x:g}" for x in (v, round(v), round(v, 1), round(v, 2), round(100 * v), round(100 * v, 1))}
-    return [n for n in re.findall(r"\d+(?:\.\d+)?", text) if f"{float(n):g}" not in allowed]
+            share = 0 < abs(v) < 1
+            allowed |= {f"{x:g}" for x in (v, round(v, 1), round(v, 2), *(() if share else (round(v),)), round(100 * v), round(100 * v, 1))}
+    plain = re.sub(r"(?<=\d),(?=\d{3}\b)", "", text)
+    same = lambda n: f"{float(n):g}"
+    out = [n for n in re.findall(r"\d+(?:\.\d+)?", plain) if same(n) not in allowed]
+    known = {(same(evidence[x]), same(evidence[y])) for x, y in PAIRS if evidence.get(x) is not None and evidence.get(y) is not None}
+    for pair in re.findall(r"(\d+(?:\.\d+)?)\s+(?:out\s+)?of\s+(?:the\s+)?(\d+(?:\.\d+)?)", plain, re.IGNORECASE):
+        if tuple(map(same, pair)) not in known:
+            out += [n for n in pair if n not in out]
+    return out + sorted(set(re.findall("[a-z]+", plain.lower())) & NUMBER_WORDS)

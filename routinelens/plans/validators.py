@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routinelens.functions import circular
+
 #: What a triage verdict does to a score, the longest mode label, the shortest precondition, the most gap proposals.
 PENALTY = {"unlikely": 0.5, "coincidence": 0.25}
 LABEL_LENGTH, PRECONDITION_LENGTH, MOST_GAPS = 40, 20, 5
@@ -124,11 +126,22 @@ def hypotheses(proposed: DataFrame, signals: DataFrame, most: int = 3) -> DataFr
     return ranked.select("rule_id", F.explode("c").alias("c")).select("rule_id", "c.*")
 
 
-def scenes(rules: DataFrame, within_minutes: int = 20) -> DataFrame:
-    """Rules (rule_id, kind, trigger, minute, target_entity, target_state) that can be one: at least two of one trigger, or of one clock time within
-    the minutes, that do not set one entity to two states: (scene, rules, entities)."""
-    clock = F.floor(F.col("minute") / within_minutes).cast("string")
-    keyed = rules.withColumn("scene", F.when(F.col("kind") == "time", F.concat(F.lit("time:"), clock)).otherwise(F.concat_ws(":", "kind", "trigger")))
+def _clock(minute: Column) -> Column:
+    seconds = F.bround(minute * 60).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+
+
+def scenes(rules: DataFrame, within_minutes: float = 20) -> DataFrame:
+    """Rules (rule_id, kind, trigger, minute, target_entity, target_state) that can be one scene: (scene, rules, entities).
+
+    At least two rules of one state trigger, or of clock times that all lie within the minutes of each other, around midnight too, so that one anchor stands
+    for all; they must not set one entity to two states. Other kinds of trigger have no stand-in and make no scene. A clock rule may be in
+    several scenes, each a largest group.
+    """
+    groups = circular.tight_groups(rules.filter("kind = 'time'"), within_minutes)
+    clock = rules.filter("kind = 'time'").withColumn("minute", F.col("minute").cast("double")).join(groups, "minute").withColumn("scene", F.concat(F.lit("time:"), _clock(F.col("anchor"))))
+    state = rules.filter("kind = 'state'").withColumn("scene", F.concat_ws(":", "kind", "trigger"))
+    keyed = clock.select("scene", "rule_id", "target_entity", "target_state").unionByName(state.select("scene", "rule_id", "target_entity", "target_state"))
     torn = keyed.groupBy("scene", "target_entity").agg(F.countDistinct("target_state").alias("states")).filter("states > 1").select("scene").distinct()
     made = keyed.join(torn, "scene", "left_anti").groupBy("scene").agg(F.countDistinct("rule_id").alias("rules"), F.countDistinct("target_entity").alias("entities"))
     return made.filter("rules > 1 and entities > 1")

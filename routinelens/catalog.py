@@ -12,7 +12,7 @@ from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
 from routinelens.functions import circular
 from routinelens.learn import home_mode as home
 from routinelens.learn import ranking
-from routinelens.operators import activity, association, causality, conditional, conditions, conflicts, crossings, dimensions, habits, health, replay, sequences, signals, store
+from routinelens.operators import activity, association, causality, conditional, conditions, conflicts, crossings, dimensions, habits, health, motifs as motif, replay, sequences, signals, store
 from routinelens.sources import automations
 from routinelens.storage import materialise
 
@@ -546,6 +546,19 @@ def shift_candidates(spark, sf_dir):
     return found.select("entity_id", "signal", "runs", "rated", "expensive", F.round("share", 9).alias("share"), "minute", "hour", F.round("score", 9).alias("score"))
 
 
+@query(""", v AS (SELECT entity_id, us, num, row_number() OVER (PARTITION BY entity_id ORDER BY us, sid) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM base WHERE num IS NOT NULL),
+    wi AS (SELECT entity_id, us, i, n, list(num) OVER (PARTITION BY entity_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS x FROM v),
+    zn AS MATERIALIZED (SELECT entity_id, us, i, list_transform(x, lambda y: (y - list_avg(x)) / list_stddev_pop(x)) AS z FROM wi WHERE len(x) = 12 AND n >= 48),
+    pd AS (SELECT a.entity_id, a.us, a.i, b.i AS j, round(sqrt(greatest(0.0, 24 - 2 * list_dot_product(a.z, b.z))), 6) AS d FROM zn a JOIN zn b ON a.entity_id = b.entity_id AND abs(a.i - b.i) > 3),
+    mp AS (SELECT entity_id, us, i, min(d) AS d, arg_min(j, d) AS j FROM pd GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d, i) AS rank FROM mp)
+    SELECT entity_id, rank, i, j AS neighbour, round(d, 4) AS distance, us AS start_us FROM rk WHERE rank <= 3""")
+def motifs(spark, sf_dir):
+    """The three windows of twelve readings of each sensor that come most alike again."""
+    points = changes(spark, sf_dir).filter("num is not null").select("entity_id", "us", "sid", "num")
+    return motif.motifs(points).withColumn("distance", F.round("distance", 4))
+
+
 # --- replay ----------------------------------------------------------------------------------------------------------
 
 #: Rules written for the driver's events: a clock rule, a state rule and a numeric rule.

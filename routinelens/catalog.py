@@ -400,65 +400,67 @@ def background_samples(spark, sf_dir):
     return _background(spark, sf_dir).groupBy("entity_id", "state").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-def _samples(spark, sf_dir, kinds: list[str]):
-    """Every action and background moment with the signals of each kind that bear the entity's number."""
+def _samples(spark, sf_dir, domains: list[str]):
+    """Every action and background moment with all signals of the domains."""
     marked = _moments(spark, sf_dir).withColumn("positive", F.lit(True)).unionByName(_background(spark, sf_dir).withColumn("positive", F.lit(False)))
-    signal = F.explode(F.array(*[F.concat(F.lit(k), F.right("entity_id", F.lit(1))) for k in kinds]))
-    probes = marked.withColumn("signal", signal).select(F.col("entity_id").alias("kind_entity"), "state", "positive", "us", F.col("signal").alias("entity_id"))
-    read = signals.value_at(probes, _points(spark, sf_dir), 3 * HOUR)
-    return read.select(F.col("kind_entity").alias("entity_id"), "state", F.col("entity_id").alias("signal"), "positive", "us", "num", "str")
+    names = sorted(r["entity_id"] for r in entity_ids(spark, sf_dir).filter(F.col("domain").isin(domains)).collect())
+    return signals.values_at(marked, _points(spark, sf_dir), names, 3 * HOUR).select("entity_id", "state", "signal", "positive", "us", "num", "str")
 
 
 SAMPLES = BACKGROUND + """, mk AS (SELECT entity_id, state, us, true AS positive FROM la UNION ALL SELECT entity_id, state, us, false FROM bg),
-    sa AS (SELECT m.entity_id, m.state, m.sig AS signal, m.us, positive, CASE WHEN m.us - b.us <= 10800000000 THEN b.num END AS num, CASE WHEN m.us - b.us <= 10800000000 THEN b.state END AS str
-        FROM (SELECT *, k || right(entity_id, 1) AS sig FROM mk, (VALUES ('sensor.t'), ('person.p')) v(k)) m ASOF LEFT JOIN base b ON b.entity_id = m.sig AND m.us >= b.us)
+    sg_n AS (SELECT DISTINCT entity_id AS sig FROM base WHERE domain IN ('sensor', 'person')),
+    sa AS MATERIALIZED (SELECT m.entity_id, m.state, m.sig AS signal, m.us, positive, CASE WHEN m.us - b.us <= 10800000000 THEN b.num END AS num, CASE WHEN m.us - b.us <= 10800000000 THEN b.state END AS str
+        FROM (SELECT * FROM mk, sg_n) m ASOF LEFT JOIN base b ON b.entity_id = m.sig AND m.us >= b.us)
 """
 
 
-@query(SAMPLES + """, v AS (SELECT * FROM sa WHERE num IS NOT NULL), t AS (SELECT entity_id, state, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL)
-    SELECT entity_id, state, np, nb, count(DISTINCT round(num, 2)) AS cuts, round(min(num) FILTER (positive), 6) AS low, round(max(num) FILTER (positive), 6) AS high FROM v JOIN t USING (entity_id, state) GROUP BY ALL""")
+@query(SAMPLES + """, v AS (SELECT * FROM sa WHERE num IS NOT NULL), t AS (SELECT entity_id, state, signal, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL)
+    SELECT entity_id, state, signal, np, nb, count(DISTINCT round(num, 2)) AS cuts, round(min(num) FILTER (positive), 6) AS low, round(max(num) FILTER (positive), 6) AS high FROM v JOIN t USING (entity_id, state, signal) GROUP BY ALL""")
 def condition_samples(spark, sf_dir):
-    v = _samples(spark, sf_dir, ["sensor.t"]).filter("num is not null")
-    return v.groupBy("entity_id", "state").agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nb"), F.countDistinct(F.round("num", 2)).alias("cuts"), F.round(F.min(F.when(F.col("positive"), F.col("num"))), 6).alias("low"), F.round(F.max(F.when(F.col("positive"), F.col("num"))), 6).alias("high"))
+    v = _samples(spark, sf_dir, ["sensor"]).filter("num is not null")
+    return v.groupBy("entity_id", "state", "signal").agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nb"), F.countDistinct(F.round("num", 2)).alias("cuts"), F.round(F.min(F.when(F.col("positive"), F.col("num"))), 6).alias("low"), F.round(F.max(F.when(F.col("positive"), F.col("num"))), 6).alias("high"))
 
 
-SPLIT = SAMPLES + """, v AS (SELECT * FROM sa WHERE str IS NOT NULL AND signal LIKE 'person%'), t AS (SELECT entity_id, state, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL),
+SPLIT = SAMPLES + """, v AS (SELECT * FROM sa WHERE str IS NOT NULL AND signal LIKE 'person%'), t AS (SELECT entity_id, state, signal, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb FROM v GROUP BY ALL),
     g AS (SELECT entity_id, state, signal, str, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS b, min(us) FILTER (positive) AS f FROM v GROUP BY ALL),
-    cs AS (SELECT entity_id, state, signal, str AS value, p / np AS coverage, greatest(b, 0.5) / nb AS baseline FROM g JOIN t USING (entity_id, state) WHERE p > 0 AND np >= 4 AND nb >= 10
-        QUALIFY row_number() OVER (PARTITION BY entity_id, state ORDER BY p DESC, f) = 1)
+    cs AS (SELECT entity_id, state, signal, str AS value, p / np AS coverage, greatest(b, 0.5) / nb AS baseline FROM g JOIN t USING (entity_id, state, signal) WHERE p > 0 AND np >= 4 AND nb >= 10
+        QUALIFY row_number() OVER (PARTITION BY entity_id, state, signal ORDER BY p DESC, f) = 1)
 """
 
 
-@query(SPLIT + "SELECT entity_id, state, value, round(coverage, 9) AS coverage, round(baseline, 9) AS baseline FROM cs")
+@query(SPLIT + "SELECT entity_id, state, signal, value, round(coverage, 9) AS coverage, round(baseline, 9) AS baseline FROM cs")
 def categorical_split(spark, sf_dir):
-    found = conditional.categorical_split(_samples(spark, sf_dir, ["person.p"]))
-    return found.select("entity_id", "state", "value", F.round("coverage", 9).alias("coverage"), F.round("baseline", 9).alias("baseline"))
+    found = conditional.categorical_split(_samples(spark, sf_dir, ["person"]))
+    return found.select("entity_id", "state", "signal", "value", F.round("coverage", 9).alias("coverage"), F.round("baseline", 9).alias("baseline"))
 
 
-STUMP = SPLIT + """, nv AS (SELECT *, round(num, 2) AS cut FROM sa WHERE num IS NOT NULL), nt AS (SELECT entity_id, state, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb, count(DISTINCT cut) AS cuts FROM nv GROUP BY ALL),
+STUMP = SPLIT + """, nv AS (SELECT *, round(num, 2) AS cut FROM sa WHERE num IS NOT NULL), nt AS (SELECT entity_id, state, signal, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nb, count(DISTINCT cut) AS cuts FROM nv GROUP BY ALL),
     nc AS (SELECT DISTINCT entity_id, state, signal, cut FROM nv),
-    nh AS (SELECT c.entity_id, c.state, c.signal, c.cut, d.direction, d.late, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS b
-        FROM nc c CROSS JOIN (VALUES ('below', 0), ('above', 1)) d(direction, late) JOIN nv ON nv.entity_id = c.entity_id AND nv.state = c.state AND CASE late WHEN 0 THEN num < c.cut ELSE num > c.cut END GROUP BY ALL),
-    nr AS (SELECT *, p / np AS coverage, (p / np) / (greatest(b, 0.5) / nb) AS lift FROM nh JOIN nt USING (entity_id, state) WHERE np >= 4 AND nb >= 10 AND cuts >= 2),
+    nm AS (SELECT entity_id, state, signal, num AS v, CAST(NULL AS DOUBLE) AS cut, CAST(positive AS INT) AS p, CAST(NOT positive AS INT) AS b FROM nv UNION ALL SELECT entity_id, state, signal, cut, cut, 0, 0 FROM nc),
+    nu AS (SELECT entity_id, state, signal, cut, sum(p) OVER w AS pu, sum(b) OVER w AS bu, sum(p) OVER s AS ps, sum(b) OVER s AS bs FROM nm
+        WINDOW w AS (PARTITION BY entity_id, state, signal ORDER BY v), s AS (PARTITION BY entity_id, state, signal, v)),
+    nh AS (SELECT entity_id, state, signal, cut, 'below' AS direction, 0 AS late, pu - ps AS p, bu - bs AS b FROM nu WHERE cut IS NOT NULL
+        UNION ALL SELECT entity_id, state, signal, cut, 'above', 1, np - pu, nb - bu FROM nu JOIN nt USING (entity_id, state, signal) WHERE cut IS NOT NULL),
+    nr AS (SELECT *, p / np AS coverage, (p / np) / (greatest(b, 0.5) / nb) AS lift FROM nh JOIN nt USING (entity_id, state, signal) WHERE np >= 4 AND nb >= 10 AND cuts >= 2),
     ns AS (SELECT *, coverage * least(lift / 2, 1.0) AS strength FROM nr WHERE coverage >= 0.2 AND lift >= 0.5
-        QUALIFY row_number() OVER (PARTITION BY entity_id, state ORDER BY strength DESC, cut, late) = 1)
+        QUALIFY row_number() OVER (PARTITION BY entity_id, state, signal ORDER BY strength DESC, cut, late) = 1)
 """
 
 
 @query(STUMP + "SELECT entity_id, state, signal, direction, cut, round(coverage, 9) AS coverage, round(lift, 9) AS lift, round(strength, 9) AS strength FROM ns")
 def numeric_stump(spark, sf_dir):
     """Low bars: the driver's events are independent of each other. Tests have a planted case at the bars that are the default."""
-    found = conditional.numeric_stump(_samples(spark, sf_dir, ["sensor.t"]), 0.2, 0.5)
+    found = conditional.numeric_stump(_samples(spark, sf_dir, ["sensor"]), 0.2, 0.5)
     return found.select("entity_id", "state", "signal", "direction", "cut", *[F.round(c, 9).alias(c) for c in ("coverage", "lift", "strength")])
 
 
 @query(STUMP + """, cv AS (SELECT entity_id, state, signal, 'is ' || value AS test, coverage, coverage / baseline AS lift FROM cs),
     al_ AS (SELECT entity_id, state, signal, test, coverage * least(lift / 2, 1.0) AS strength, 1 AS place FROM cv WHERE coverage >= 0.2 AND lift >= 0.5
         UNION ALL SELECT entity_id, state, signal, direction, strength, 0 FROM ns)
-    SELECT entity_id, state, row_number() OVER (PARTITION BY entity_id, state ORDER BY strength DESC, place, signal) AS rank, signal, test, round(strength, 9) AS strength FROM al_""")
+    SELECT entity_id, state, row_number() OVER (PARTITION BY entity_id, state ORDER BY strength DESC, place, signal) AS rank, signal, test, round(strength, 9) AS strength FROM al_ QUALIFY row_number() OVER (PARTITION BY entity_id, state ORDER BY strength DESC, place, signal) <= 2""")
 def condition_candidates(spark, sf_dir):
-    """The strongest signals of each action kind, with the bars of numeric_stump; of a number's test the direction."""
-    samples = _samples(spark, sf_dir, ["sensor.t", "person.p"])
+    """The two strongest of all signals of each action kind, with the bars of numeric_stump; of a number's test the direction."""
+    samples = _samples(spark, sf_dir, ["sensor", "person"])
     kinds = samples.select("signal").distinct().withColumn("numeric", F.col("signal").startswith("sensor."))
     found = conditional.conditions(samples, kinds, kinds.select("signal", F.when(F.col("numeric"), 0).otherwise(1).alias("place")), coverage=0.2, lift=0.5)
     test = F.when(F.col("test").startswith("is "), F.col("test")).otherwise(F.split_part("test", F.lit(" "), F.lit(1)))
@@ -480,24 +482,24 @@ def threshold_crossings(spark, sf_dir):
     return found.groupBy("entity_id", "threshold", "direction").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-SCORES = ACTS + CROSS + """, kd AS (SELECT entity_id || '=' || state AS kind, 'sensor.t' || right(entity_id, 1) AS entity_id, us, row_number() OVER (PARTITION BY entity_id, state ORDER BY us, sid) AS i FROM acts),
-    cl AS (SELECT k.kind, c.entity_id, c.threshold, c.direction, c.free FROM (SELECT DISTINCT kind, entity_id FROM kd) k JOIN (SELECT entity_id, threshold, direction, list(us ORDER BY us) AS free FROM cr WHERE direction IS NOT NULL GROUP BY ALL) c USING (entity_id)),
+SCORES = ACTS + CROSS + """, kd AS (SELECT entity_id || '=' || state AS kind, us, row_number() OVER (PARTITION BY entity_id, state ORDER BY us, sid) AS i FROM acts),
+    cl AS (SELECT k.kind, c.entity_id, c.threshold, c.direction, c.free FROM (SELECT DISTINCT kind FROM kd) k, (SELECT entity_id, threshold, direction, list(us ORDER BY us) AS free FROM cr WHERE direction IS NOT NULL GROUP BY ALL) c),
     ml AS (SELECT kind, entity_id, threshold, direction, free, CAST(0 AS BIGINT) AS i, 0 AS hits FROM cl
         UNION ALL SELECT n.kind, n.entity_id, n.threshold, n.direction, CASE WHEN n.hit IS NULL THEN n.free ELSE list_filter(n.free, lambda x: x <> n.hit) END, n.i, n.hits + CASE WHEN n.hit IS NULL THEN 0 ELSE 1 END
         FROM (SELECT m.kind, m.entity_id, m.threshold, m.direction, m.free, k.i, m.hits, list_min(list_filter(m.free, lambda x: x <= k.us AND k.us - x <= 900000000)) AS hit FROM ml m JOIN kd k ON k.kind = m.kind AND k.i = m.i + 1) n),
-    sc AS (SELECT c.kind, c.entity_id, c.threshold, c.direction, len(c.free) AS crossings, max(m.i) AS actions, max(m.hits) AS hits FROM cl c JOIN ml m USING (kind, entity_id, threshold, direction) GROUP BY ALL)
+    sc AS (SELECT c.kind, c.entity_id, c.threshold, c.direction, len(c.free) AS crossings, max(m.i) AS actions, max(m.hits) AS hits FROM cl c JOIN ml m USING (kind, entity_id, threshold, direction) GROUP BY ALL HAVING max(m.hits) > 0)
 """
 
 
 def _scores(spark, sf_dir):
     points = _points(spark, sf_dir)
-    acts = _actions(spark, sf_dir).select(F.concat_ws("=", "entity_id", "state").alias("kind"), F.concat(F.lit("sensor.t"), F.right("entity_id", F.lit(1))).alias("entity_id"), "us")
+    acts = _actions(spark, sf_dir).select(F.concat_ws("=", "entity_id", "state").alias("kind"), "us")
     return crossings.matched(crossings.crossings(points, crossings.deciles(points)), acts, 900 * SECOND)
 
 
 @query(SCORES + "SELECT kind, entity_id, threshold, direction, crossings, actions, hits FROM sc")
 def crossing_scores(spark, sf_dir):
-    """Every action kind against the crossings of the sensor that bears its number."""
+    """Every action kind against the crossings of every sensor; what never meets has no row."""
     return _scores(spark, sf_dir)
 
 
@@ -880,6 +882,16 @@ def activity_bins(spark, sf_dir):
     return activity.bins(changes(spark, sf_dir), start, end + 1)
 
 
+@query("""SELECT domain, bin, CAST(sum(coalesce(edge, 0)) OVER (PARTITION BY domain ORDER BY bin) AS BIGINT) AS active FROM
+    (SELECT domain, unnest(generate_series(0, (b - a) // 900000000)) AS bin FROM (SELECT DISTINCT CASE domain WHEN 'person' THEN 'presence' ELSE domain END AS domain FROM base WHERE domain <> 'sensor'), (SELECT min(us) AS a, max(us) AS b FROM base)) LEFT JOIN
+    (SELECT CASE domain WHEN 'person' THEN 'presence' ELSE domain END AS domain, greatest((us - a) // 900000000, 0) AS bin, sum(edge) AS edge FROM (SELECT *, ac - coalesce(lag(ac) OVER (PARTITION BY entity_id ORDER BY us, sid), 0) AS edge FROM
+        (SELECT *, CASE WHEN state IN ('off', 'not_home') THEN 0 ELSE 1 END AS ac FROM base)), (SELECT min(us) AS a FROM base) WHERE edge <> 0 AND domain <> 'sensor' GROUP BY ALL) USING (domain, bin)""")
+def activity_buckets(spark, sf_dir):
+    """The same by the buckets that modes are made of."""
+    start, end = _bounds(spark, sf_dir)
+    return activity.bins(activity.bucketed(changes(spark, sf_dir)), start, end + 1)
+
+
 TOKENS = """, tk AS (SELECT sid, us, cause, entity_id || '=' || state AS item FROM ann WHERE old_state IS NOT NULL AND old_state <> state AND num IS NULL)
 """
 
@@ -898,17 +910,15 @@ def token_windows(spark, sf_dir):
 
 @query()
 def home_mode(spark, sf_dir):
-    """Modes of the whole history, up to the bound of home.modes; seeded, checked by planted regimes in tests."""
-    rows = changes(spark, sf_dir)
-    start, end = _bounds(spark, sf_dir)
-    return home.modes(activity.bins(rows, start, end + 1))
+    """Modes of the whole history; seeded, checked by planted regimes in tests."""
+    return home.modes(activity_buckets(spark, sf_dir))
 
 
 @query()
 def home_mode_summary(spark, sf_dir):
     """What each mode of the history is like: its share, hours and busiest domains."""
-    start, end = _bounds(spark, sf_dir)
-    levels = materialise(activity.bins(changes(spark, sf_dir), start, end + 1), "activity-levels")
+    start, _ = _bounds(spark, sf_dir)
+    levels = materialise(activity_buckets(spark, sf_dir), "activity-levels")
     decoded = materialise(home.occupied(home.modes(levels)), "modes")
     return home.summaries(decoded, levels, first_minute=start // MINUTE % 1440)
 

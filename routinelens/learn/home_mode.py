@@ -1,7 +1,13 @@
-"""Household modes: a diagonal Gaussian hidden Markov model of activity bins."""
+"""Household modes: a diagonal Gaussian hidden Markov model of activity bins, its number of modes chosen on bins held out.
+
+Fits are on the last ``MAX_BINS`` bins, a bounded sample, one task for each number of modes. Decoding covers every bin of the history: forward
+filtering is a product of small matrices, one a bin, and products are associative. Chunks of bins are multiplied in parallel, a
+prefix scan over one matrix a chunk gives the state that each chunk starts from, and a second pass filters inside the chunks.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
@@ -10,91 +16,221 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routinelens.functions import circular
+from routinelens.storage import materialise
+
+#: Bins used for training, the last ones of the window: 60 days of 15 minutes. Bins of a chunk.
+MAX_BINS, CHUNK = 5760, 1024
+#: Numbers of modes tried, restarts and rounds of a fit to choose by and of the one kept.
+COUNTS = (2, 3, 4, 5)
+CHOOSE, KEEP = (4, 10), (3, 25)
+#: The share of bins held out, the least bins to hold out any, the least bins a mode, the standard errors that a gain must pass, how far apart in pooled
+#: deviations a mode must be to be new, and the floors of variances.
+HELD_OUT, LEAST_BINS, BINS_EACH, ERRORS, APART = 0.2, 1000, 200, 2.0, 1.0
+FLOOR, FLOOR_SHARE = 1e-3, 0.05
+SEED = 17
+
+
+@dataclass(frozen=True)
+class Model:
+    start: np.ndarray
+    step: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+    like: float = 0.0
+
+    def flat(self) -> list[float]:
+        return np.concatenate([x.ravel() for x in (self.start, self.step, self.mean, self.var, np.array([self.like]))]).tolist()
+
+    @staticmethod
+    def of(flat: list[float], k: int) -> Model:
+        x = np.array(flat)
+        d = (len(x) - 1 - k - k * k) // (2 * k)
+        cut = np.split(x, np.cumsum([k, k * k, k * d, k * d]))
+        return Model(cut[0], cut[1].reshape(k, k), cut[2].reshape(k, d), cut[3].reshape(k, d), float(cut[4][0]))
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities (..., bin, mode) over each bin's largest, and the logarithm of that."""
+    log = -0.5 * ((x[:, None, :] - mean[..., None, :, :]) ** 2 / var[..., None, :, :] + np.log(2 * np.pi * var[..., None, :, :])).sum(axis=-1)
+    top = log.max(axis=-1, keepdims=True)
+    return np.maximum(np.exp(log - top), 1e-200), top[..., 0]
 
-#: Bins used for training, the last ones of the window: 60 days of 15 minutes.
-MAX_BINS = 5760
-FLOOR = 1e-2
-
-
-def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (((x[:, None, :] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(axis=2)
-
-
-def _forward_backward(log_b: np.ndarray, log_a: np.ndarray, log_pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    t, k = log_b.shape
-    alpha, beta = np.empty((t, k)), np.zeros((t, k))
-    alpha[0] = log_pi + log_b[0]
-    for i in range(1, t):
-        alpha[i] = np.logaddexp.reduce(alpha[i - 1][:, None] + log_a, axis=0) + log_b[i]
-    for i in range(t - 2, -1, -1):
-        beta[i] = np.logaddexp.reduce(log_a + log_b[i + 1] + beta[i + 1], axis=1)
-    return alpha, beta, float(np.logaddexp.reduce(alpha[-1]))
-
-
-def fit(x: np.ndarray, k: int, seed: int = 0, restarts: int = 2, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Means, variances, transitions and log-likelihood of the best of the seeded restarts."""
-    best = None
-    for r in range(restarts):
-        rng = np.random.default_rng(seed + r)
-        mean = x[rng.choice(len(x), k, replace=False)] + rng.normal(0, 1e-3, (k, x.shape[1]))
-        var = np.tile(x.var(axis=0) + FLOOR, (k, 1))
-        a = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))
-        pi, like = np.full(k, 1 / k), -np.inf
-        for _ in range(rounds):
-            log_b, log_a = _log_density(x, mean, var), np.log(a + 1e-12)
-            alpha, beta, new = _forward_backward(log_b, log_a, np.log(pi + 1e-12))
-            g = np.exp(alpha + beta - new)
-            xi = np.exp(np.logaddexp.reduce(alpha[:-1, :, None] + log_a + (log_b[1:] + beta[1:])[:, None, :] - new, axis=0))
-            a = xi / xi.sum(axis=1, keepdims=True)
-            pi = g[0] / g[0].sum()
-            weight = g.sum(axis=0)[:, None] + 1e-9
-            mean = g.T @ x / weight
-            var = np.maximum(g.T @ (x**2) / weight - mean**2, FLOOR)
-            if new - like < 1e-4 * abs(new):
-                like = new
-                break
-            like = new
-        if best is None or like > best[3]:
-            best = (mean, var, a, like)
-    return best
 
+def fits(x: np.ndarray, k: int, restarts: int, rounds: int, floor: float, warm: Model | None = None) -> list[Model]:
+    """Models by expectation-maximisation from several starts at once, which are seeded; ``warm`` is one more start."""
+    rng = np.random.default_rng(SEED + k)
+    mean = np.stack([x[rng.choice(len(x), k, replace=False)] + rng.normal(0, 1e-3, (k, x.shape[1])) for _ in range(restarts)])
+    var = np.tile(x.var(axis=0) + floor, (restarts, k, 1))
+    step = np.tile(np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), (restarts, 1, 1))
+    start = np.full((restarts, k), 1 / k)
+    if warm is not None:
+        mean, var, step, start = (np.concatenate([a, b[None]]) for a, b in ((mean, warm.mean), (var, warm.var), (step, warm.step), (start, warm.start)))
+    t, last = len(x), None
+    for _ in range(rounds):
+        b, top = _scaled(x, mean, var)
+        b = np.ascontiguousarray(b.transpose(1, 0, 2))
+        alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:2])
+        now = start * b[0]
+        for i in range(t):
+            if i:
+                now = np.matmul(alpha[i - 1][:, None, :], step)[:, 0] * b[i]
+            scale[i] = now.sum(axis=1)
+            alpha[i] = now / scale[i][:, None]
+        back = np.ascontiguousarray(step.transpose(0, 2, 1))
+        for i in range(t - 2, -1, -1):
+            beta[i] = np.matmul((b[i + 1] * beta[i + 1])[:, None, :], back)[:, 0] / scale[i + 1][:, None]
+        like = np.log(scale).sum(axis=0) + top.sum(axis=1)
+        g = alpha * beta
+        g /= g.sum(axis=2, keepdims=True)
+        step = step * np.einsum("tri,trj->rij", alpha[:-1], b[1:] * beta[1:] / scale[1:, :, None])
+        step = (step + 1e-12) / (step + 1e-12).sum(axis=2, keepdims=True)
+        start = g[0]
+        weight = g.sum(axis=0)[:, :, None] + 1e-9
+        mean = np.einsum("trk,td->rkd", g, x) / weight
+        var = np.maximum(np.einsum("trk,td->rkd", g, x**2) / weight - mean**2, floor)
+        if last is not None and np.all(like - last < 1e-4 * np.abs(like)):
+            break
+        last = like
+    return [Model(*parts, float(v)) for *parts, v in zip(start, step, mean, var, like)]
 
-def filtered(x: np.ndarray, mean: np.ndarray, var: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The likeliest state of each bin given the bins up to it."""
-    log_b, log_a = _log_density(x, mean, var), np.log(a + 1e-12)
-    state = log_b[0] - np.logaddexp.reduce(log_b[0])
-    out = [int(state.argmax())]
-    for row in log_b[1:]:
-        state = np.logaddexp.reduce(state[:, None] + log_a, axis=0) + row
-        state -= np.logaddexp.reduce(state)
-        out.append(int(state.argmax()))
-    return np.array(out)
 
+def stationary(step: np.ndarray) -> np.ndarray:
+    """The long-run share of each mode."""
+    values, vectors = np.linalg.eig(step.T)
+    v = np.clip(np.real(vectors[:, np.abs(values - 1).argmin()]), 0, None)
+    return v / v.sum() if v.sum() > 0 else np.full(len(step), 1 / len(step))
 
-def modes(levels: DataFrame, counts: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """From activity (domain, bin, active) the mode of each bin: (bin, mode), modes in order of their activity.
 
-    The fit is on the last MAX_BINS bins, every bin is decoded; a bin is a quarter of an hour, however many rows it has, so that
-    a task for each number of states holds a few MB a decade. The number with the lower BIC stays.
+def filtered(x: np.ndarray, model: Model, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of each mode of each bin given the bins up to it, and the log-likelihood of each bin given those before. ``start``: chances before the first bin's evidence."""
+    b, top = _scaled(x, model.mean, model.var)
+    out, like, now = np.empty_like(b), np.empty(len(b)), start
+    for i in range(len(b)):
+        now = (now if not i else out[i - 1] @ model.step) * b[i]
+        total = now.sum()
+        like[i], out[i] = np.log(total), now / total
+    return out, like + top
+
+
+def gap(mean_a: np.ndarray, var_a: np.ndarray, mean_b: np.ndarray, var_b: np.ndarray, floor: float) -> float:
+    """How far two modes are apart, in pooled deviations."""
+    return float(np.linalg.norm((mean_a - mean_b) / np.sqrt(np.maximum((var_a + var_b) / 2, floor))))
+
+
+def new_mode(small: Model, large: Model, floor: float) -> bool:
+    """Whether the larger model has a mode unlike all of the smaller one: splitting one mode in two also fits better, as stays are not geometric."""
+    return any(min(gap(m, v, n, w, floor) for n, w in zip(small.mean, small.var)) >= APART for m, v in zip(large.mean, large.var))
+
+
+def chosen(tried: dict[int, tuple[Model, np.ndarray, float]], floor: float) -> int:
+    """The number of modes: from the fewest up, a larger one must add a mode of its own and gain on the best so far.
+
+    ``tried``: model, log-likelihood of each held-out bin (empty: none held out) and BIC. The gain is the mean difference on the same bins, and must be over
+    ``ERRORS`` standard errors; without bins held out, a lower BIC.
     """
+    best, *rest = sorted(tried)
+    for k in rest:
+        (small, before, bic), (large, after, other) = tried[best], tried[k]
+        if len(before) and len(after):
+            d = after - before
+            error = d.std(ddof=1) / np.sqrt(len(d)) if len(d) > 1 else 0.0
+            gains = d.mean() > max(0.0, ERRORS * error)
+        else:
+            gains = other < bic
+        if gains and new_mode(small, large, floor):
+            best = k
+    return best
+
+
+def floor_of(x: np.ndarray) -> float:
+    return float(max(FLOOR, FLOOR_SHARE * x.var(axis=0).mean())) if len(x) else FLOOR
+
+
+def _features(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
+    return np.log1p(np.maximum(pdf[cols].to_numpy(float), 0))
+
+
+def fit(wide: DataFrame, cols: list[str], counts: tuple[int, ...] = COUNTS) -> Model | None:
+    """The model of the last ``MAX_BINS`` bins, or none if there are too few."""
+    spark = wide.sparkSession
+    last = wide.agg(F.max("bin")).first()[0]
+    if last is None:
+        return None
+    seen = materialise(wide.filter(F.col("bin") > last - MAX_BINS), "training-bins")
+    tries = lambda ks: seen.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int")))  # noqa: E731  a fixed handful of rows
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, k = _features(pdf.sort_values("bin"), cols), int(pdf["k"].iloc[0])
+        floor = floor_of(x)
+        cut = int(len(x) * (1 - HELD_OUT)) if len(x) >= LEAST_BINS else len(x)
+        if cut < k * BINS_EACH:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("k", "model", "held", "bic", "floor")})
+        model = max(fits(x[:cut], k, *CHOOSE, floor), key=lambda m: m.like)
+        held = filtered(x[cut:], model, stationary(model.step))[1] if cut < len(x) else np.zeros(0)
+        bic = (k - 1 + k * (k - 1) + 2 * k * x.shape[1]) * np.log(cut) - 2 * model.like
+        return pd.DataFrame({"k": [k], "model": [model.flat()], "held": [held.tolist()], "bic": [bic], "floor": [floor]})
+
+    # a few models and at most a fifth of MAX_BINS numbers each
+    rows = tries(counts).groupBy("k").applyInPandas(choose, "k int, model array<double>, held array<double>, bic double, floor double").collect()
+    if not rows:
+        return None
+    k = chosen({r["k"]: (Model.of(r["model"], r["k"]), np.array(r["held"]), r["bic"]) for r in rows}, rows[0]["floor"])
+    warm = next(r["model"] for r in rows if r["k"] == k)
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _features(pdf.sort_values("bin"), cols)
+        made = fits(x, k, *KEEP, floor_of(x), Model.of(warm, k))
+        used = lambda m: len(set(filtered(x, m, m.start)[0].argmax(axis=1).tolist()))
+        return pd.DataFrame({"model": [max(made, key=lambda m: (used(m), m.like)).flat()]})
+
+    return Model.of(tries([k]).groupBy("k").applyInPandas(keep, "model array<double>").first()["model"], k)
+
+
+def chances(wide: DataFrame, cols: list[str], model: Model, chunk: int = CHUNK) -> DataFrame:
+    """Per bin of the whole history the chance of each mode given the bins up to it: (bin, chances)."""
+    k = len(model.step)
+    keyed = wide.withColumn("chunk", F.floor((F.col("bin") - F.lit(wide.agg(F.min("bin")).first()[0] or 0)) / chunk))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, _ = _scaled(_features(pdf.sort_values("bin"), cols), model.mean, model.var)
+        first = pdf["chunk"].iloc[0] == 0
+        # the first chunk starts from the model, whatever comes in: all rows are its own
+        now = np.tile(model.start * b[0], (k, 1)) if first else model.step * b[0]
+        for row in b[1:]:
+            now = (now / now.max()) @ model.step * row
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "product": [(now / now.max()).ravel().tolist()]})
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, starts = pdf.sort_values("chunk"), np.full(k, 1 / k), []
+        for p in pdf["product"]:
+            starts.append(now.tolist())
+            now = now @ np.array(p).reshape(k, k)
+            now = now / now.sum()
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "start": starts})
+
+    def inside(key: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("bin")
+        start = model.start if key[0] == 0 else np.array(before["start"].iloc[0]) @ model.step
+        p, _ = filtered(_features(own, cols), model, start)
+        return pd.DataFrame({"bin": own["bin"].to_numpy(), "chances": list(p)})
+
+    products = keyed.groupBy("chunk").applyInPandas(product, "chunk long, product array<double>")
+    # one small matrix for each chunk of ten days and more
+    starts = products.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(scan, "chunk long, start array<double>").select(F.col("chunk").alias("at"), "start")
+    return keyed.groupBy("chunk").cogroup(starts.groupBy("at")).applyInPandas(inside, "bin long, chances array<double>")
+
+
+def modes(levels: DataFrame, counts: tuple[int, ...] = COUNTS) -> DataFrame:
+    """From activity (domain, bin, active) the mode of each bin: (bin, mode), modes in order of their activity; no rows if there are too few bins to fit."""
     wide = levels.groupBy("bin").pivot("domain").agg(F.first("active")).na.fill(0)
     cols = [c for c in wide.columns if c != "bin"]
-    tries = wide.crossJoin(wide.sparkSession.createDataFrame([(k,) for k in counts], "k int"))  # a fixed handful of rows
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        x, k = np.log1p(np.maximum(pdf[cols].to_numpy(float), 0)), int(pdf["k"].iloc[0])
-        if len(x) < 4 * k:
-            return pd.DataFrame({"k": [], "bin": [], "mode": [], "bic": []})
-        seen = x[-MAX_BINS:]
-        mean, var, a, like = fit(seen, k)
-        rank = np.argsort(np.argsort(mean.sum(axis=1)))
-        bic = (k * 2 * x.shape[1] + k * (k - 1)) * np.log(len(seen)) - 2 * like
-        return pd.DataFrame({"k": k, "bin": pdf["bin"].to_numpy(), "mode": rank[filtered(x, mean, var, a)], "bic": bic})
-
-    decoded = tries.groupBy("k").applyInPandas(run, "k int, bin long, mode int, bic double")
-    best = decoded.groupBy("k").agg(F.min("bic").alias("bic")).agg(F.min_by("k", "bic").alias("k"))
-    return decoded.join(best, "k").select("bin", "mode")
+    wide = materialise(wide, "bins")
+    model = fit(wide, cols, counts)
+    if model is None:
+        return wide.filter("false").select("bin", F.lit(0).alias("mode"))
+    rank = F.array(*[F.lit(int(r)) for r in np.argsort(np.argsort(model.mean.sum(axis=1)))])
+    best = F.array_position("chances", F.array_max("chances")) - 1
+    return chances(wide, cols, model).select("bin", F.get(rank, best.cast("int")).alias("mode"))
 
 
 def occupied(decoded: DataFrame) -> DataFrame:

@@ -14,6 +14,23 @@ BIN = 15 * MINUTE
 INACTIVE = ("off", "not_home", "away", "closed", "locked", "docked", "idle", "paused", "standby", "none", "unknown", "unavailable", "")
 
 
+#: The buckets of what can be acted on, and of who is there.
+BUCKETS = {
+    "light": ("light",),
+    "switch": ("switch", "input_boolean"),
+    "media_player": ("media_player",),
+    "climate": ("climate", "water_heater"),
+    "other_actionable": ("cover", "lock", "fan", "humidifier", "input_number", "input_select", "select", "number", "siren", "valve", "lawn_mower", "scene", "script", "vacuum"),
+    "presence": ("person", "device_tracker"),
+}
+
+
+def bucketed(changes: DataFrame) -> DataFrame:
+    """The changes whose domain has a bucket, under its name; readings of sensors have none."""
+    bucket = F.coalesce(*[F.when(F.col("domain").isin(*domains), name) for name, domains in BUCKETS.items()])
+    return changes.withColumn("domain", bucket).filter("domain is not null")
+
+
 def bins(changes: DataFrame, start_us: int, end_us: int, width_us: int = BIN) -> DataFrame:
     """Active entities per domain at the close of each bin of the window; earlier rows count into the first bin.
 

@@ -12,15 +12,15 @@ COVERAGE, LIFT = 0.75, 1.4
 MIN_POSITIVE, MIN_BACKGROUND = 4, 10
 
 
-def background(actions: DataFrame, start_us: int, end_us: int) -> DataFrame:
+def background(actions: DataFrame, start_us: int, end_us: int, grain_us: int = 1) -> DataFrame:
     """Per action kind (entity_id, state) the times of day of its actions on days without one.
 
     Days are left out by their number since the window's start, but generated from UTC midnight of its first day; the two
-    differ unless the window starts at midnight. Times are within [start, end). Both sides of the join are small per
-    kind: distinct times and days.
+    differ unless the window starts at midnight. Times are within [start, end). Times of day are told apart by ``grain_us``: exact
+    ones make rows with the square of the history, minutes at most 1440 a free day.
     """
     key = ["entity_id", "state"]
-    times = actions.select(*key, F.pmod("us", F.lit(DAY)).alias("tod")).distinct()
+    times = actions.select(*key, (F.floor(F.pmod("us", F.lit(DAY)) / grain_us) * grain_us).alias("tod")).distinct()
     busy = actions.select(*key, F.floor((F.col("us") - start_us) / DAY).alias("n")).distinct()
     count = (end_us - start_us) // DAY + 1
     free = actions.select(*key).distinct().withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(busy, [*key, "n"], "left_anti")

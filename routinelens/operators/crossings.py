@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routinelens.model import DAY, HOUR
+from routinelens.storage import materialise
 
 
 def deciles(points: DataFrame) -> DataFrame:
@@ -26,16 +27,25 @@ def crossings(points: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def matched(found: DataFrame, actions: DataFrame, lead_us: int) -> DataFrame:
-    """Per kind of action (column kind, if there), entity, threshold and direction: crossings, actions and greedy matches.
+    """Per kind of action (column kind, if there), entity, threshold and direction that meet at all: crossings, actions and greedy matches.
 
-    Actions in time order each take the earliest unused crossing at most ``lead_us`` before. Events further apart than
-    that do not interact, so the fold runs over islands of the common timeline, not over whole histories.
+    Actions in time order each take the earliest unused crossing at most ``lead_us`` before. Every kind meets every signal, or where actions have an
+    entity_id only that one: crossings and actions are brought together by time, so neither is repeated for what is not near it, and only those
+    that have a partner are folded, in islands of the common timeline that cannot interact.
     """
     key = ["kind", "entity_id", "threshold", "direction"]
     acts = actions if "kind" in actions.columns else actions.withColumn("kind", F.lit(""))
-    tried = acts.select("kind", "entity_id").distinct().join(found.select("entity_id", "threshold", "direction").distinct(), "entity_id")
-    each = acts.select("kind", "entity_id").distinct().join(found, "entity_id").select(*key, "us", F.lit(0).alias("side"))
-    both = each.unionByName(tried.join(acts.select("kind", "entity_id", "us"), ["kind", "entity_id"]).select(*key, "us", F.lit(1).alias("side")))
+    on = ["slot"] + (["entity_id"] if "entity_id" in acts.columns else [])
+    slot = F.floor(F.col("us") / lead_us)
+    early = found.select("entity_id", "threshold", "direction", F.col("us").alias("c_us"), F.explode(F.array(slot, slot + 1)).alias("slot"))
+    late = acts.select(*on[1:], "kind", F.col("us").alias("a_us"), slot.alias("slot"))
+    near = materialise(late.join(early, on).filter(F.col("a_us").between(F.col("c_us"), F.col("c_us") + lead_us)).select(*key, "c_us", "a_us").distinct(), "near-crossings")
+    # equal times of one kind, or of one threshold, count each
+    c_times = found.groupBy("entity_id", "threshold", "direction", F.col("us").alias("c_us")).agg(F.count(F.lit(1)).alias("n"))
+    a_times = acts.groupBy("kind", *on[1:], F.col("us").alias("a_us")).agg(F.count(F.lit(1)).alias("n"))
+    crossed = near.select(*key, "c_us").distinct().join(c_times, ["entity_id", "threshold", "direction", "c_us"]).select(*key, F.col("c_us").alias("us"), F.lit(0).alias("side"), "n")
+    acted = near.select(*key, "a_us").distinct().join(a_times, ["kind", *on[1:], "a_us"]).select(*key, F.col("a_us").alias("us"), F.lit(1).alias("side"), "n")
+    both = crossed.unionByName(acted).select(*key, "us", "side", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_")).drop("_")
     by = W.partitionBy(*key).orderBy("us", "side")
     marked = both.withColumn("gap", F.when(F.col("us") - F.lag("us").over(by) <= lead_us, 0).otherwise(1)).withColumn("island", F.sum("gap").over(by.rowsBetween(W.unboundedPreceding, 0)))
     groups = marked.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("us")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("us")))).alias("a"))
@@ -47,8 +57,10 @@ def matched(found: DataFrame, actions: DataFrame, lead_us: int) -> DataFrame:
         rest = F.concat(F.slice(state["free"], F.lit(1), i - 1), F.slice(state["free"], i + 1, F.size(state["free"])))
         return F.when(hit.isNull(), state).otherwise(F.struct(rest.alias("free"), (state["hits"] + 1).alias("hits")))
 
-    folded = groups.select(*key, F.size("c").alias("crossings"), F.size("a").alias("actions"), F.aggregate("a", start, take)["hits"].alias("hits"))
-    return folded.groupBy(*key).agg(*[F.sum(c).cast("long").alias(c) for c in ("crossings", "actions", "hits")])
+    hits = groups.select(*key, F.aggregate("a", start, take)["hits"].alias("hits")).groupBy(*key).agg(F.sum("hits").cast("long").alias("hits"))
+    all_c = found.groupBy("entity_id", "threshold", "direction").agg(F.count(F.lit(1)).alias("crossings"))
+    all_a = acts.groupBy("kind", *on[1:]).agg(F.count(F.lit(1)).alias("actions"))
+    return hits.join(all_c, ["entity_id", "threshold", "direction"]).join(all_a, ["kind", *on[1:]]).select(*key, "crossings", "actions", "hits")
 
 
 def hourly_profile(points: DataFrame, offset_us: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routinelens.model import HOUR, NO_READING
-from routinelens.operators.asof import asof
+from routinelens.operators.asof import asof, asof_all
 
 
 def number(state: Column) -> Column:
@@ -33,6 +33,11 @@ def value_at(probes: DataFrame, points: DataFrame, staleness_us: int | None = No
     return asof(probes, points, ["entity_id"], "us", "sid", ["num", "str"], width=width, staleness=staleness_us)
 
 
+def values_at(moments: DataFrame, points: DataFrame, names: list[str], staleness_us: int | None = None, width: int | None = None) -> DataFrame:
+    """``moments`` (us, ...) with each named signal's num and str then: one row a moment and signal (column signal), read in one pass."""
+    return asof_all(moments, points.withColumnRenamed("entity_id", "signal"), "signal", names, "us", "sid", ["num", "str"], width=width, staleness=staleness_us)
+
+
 def catalogue(points: DataFrame) -> DataFrame:
     """Per entity: points, whether all are numbers, range, and the number of distinct states."""
     return points.groupBy("entity_id").agg(

@@ -12,6 +12,7 @@ from routinelens.model import DAY, HOUR, MINUTE, PRELUDE, SECOND
 from routinelens.functions import circular
 from routinelens.learn import home_mode as home
 from routinelens.learn import ranking
+from routinelens.learn import sequence as recurrent
 from routinelens.operators import activity, association, causality, conditional, conditions, conflicts, crossings, dimensions, habits, health, motifs as motif, replay, sequences, signals, store
 from routinelens.sources import automations
 from routinelens.storage import materialise
@@ -908,6 +909,34 @@ def token_windows(spark, sf_dir):
     return activity.windows(activity.usable(annotated(spark, sf_dir))).select("sid", F.array_join("before", ",").alias("before"), "gap")
 
 
+def _services(spark, sf_dir):
+    """The items (entity=state) of the events that a service can bring about."""
+    known = dimensions.service_for(changes(spark, sf_dir).select("entity_id", "domain", "state").distinct()).filter("service is not null")
+    return known.select(F.concat_ws("=", "entity_id", F.lower("state")).alias("item"), "service").distinct()
+
+
+@query(""", ev AS (SELECT sid, us, cause, entity_id || '=' || lower(state) AS item FROM ann WHERE old_state IS NOT NULL AND old_state <> state AND domain IN ('light', 'media_player', 'switch') AND cause <> 'unknown'),
+    vo AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) + 1 AS n FROM ev GROUP BY item QUALIFY n <= 49),
+    sl AS (SELECT sid, us, cause, vo.n, coalesce(vo.n, 1) AS num, us - lag(us) OVER (ORDER BY us, sid) AS g FROM ev LEFT JOIN vo USING (item)),
+    tm AS (SELECT *, CASE WHEN g IS NULL THEN 8 WHEN g < 60000000 THEN 0 WHEN g < 300000000 THEN 1 WHEN g < 900000000 THEN 2 WHEN g < 3600000000 THEN 3 WHEN g < 14400000000 THEN 4 WHEN g < 43200000000 THEN 5 WHEN g < 86400000000 THEN 6 ELSE 7 END AS tb FROM sl),
+    ls AS (SELECT sid, cause, n, list(num) OVER w AS a, list(tb) OVER w AS b FROM tm WINDOW w AS (ORDER BY us, sid ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+    SELECT sid, n - 2 AS label, array_to_string(list_concat(list_transform(range(6 - len(a)), lambda x: 0), a), ',') AS items, array_to_string(list_concat(list_transform(range(6 - len(b)), lambda x: 9), b), ',') AS times
+    FROM ls WHERE cause = 'human' AND n IS NOT NULL AND len(a) > 0""")
+def sequence_examples(spark, sf_dir):
+    """What people did, in numbers, with the six events before it and the times between them."""
+    rows = recurrent.events(annotated(spark, sf_dir))
+    told = recurrent.examples(rows, recurrent.vocabulary(rows), _services(spark, sf_dir))
+    return told.select("sid", "label", F.array_join(F.col("context.item").cast("array<string>"), ",").alias("items"), F.array_join(F.col("context.time").cast("array<string>"), ",").alias("times"))
+
+
+@query()
+def sequence_rules(spark, sf_dir):
+    """Rules of the recurrent model at low bars and few steps, as the driver's events are independent of each other; tests have a planted one at the default bars."""
+    found = recurrent.mine(annotated(spark, sf_dir), _services(spark, sf_dir), steps=12, occurrences=2, confidence=0.1, probability=0.03)
+    name = lambda c: F.concat_ws("=", F.col(f"{c}.entity_id"), F.col(f"{c}.state"))
+    return found.select(name("trigger").alias("trigger"), F.array_join(F.transform("conditions", lambda c: F.concat_ws("=", c["entity_id"], c["state"])), ",").alias("conditions"), F.concat_ws("=", "entity_id", "state").alias("action"), "occurrences", "opportunities", F.round("confidence", 9).alias("confidence"), F.round("model_confidence", 3).alias("model_confidence"))
+
+
 @query()
 def home_mode(spark, sf_dir):
     """Modes of the whole history; seeded, checked by planted regimes in tests."""

@@ -10,19 +10,21 @@ Two texts are merged only where SHA-256, XXH64 and the length in bytes agree.
 
 Defined results: a null text is the empty text; texts of nothing but white space are all equal. Of equal texts
 the one with the most code points stays, then the smallest id (a null id comes last), then, for repeated
-rows, the one that was read first. Columns other than the id and the text are not read. No rows give no rows.
+rows, the one that was read first. Texts of any length are hashed whole in the row that holds them. Columns other than the id and the text are not read by
+exact_dedup(), so their names do not matter, and drop_exact_copies() packs them away while it works. No rows give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routinelens.storage import materialise
 
 #: Runs merged into one in a round.
 FAN = 8
+#: At most so many places of copies are sent to all tasks.
+SENT = 4_000_000
 KEY = ("digest", "check", "n_bytes")
 
 
@@ -78,18 +80,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    found = materialise(exact_dedup(docs, id_col, text_col), "exact-dedup")
-    stays = found.filter("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_text"))
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"),
-        F.sha2(normalised(F.col(text_col)), 256).alias("sha"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"),
-    )
-    kept = held.join(stays, held["id"].eqNullSafe(stays["stay_id"]) & (held["sha"] == stays["stay_text"]), "left_semi")
-    again = found.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    if not again.isEmpty():  # rows of one id whose texts are equal: only the longest stays
-        first = F.row_number().over(W.partitionBy("id", "sha").orderBy(F.desc("chars")))
-        kept = kept.withColumn("first", first).filter("first = 1")
-    return kept.select("row.*")
+    """The documents that stay, with all their columns. Rows are told by a place of their own, so equal ids and texts do not matter.
+
+    Texts are not shuffled while the places that go are few enough to be sent to all tasks; beyond that they are, once.
+    """
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    held = materialise(docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), packed), "held-documents")
+    runs = materialise(held.select("id", "place", F.spark_partition_id().alias("run"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), *key_columns(F.col("text"))), "digest-runs")
+    gone = materialise(runs.join(tree_merge(runs), list(KEY)).filter("place <> keep_place").select("place"), "exact-copies")
+    gone = F.broadcast(gone) if gone.count() <= SENT else gone
+    return held.join(gone, "place", "left_anti").select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

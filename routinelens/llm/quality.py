@@ -8,7 +8,8 @@ covers leave before the next rule grows. The list becomes one ordered Spark cond
 Defined results: a null text has no words. A text under ``MIN_WORDS`` words, or with over ``MAX_REPEAT`` per
 cent of its words in repeated windows, fails whatever was learned. Without labels nothing else fails. Labels
 without a document and null labels are not used; of repeated labels of one id the worst counts. Repeated rows
-are judged each for itself.
+are judged each for itself; equal gains go to the first measure and the smallest threshold. Texts are measured whole in the row that holds them,
+however long. Measures are one column with a name that the documents do not have, so clashing names do no harm. No documents give no rows.
 """
 
 from __future__ import annotations

@@ -374,7 +374,7 @@ def session_sequences(spark, sf_dir):
     SELECT i1 || '>' || i2 AS pattern, 2 AS length, support FROM p2 UNION ALL SELECT i1 || '>' || i2 || '>' || i3, 3, support FROM p3
     UNION ALL SELECT a.item || '>' || b.item || '>' || c.item || '>' || d.item, 4, count(*) FROM pl a JOIN pl b ON a.seq_id = b.seq_id AND a.pos < b.pos JOIN pl c ON c.seq_id = b.seq_id AND b.pos < c.pos JOIN pl d ON d.seq_id = c.seq_id AND c.pos < d.pos GROUP BY ALL HAVING count(*) >= 4""")
 def sequence_patterns(spark, sf_dir):
-    return sequences.patterns(sequences.session_sequences(_sessions(spark, sf_dir)), 4)
+    return sequences.patterns(sequences.session_sequences(_sessions(spark, sf_dir)), 4).drop("items")
 
 
 # --- conditions ------------------------------------------------------------------------------------------------------

@@ -65,7 +65,7 @@ def context_sequences(rows: DataFrame) -> DataFrame:
 
 
 def patterns(sequences: DataFrame, min_support: int) -> DataFrame:
-    """Ordered patterns of two to four items (joined by >) and in how many sequences they are found.
+    """Ordered patterns of two to four items, their text (joined by >) and in how many sequences they are found.
 
     As items are distinct in a sequence, a pattern is found at most once in each. Pairs are counted first; longer ones grow
     only from frequent ones by a frequent pair.
@@ -76,13 +76,13 @@ def patterns(sequences: DataFrame, min_support: int) -> DataFrame:
     two = a.join(b, "seq_id").filter("p1 < p2")
     often = two.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
     kept = materialise(two.join(often.select("i1", "i2"), ["i1", "i2"], "left_semi"), "frequent-pairs")
-    found = [often.select(F.concat_ws(">", "i1", "i2").alias("pattern"), F.lit(2).alias("length"), "support")]
+    found = [often.select(F.concat_ws(">", "i1", "i2").alias("pattern"), F.lit(2).alias("length"), "support", F.array("i1", "i2").alias("items"))]
     grown = kept.select("seq_id", F.array("i1", "i2").alias("items"), F.col("p2").alias("at"))
     pair = kept.select("seq_id", F.col("p1").alias("at"), F.col("p2").alias("next"), F.col("i2").alias("item"))
     for length in range(3, MAX_LENGTH + 1):
         longer = grown.join(pair, ["seq_id", "at"]).select("seq_id", F.concat("items", F.array("item")).alias("items"), F.col("next").alias("at"))
         counted = longer.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
-        found.append(counted.select(F.array_join("items", ">").alias("pattern"), F.lit(length).alias("length"), "support"))
+        found.append(counted.select(F.array_join("items", ">").alias("pattern"), F.lit(length).alias("length"), "support", "items"))
         grown = longer.join(counted.select("items"), "items", "left_semi")
     out = found[0]
     for more in found[1:]:
@@ -98,7 +98,7 @@ def all_sequences(rows: DataFrame, gap_us: int) -> DataFrame:
 
 def _within(short: str, long: str):
     """Whether the items of ``short`` stand in ``long`` in their order; items of a pattern are distinct."""
-    place = F.transform(F.split(short, ">"), lambda x: F.array_position(F.split(F.col(long), ">"), x))
+    place = F.transform(short, lambda x: F.array_position(F.col(long), x))
     return F.forall(place, lambda p: p > 0) & (F.array_sort(place) == place)
 
 
@@ -108,9 +108,9 @@ def prune(found: DataFrame, slack: float = 1.1) -> DataFrame:
     for length in range(MAX_LENGTH - 1, 1, -1):
         here = found.filter(F.col("length") == length)
         # a longer pattern holds the first item of a shorter one, so the join is on items
-        longer = kept.select(F.col("pattern").alias("long"), F.col("support").alias("long_support"), F.explode(F.split("pattern", ">")).alias("first"))
-        hidden = here.withColumn("first", F.split_part("pattern", F.lit(">"), F.lit(1))).join(longer, "first").filter((F.col("support") <= F.col("long_support") * slack) & _within("pattern", "long"))
-        kept = materialise(kept.unionByName(here.join(hidden.select("pattern").distinct(), "pattern", "left_anti").select(*kept.columns)), "kept-patterns")
+        longer = kept.select(F.col("items").alias("long"), F.col("support").alias("long_support"), F.explode("items").alias("first"))
+        hidden = here.withColumn("first", F.col("items")[0]).join(longer, "first").filter((F.col("support") <= F.col("long_support") * slack) & _within("items", "long"))
+        kept = materialise(kept.unionByName(here.join(hidden.select("items").distinct(), "items", "left_anti").select(*kept.columns)), "kept-patterns")
     return kept
 
 
@@ -120,8 +120,8 @@ def candidates(kept: DataFrame, sequences: DataFrame, human_items: DataFrame, ac
     At least two actions; confidence is support among the sequences that hold the trigger. human_items (item, n), services (item, service).
     """
     holds = sequences.select(F.explode("items").alias("trigger")).groupBy("trigger").agg(F.count(F.lit(1)).alias("opportunities"))
-    steps = kept.select("pattern", "support", F.split_part("pattern", F.lit(">"), F.lit(1)).alias("trigger"), F.posexplode(F.split("pattern", ">")).alias("pos", "item")).filter("pos > 0")
+    steps = kept.select("pattern", "support", F.col("items")[0].alias("trigger"), F.posexplode("items").alias("pos", "item")).filter("pos > 0")
     usable_steps = steps.filter(F.split_part("item", F.lit("."), F.lit(1)).isin(*actionable)).join(human_items.filter("n >= 2").select("item"), "item").join(services, "item")
     rules = usable_steps.groupBy("pattern", "support", "trigger").agg(F.sort_array(F.collect_list(F.struct("pos", "item", "service"))).alias("actions")).filter(F.size("actions") >= 2)
     rated = rules.join(holds, "trigger").withColumn("confidence", F.col("support") / F.col("opportunities"))
-    return rated.select("pattern", "trigger", F.array_join("actions.item", ">").alias("actions"), "support", "opportunities", "confidence", (F.col("confidence") * F.least(F.col("support") / 10.0, F.lit(1.0))).alias("score"))
+    return rated.select("pattern", "trigger", F.array_join("actions.item", ">").alias("actions"), F.col("actions.item").alias("steps"), "support", "opportunities", "confidence", (F.col("confidence") * F.least(F.col("support") / 10.0, F.lit(1.0))).alias("score"))

@@ -85,7 +85,7 @@ def mined(rows: DataFrame, start_us: int, end_us: int, options: Options) -> Data
         every = materialise(sequences.all_sequences(sequences.usable(rows), options.gap_us), "sequences")
         human = acts.groupBy(F.concat_ws("=", "entity_id", "state").alias("item")).agg(F.count(F.lit(1)).alias("n"))
         routines = sequences.candidates(sequences.prune(sequences.patterns(every, options.min_support)), every, human, list(ACTIONABLE), services)
-        steps = routines.select("trigger", "support", "confidence", "score", F.explode(F.split("actions", ">")).alias("step")).groupBy("trigger", "step").agg(F.max(F.struct("score", "confidence", "support")).alias("b"))
+        steps = routines.select("trigger", "support", "confidence", "score", F.explode("steps").alias("step")).groupBy("trigger", "step").agg(F.max(F.struct("score", "confidence", "support")).alias("b"))
         made.append(_rules(steps, "sequence", kind=F.lit("state"), entity_id=_item("trigger", 1), to_state=_item("trigger", 2), target_entity=_item("step", 1), target_state=_item("step", 2), score=F.col("b.score"), confidence=F.col("b.confidence"), occurrences=F.col("b.support")))
     if "association" in options.miners:
         items = rows.filter(is_transition()).select("sid", "us", F.concat_ws("=", "entity_id", F.lower("state")).alias("item"), "cause")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routinelens.functions import circular
-from routinelens.operators import conflicts, health
+from routinelens.operators import conflicts, health, sequences
 from routinelens.plans import rules, validators
 
 RULE = "rule_id string, enabled boolean, trigger_entity string, trigger_minute int, target_entity string, target_state string"
@@ -93,6 +93,18 @@ def test_invented_numbers():
     assert rules.invented_numbers("12,345 rows", known) == ["12345"]
 
 
+def test_items_may_hold_the_sign_that_joins_patterns(spark):
+    odd = ["sensor.a=x>y", "light.b=on", "light.c=>"]
+    rows = spark.createDataFrame([(k, odd if k < 4 else odd[:2]) for k in range(6)], "seq_id long, items array<string>")
+    found = sequences.patterns(rows, 3)
+    kept = sorted((tuple(r["items"]), r["support"]) for r in sequences.prune(found).collect())
+    assert kept == [(tuple(odd[:2]), 6), (tuple(odd), 4)]  # the others are no more frequent than the whole
+    human = spark.createDataFrame([(odd[1], 9), (odd[2], 9)], "item string, n long")
+    services = spark.createDataFrame([(odd[1], "light.turn_on"), (odd[2], "light.odd")], "item string, service string")
+    made = sequences.candidates(sequences.prune(found), rows, human, ["light"], services).collect()
+    assert [(r["trigger"], r["steps"], r["support"], r["opportunities"]) for r in made] == [(odd[0], odd[1:], 4, 6)]
+
+
 @pytest.mark.parametrize("window", [None, "day"])
 def test_unused_entities_of_a_registry(spark, window):
     entities = spark.createDataFrame([("light.a", "light", False, False, None), ("light.b", "light", None, None, None), ("light.c", "light", True, False, None), ("light.d", "light", False, True, None), ("switch.e", "switch", False, False, "config"), ("scene.f", "scene", False, False, None), ("sensor.g", "sensor", False, False, None), ("switch.h", "switch", False, False, None)], "entity_id string, domain string, hidden boolean, disabled boolean, category string")

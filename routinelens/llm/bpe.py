@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of chunks and words, with their ids and tokens, kept between batches; a full cache is emptied, which costs time but changes
-#: nothing. A longer chunk or word (in characters) is never kept.
+#: Bytes of chunks and words, with their ids and tokens, kept between batches. Half of it is for new ones; when that is full it becomes the old half, and what the
+#: old half had and was not met since goes, which costs time but changes nothing. A longer chunk or word (in characters) is never kept.
 CACHE_BYTES, CACHE_LENGTH = 64 << 20, 100
 #: Bytes that an entry takes beside its characters, about.
 _ENTRY = 300
@@ -72,6 +72,8 @@ class PairIndex:
         self.library = None
         self.known: dict[str, tuple[str, str]] = {}
         self.seen: dict[str, tuple[str, str] | None] = {}
+        self.old_known: dict[str, tuple[str, str]] = {}
+        self.old_seen: dict[str, tuple[str, str] | None] = {}
         self.held = 0
 
     def library_words(self, text: str) -> list[str]:
@@ -201,16 +203,13 @@ class PairIndex:
         fresh: set[str] = set()
         for chunks in cut:
             fresh.update(chunks)
-        missing = fresh.difference(self.seen)
-        if self.held > CACHE_BYTES:
-            self.seen.clear()
-            self.known.clear()
-            self.held = 0
-            missing = fresh
+        if self.held > CACHE_BYTES // 2:
+            self.old_seen, self.old_known, self.seen, self.known, self.held = self.seen, self.known, {}, {}, 0
+        missing = self._promote(fresh.difference(self.seen), self.seen, self.old_seen)
         words_missing: set[str] = set()
         if missing:
             parts = {c: self.words_of(c) for c in missing}
-            words_missing = {w for words in parts.values() for w in words}.difference(self.known)
+            words_missing = self._promote({w for words in parts.values() for w in words}.difference(self.known), self.known, self.old_known)
             self.learn(words_missing)
             known = self.known
             for c, words in parts.items():
@@ -228,6 +227,14 @@ class PairIndex:
         self._trim(self.seen, missing)
         self._trim(self.known, words_missing)
 
+    def _promote(self, wanted: set[str], cache: dict[str, tuple[str, str] | None], old: dict[str, tuple[str, str] | None]) -> set[str]:
+        """Bring what the old half has into the new one; the rest of what is wanted."""
+        there = wanted & old.keys()
+        for c in there:
+            cache[c] = old.pop(c)
+        self._trim(cache, there)
+        return wanted - there
+
     def _trim(self, cache: dict[str, tuple[str, str] | None], new: set[str]) -> None:
         """Count what new entries hold, and let go of the long ones."""
         for c in new:

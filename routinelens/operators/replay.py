@@ -6,17 +6,25 @@ joins to history are equi-joins on the entity and left to the planner to broadca
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routinelens.model import DAY, HOUR, MINUTE, RISKY, SECOND, SECURITY
 from routinelens.operators.signals import value_at
+from routinelens.storage import materialise
 
 BURST = 60 * SECOND
 EVENT_TOLERANCE = 300 * SECOND
+#: Windows of a collapse that make a chunk of time.
+CHUNK = 256
+FOUND = pa.schema([("rule_id", pa.string()), ("us", pa.int64()), ("sid", pa.int64())])
 
 
 def time_fires(rules: DataFrame, start_us: int, end_us: int) -> DataFrame:
@@ -65,24 +73,59 @@ def time_condition(after: int | None, before: int | None, weekdays: list[int] |
     return ok & (minute <= before) if before is not None else ok
 
 
-def collapse(fires: DataFrame, window_us: int = BURST) -> DataFrame:
-    """Keep a fire if it is more than the window after the last kept one.
+def _last_kept(us: np.ndarray, window_us: int) -> np.ndarray:
+    """For each of the sorted times the last one kept if it is kept itself."""
+    after = np.searchsorted(us, us + window_us, side="right")
+    last = us.copy()
+    for i in range(len(us) - 1, -1, -1):
+        if after[i] < len(us):
+            last[i] = last[after[i]]
+    return last
 
-    A gap over the window always keeps, so each island of closer fires is folded on its own; the rule's history is
-    never one array.
-    """
-    by = W.partitionBy("rule_id").orderBy("us")
-    marked = fires.withColumn("new", F.when(F.col("us") - F.lag("us").over(by) <= window_us, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    groups = marked.groupBy("rule_id", "island").agg(F.array_sort(F.collect_list(F.struct("us", "kind"))).alias("f"))
-    empty = F.array().cast("array<struct<us:bigint,kind:string>>")
 
-    def fold(kept, f):
-        last = F.try_element_at(kept, F.lit(-1))
-        tighter = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(F.struct(last["us"].alias("us"), f["kind"].alias("kind"))))
-        near = F.size(kept) > 0
-        return F.when(near & (f["us"] - last["us"] <= window_us), F.when((last["kind"] == "time") & (f["kind"] != "time"), tighter).otherwise(kept)).otherwise(F.concat(kept, F.array(f)))
+def collapse(fires: DataFrame, window_us: int = BURST) -> DataFrame:
+    """Keep a fire if it is more than the window after the last kept one; of a burst the first kind that is not a clock's is told.
 
-    return groups.select("rule_id", F.explode(F.aggregate("f", empty, fold)).alias("k")).select("rule_id", "k.us", "k.kind")
+    Chunks of time are folded on their own, whatever their density: each tells, for the times of its first window, which fire it keeps last if it
+    begins there; a scan over these steps, a few a chunk, tells what each chunk comes after, and a second pass keeps. ``fires`` is read twice.
+    """
+    wide = CHUNK * window_us
+    dealt = fires.select("rule_id", "us", "kind", F.floor(F.col("us") / wide).alias("chunk"))
+    at = pa.int64()
+
+    def steps(key, rows):
+        us = np.unique(rows["us"].to_numpy())
+        some = us[: np.searchsorted(us, key[1].as_py() * wide + window_us) + 1]  # the first kept one is among these
+        last = _last_kept(us, window_us)[: len(some)]
+        ends = np.append(np.flatnonzero(last[1:] != last[:-1]), len(some) - 1)
+        return pa.table({"rule_id": pa.array([key[0].as_py()] * len(ends), pa.string()), "chunk": pa.array([key[1].as_py()] * len(ends), at), "upto": pa.array(some[ends], at), "last": pa.array(last[ends], at)})
+
+    def scan(key, rows):
+        chunks: dict[int, list] = {}
+        for chunk, upto, last in sorted(zip(rows["chunk"].to_pylist(), rows["upto"].to_pylist(), rows["last"].to_pylist())):
+            chunks.setdefault(chunk, []).append((upto, last))
+        before, last = [], None
+        for ends in chunks.values():
+            before.append(last)
+            last = next((kept for upto, kept in ends if last is None or upto > last + window_us), last)
+        return pa.table({"rule_id": pa.array([key[0].as_py()] * len(before), pa.string()), "chunk": pa.array(list(chunks), at), "before": pa.array(before, at)})
+
+    def keep(key, rows):
+        rows = rows.sort_by("us")
+        us, before = rows["us"].to_numpy(), rows["before"][0].as_py()
+        after = np.searchsorted(us, us + window_us, side="right")
+        of, i = np.empty(len(us), np.int64), 0 if before is None else int(np.searchsorted(us, before + window_us, side="right"))
+        of[:i] = before or 0
+        while i < len(us):
+            of[i : after[i]] = us[i]
+            i = after[i]
+        return pa.table({"rule_id": rows["rule_id"].cast(pa.string()), "at": pa.array(of, at), "us": rows["us"].cast(at), "kind": rows["kind"].cast(pa.string())})
+
+    told = dealt.groupBy("rule_id", "chunk").applyInArrow(steps, "rule_id string, chunk long, upto long, last long")
+    before = told.groupBy("rule_id").applyInArrow(scan, "rule_id string, chunk long, before long")
+    bursts = dealt.join(before, ["rule_id", "chunk"]).groupBy("rule_id", "chunk").applyInArrow(keep, "rule_id string, at long, us long, kind string")
+    first = lambda some: F.min(F.when(some, F.struct("us", "kind")))["kind"]
+    return bursts.groupBy("rule_id", F.col("at").alias("us")).agg(F.coalesce(first(F.col("kind") != "time"), first(F.lit(True))).alias("kind"))
 
 
 def ground_truth(rules: DataFrame, actions: DataFrame) -> DataFrame:
@@ -91,33 +134,107 @@ def ground_truth(rules: DataFrame, actions: DataFrame) -> DataFrame:
     return actions.select("entity_id", "state", "us", "sid").join(goal, ["entity_id", "state"]).select("rule_id", "us", "sid")
 
 
+def _reaches(f: np.ndarray, tol: np.ndarray, own: np.ndarray, t: np.ndarray, reach: int) -> np.ndarray:
+    """How far from each fire the truth it takes can be, from sorted times of fires and truth.
+
+    Earlier fires that reach the same truth can take no more than one each, so a fire with m - 1 of them takes one of its m nearest. What is found
+    makes the reaches shorter, and so the number of earlier fires that count.
+    """
+    far = tol.copy()
+    n = np.arange(len(f)) - np.searchsorted(f, f - 2 * reach)
+    for _ in range(4):
+        at = np.searchsorted(t, f)
+        left, right = at - n - 1, at + n
+        d = np.full(len(f), np.iinfo(np.int64).max)
+        some = left >= 0
+        d[some] = f[some] - t[left[some]]
+        some = right < len(t)
+        d[some] = np.minimum(d[some], t[right[some]] - f[some])
+        far = np.where(own, np.minimum(far, d), tol)
+        most = int(n.max())
+        if most == 0 or most > 256:
+            break
+        n = np.zeros(len(f), np.int64)
+        for k in range(1, min(most, len(f) - 1) + 1):
+            n[k:] += f[:-k] + far[:-k] >= f[k:] - far[k:]
+    return far
+
+
+def _take(f: list[int], tol: list[int], t: list[int]) -> list[int | None]:
+    """For each fire in order the place of the nearest truth that is free, the earlier of equally near ones. All are sorted by time."""
+    up, down = list(range(len(t) + 1)), list(range(len(t) + 1))  # the next free place from one on, and up to one (from 1, 0 is none)
+
+    def free(way, i):
+        root = i
+        while way[root] != root:
+            root = way[root]
+        while way[i] != root:
+            way[i], i = root, way[i]
+        return root
+
+    out: list[int | None] = []
+    for us, far in zip(f, tol):
+        at = bisect_left(t, us)
+        late, early = free(up, at), free(down, at) - 1
+        best = None
+        if late < len(t) and t[late] - us <= far:
+            best = late
+        if early >= 0 and us - t[early] <= far and (best is None or us - t[early] <= t[late] - us):
+            best = early
+        if best is not None:
+            up[best], down[best + 1] = best + 1, best
+        out.append(best)
+    return out
+
+
 def match(fires: DataFrame, truth: DataFrame, clock_us: int, event_us: int = EVENT_TOLERANCE) -> DataFrame:
     """Each fire with whether it is matched, and each truth that is not: rows (rule_id, us, what).
 
-    Fires in time order take the nearest unmatched truth within their tolerance, the earlier of equally near ones. Events
-    further apart than the larger tolerance do not interact; the fold runs over islands of the common timeline.
+    Fires in time order take the nearest unmatched truth within their tolerance, the earlier of equally near ones. Chunks of time tell which truth
+    any fire can take; only that, a few for each fire, is folded, in islands of the common timeline: events further apart than the larger
+    tolerance do not interact. Truth that nothing can take is missed without a fold.
     """
     reach = max(clock_us, event_us)
-    both = fires.select("rule_id", "us", F.when(F.col("kind") == "time", clock_us).otherwise(event_us).cast("long").alias("tol"), F.lit(None).cast("long").alias("sid")).unionByName(truth.select("rule_id", "us", F.lit(None).cast("long").alias("tol"), "sid"))
+    wide = 16 * reach
+    slot = lambda by: F.floor((F.col("us") + by) / wide)
+    tolerance = F.when(F.col("kind") == "time", clock_us).otherwise(event_us).cast("long").alias("tol")
+    fired = fires.select("rule_id", "us", tolerance)
+    none = F.lit(None).cast("long")
+    # fires that a chunk inherits only count as earlier ones
+    dealt = fired.select("rule_id", "us", "tol", none.alias("sid"), F.explode(F.array_distinct(F.array(slot(0), slot(2 * reach)))).alias("chunk")).unionByName(
+        truth.select("rule_id", "us", none.alias("tol"), F.col("sid").cast("long").alias("sid"), F.explode(F.array_distinct(F.array(slot(-reach), slot(reach)))).alias("chunk"))
+    )
+
+    def near(key, rows):
+        rows = rows.sort_by([("us", "ascending"), ("tol", "ascending"), ("sid", "ascending")])
+        is_fire = rows["tol"].is_valid().to_numpy()
+        us = rows["us"].to_numpy()
+        f, t = us[is_fire], us[~is_fire]
+        tol = rows["tol"].filter(pa.array(is_fire)).to_numpy()
+        own = f >= key[1].as_py() * wide
+        kept = np.zeros(len(t) + 1, np.int64)
+        if own.any() and len(t):
+            far = _reaches(f, tol, own, t, reach)[own]
+            np.add.at(kept, np.searchsorted(t, f[own] - far), 1)
+            np.add.at(kept, np.searchsorted(t, f[own] + far, side="right"), -1)
+        return rows.select(["rule_id", "us", "sid"]).filter(pa.array(~is_fire)).filter(pa.array(np.cumsum(kept)[:-1] > 0)).cast(FOUND)
+
+    some = dealt.groupBy("rule_id", "chunk").applyInArrow(near, "rule_id string, us long, sid long").distinct()
+    both = fired.withColumn("sid", none).unionByName(some.withColumn("tol", none))
     by = W.partitionBy("rule_id").orderBy("us", "tol", "sid")
     marked = both.withColumn("new", F.when(F.col("us") - F.lag("us").over(by) <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    groups = marked.groupBy("rule_id", "island").agg(
-        F.array_sort(F.collect_list(F.when(F.col("tol").isNotNull(), F.struct("us", "tol")))).alias("f"),
-        F.array_sort(F.collect_list(F.when(F.col("tol").isNull(), F.struct("us", "sid")))).alias("t"),
-    )
-    start = F.struct(F.col("t").alias("free"), F.array().cast("array<struct<us:bigint,what:string>>").alias("out"))
 
-    def fold(s, f):
-        near = F.filter(s["free"], lambda t: F.abs(t["us"] - f["us"]) <= f["tol"])
-        best = F.array_min(F.transform(near, lambda t: F.struct(F.abs(t["us"] - f["us"]).alias("d"), t["us"].alias("us"), t["sid"].alias("sid"))))
-        rest = F.filter(s["free"], lambda t: ~((t["us"] == best["us"]) & (t["sid"] == best["sid"])))
-        hit = F.struct(rest.alias("free"), F.concat(s["out"], F.array(F.struct(f["us"].alias("us"), F.lit("true").alias("what")))).alias("out"))
-        miss = F.struct(s["free"].alias("free"), F.concat(s["out"], F.array(F.struct(f["us"].alias("us"), F.lit("false").alias("what")))).alias("out"))
-        return F.when(F.size(near) > 0, hit).otherwise(miss)
+    def fold(rows):
+        rows = rows.sort_by([("us", "ascending"), ("tol", "ascending"), ("sid", "ascending")])
+        is_fire = rows["tol"].is_valid()
+        f, t = rows.filter(is_fire), rows.filter(pa.compute.invert(is_fire))
+        places = pa.array(_take(f["us"].to_pylist(), f["tol"].to_pylist(), t["us"].to_pylist()), pa.int64())
+        return pa.table({"rule_id": f["rule_id"].cast(pa.string()), "us": f["us"].cast(pa.int64()), "at": t["us"].cast(pa.int64()).take(places), "sid": t["sid"].cast(pa.int64()).take(places)})
 
-    folded = groups.select("rule_id", F.aggregate("f", start, fold).alias("s"))
-    rest = F.transform("s.free", lambda t: F.struct(t["us"].alias("us"), F.lit("missed").alias("what")))
-    return folded.select("rule_id", F.explode(F.concat("s.out", rest)).alias("o")).select("rule_id", "o.us", "o.what")
+    told = materialise(marked.groupBy("rule_id", "island").applyInArrow(fold, "rule_id string, us long, at long, sid long"), "matched-fires")
+    taken = told.filter("at is not null").select("rule_id", F.col("at").alias("us"), "sid")
+    missed = truth.select("rule_id", "us", F.col("sid").cast("long").alias("sid")).join(taken, ["rule_id", "us", "sid"], "left_anti")
+    return told.select("rule_id", "us", F.when(F.col("at").isNull(), "false").otherwise("true").alias("what")).unionByName(missed.select("rule_id", "us", F.lit("missed").alias("what")))
 
 
 def counts(matched: DataFrame) -> DataFrame:
@@ -219,7 +336,8 @@ def backtest(rules: DataFrame, fires: DataFrame, truth: DataFrame, overrides: Da
     """
     cut = split(start_us, end_us, bars)
     every, true = segments(fires, truth, start_us, cut, end_us)
-    kept = collapse(every)
+    every = materialise(every.select("rule_id", "us", "kind"), "fires")
+    kept = materialise(collapse(every), "kept-fires")
     matched = match(kept, true, clock_us)
     names = F.explode(F.array(*map(F.lit, ("full", "train", "holdout"))))
     keyed = rules.withColumn("seg", names).withColumn("rule_id", F.concat_ws(":", "seg", "rule_id"))

@@ -89,7 +89,7 @@ def mined(rows: DataFrame, start_us: int, end_us: int, options: Options) -> Data
         made.append(_rules(steps, "sequence", kind=F.lit("state"), entity_id=_item("trigger", 1), to_state=_item("trigger", 2), target_entity=_item("step", 1), target_state=_item("step", 2), score=F.col("b.score"), confidence=F.col("b.confidence"), occurrences=F.col("b.support")))
     if "association" in options.miners:
         items = rows.filter(is_transition()).select("sid", "us", F.concat_ws("=", "entity_id", F.lower("state")).alias("item"), "cause")
-        pairs = association.rules(association.baskets(items, options.around_us), items)
+        pairs = association.rules(items, options.around_us)
         made.append(_rules(pairs, "association", kind=F.lit("state"), entity_id=_item("a", 1), to_state=_item("a", 2), target_entity=_item("c", 1), target_state=_item("c", 2), score=F.col("score"), confidence=F.col("confidence"), lift=F.col("lift"), occurrences=F.col("n")))
     if "conditional" in options.miners:
         moments = acts.select("entity_id", "state", "us")

@@ -24,6 +24,8 @@ from routinelens.model import DAY
 from routinelens.storage import materialise
 
 WINDOW, TOP, TILE = 12, 3, 1024
+#: Tiles of a block, of which tasks that look for the nearest take pairs.
+BLOCK = 16
 #: Decimal places of a distance, so that the shape of tiles does not show.
 PLACES = 6
 
@@ -91,11 +93,80 @@ def profile(points: DataFrame, window: int = WINDOW, tile: int = TILE) -> DataFr
     return best.select("entity_id", "i", "best.distance", "best.neighbour")
 
 
+def _tiles(x: np.ndarray, window: int, tile: int) -> list[np.ndarray]:
+    """The values of each tile of a block, with those its windows reach into."""
+    return [x[k : k + tile + window - 1] for k in range(0, len(x) - window + 1, tile)]
+
+
+def _bounds(held: DataFrame, window: int, top: int, tile: int) -> DataFrame:
+    """Per series (entity_id, bound) a distance that at least ``top`` windows have a neighbour within, found inside tiles; null where there are not so many."""
+
+    def run(batches):
+        for batch in batches:
+            for entity, block, x in zip(*[batch.column(k) for k in range(3)]):
+                least = np.empty(0)
+                for k, part in enumerate(_tiles(x.values.to_numpy(), window, tile)):
+                    at = block.as_py() * BLOCK * tile + k * tile
+                    least = np.sort(np.append(least, tile_minima(part, part, at, at, window)[0]))[:top]
+                least = least[np.isfinite(least)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(entity.as_py(), pa.string()), len(least)), pa.array(least)], ["entity_id", "distance"])
+
+    some = held.select("entity_id", "tile", "x").repartition(_tasks(held), "entity_id", "tile").mapInArrow(run, "entity_id string, distance double")
+    first = some.withColumn("rank", F.row_number().over(W.partitionBy("entity_id").orderBy("distance"))).filter(F.col("rank") <= top)
+    return first.groupBy("entity_id").agg(F.when(F.count(F.lit(1)) == top, F.max("distance")).alias("bound"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Blocks are few bytes and much work, so their number of tasks is told."""
+    return 8 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def nearest(points: DataFrame, window: int = WINDOW, top: int = TOP, tile: int = TILE) -> DataFrame:
+    """The rows of profile() that can be among the ``top`` of a series.
+
+    Every pair of windows is looked at: products in single precision tell, with a margin, which tiles hold a pair within the series' bound, and only those
+    are worked out as in profile(). All pairs within the bound lie in such tiles, so the least distance and the first neighbour are those of the profile.
+    """
+    wide = BLOCK * tile
+    held = materialise(segments(numbered(points), window, wide), "segments")
+    bounds = materialise(_bounds(held, window, top, tile), "bounds")
+    left = held.join(bounds, "entity_id", "left").select("entity_id", "bound", F.col("tile").alias("r"), F.col("x").alias("xr"))
+    right = held.select("entity_id", F.col("tile").alias("c"), F.col("x").alias("xc"))
+    blocks = left.join(right, "entity_id").filter("r <= c").repartition(_tasks(held), "entity_id", F.col("c") - F.col("r"), "r")
+
+    def run(batches):
+        for batch in batches:
+            for entity, bound, r, x, c, y in zip(*[batch.column(k) for k in range(6)]):
+                entity, r, c = entity.as_py(), r.as_py(), c.as_py()
+                far = np.inf if not bound.is_valid else bound.as_py()
+                like = 1 - (far + 2 * 10.0**-PLACES) ** 2 / (2 * window) - 1e-5
+                sides = []
+                for values in (x, y):
+                    parts = _tiles(values.values.to_numpy(), window, tile)
+                    normal = [_normal(part, window) for part in parts]
+                    sides.append([(part, a.astype(np.float32), flat.any()) for part, (a, flat) in zip(parts, normal)])
+                for k, (px, a, flat_a) in enumerate(sides[0]):
+                    for m, (py, b, flat_b) in enumerate(sides[1]):
+                        if r == c and m < k:
+                            continue
+                        if not ((a @ b.T).max() >= like or (flat_a and flat_b) or ((flat_a or flat_b) and like <= 0.5)):
+                            continue
+                        at_x, at_y = r * wide + k * tile, c * wide + m * tile
+                        near, at, near_c, at_c = tile_minima(px, py, at_x, at_y, window)
+                        for first, distance, neighbour in ((at_x, near, at), (at_y, near_c, at_c)):
+                            some = np.flatnonzero(np.isfinite(distance) & (distance <= far))
+                            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(entity, pa.string()), len(some)), pa.array(first + some), pa.array(distance[some]), pa.array(neighbour[some])], ["entity_id", "i", "distance", "neighbour"])
+
+    minima = blocks.select("entity_id", "bound", "r", "xr", "c", "xc").mapInArrow(run, "entity_id string, i long, distance double, neighbour long")
+    best = minima.groupBy("entity_id", "i").agg(F.min(F.struct("distance", "neighbour")).alias("best"))
+    return best.select("entity_id", "i", "best.distance", "best.neighbour")
+
+
 def motifs(points: DataFrame, window: int = WINDOW, top: int = TOP, tile: int = TILE) -> DataFrame:
     """Per series its ``top`` windows of least distance: entity_id, rank, i, neighbour, distance, start_us."""
     # each tile keeps its own first ones, so the last window ranks few rows of a series
     order = ["distance", "i"]
-    tiles = profile(points, window, tile).withColumn("tile", F.floor(F.col("i") / tile))
+    tiles = nearest(points, window, top, tile).withColumn("tile", F.floor(F.col("i") / tile))
     some = tiles.withColumn("rank", F.row_number().over(W.partitionBy("entity_id", "tile").orderBy(*order))).filter(F.col("rank") <= top)
     first = some.withColumn("rank", F.row_number().over(W.partitionBy("entity_id").orderBy(*order))).filter(F.col("rank") <= top)
     return first.join(numbered(points).select("entity_id", "i", F.col("us").alias("start_us")), ["entity_id", "i"]).select("entity_id", "rank", "i", "neighbour", "distance", "start_us")

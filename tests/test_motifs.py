@@ -58,3 +58,22 @@ def test_profile_and_motifs_equal_a_loop(spark, tile):
 
 def test_no_points_no_motifs(spark):
     assert motifs.motifs(spark.createDataFrame([], "entity_id string, us long, sid long, num double")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [13, 64])
+def test_the_nearest_are_those_of_the_profile(spark, tile):
+    rng = random.Random(11)
+    made = {**series(rng), "sensor.long": [rng.gauss(0, 1) for _ in range(1500)], "sensor.same": [float(k % 5) for k in range(300)]}
+    rows = [(e, k * HOUR, k, v) for e, values in made.items() for k, v in enumerate(values)]
+    points = spark.createDataFrame(rows, "entity_id string, us long, sid long, num double").repartition(4)
+    whole = {}
+    for r in motifs.profile(points, tile=tile).collect():
+        whole.setdefault(r["entity_id"], []).append((r["distance"], r["i"], r["neighbour"]))
+    want = {(e, k + 1, i, j, d) for e, some in whole.items() for k, (d, i, j) in enumerate(sorted(some)[:3])}
+    assert {(r["entity_id"], r["rank"], r["i"], r["neighbour"], r["distance"]) for r in motifs.motifs(points, tile=tile).collect()} == want
+
+
+def test_few_windows_of_a_long_series_are_worked_out(spark):
+    rows = [("s", k, k, random.Random(k).random()) for k in range(4000)]
+    points = spark.createDataFrame(rows, "entity_id string, us long, sid long, num double")
+    assert 3 <= motifs.nearest(points, tile=256).count() < 400  # of 3989

@@ -31,22 +31,23 @@ def background(actions: DataFrame, start_us: int, end_us: int, grain_us: int = 1
 def numeric_stump(samples: DataFrame, coverage: float = COVERAGE, lift: float = LIFT) -> DataFrame:
     """From rows (entity_id, state, signal, positive, num): the best threshold per kind and signal that clears both bars.
 
-    Thresholds are the distinct values to two places, both directions strict. Counts at each come from running sums over
-    the sorted values, so a kind's samples are read once, not once a threshold.
+    Thresholds are the distinct values to two places, both directions strict. Samples are first counted below, at and above the
+    threshold that they round to: rounding keeps their order, so a running sum over one row a threshold gives the counts at each.
     """
     key = ["entity_id", "state", "signal"]
     rows = samples.filter("num is not null").select(*key, "positive", "num", F.round("num", 2).alias("cut"))
     total = W.partitionBy(*key)
-    points = rows.select(*key, F.col("num").alias("v"), F.lit(None).cast("double").alias("cut"), F.col("positive").cast("int").alias("p"), (~F.col("positive")).cast("int").alias("b"))
-    cuts = rows.select(*key, "cut").distinct().select(*key, F.col("cut").alias("v"), "cut", F.lit(0).alias("p"), F.lit(0).alias("b"))
-    both = points.unionByName(cuts)
-    upto = total.orderBy("v").rangeBetween(W.unboundedPreceding, 0)
-    same = W.partitionBy(*key, "v")
-    sums = both.select(*key, "cut", *[F.sum(c).over(upto).alias(f"{c}_upto") for c in ("p", "b")], *[F.sum(c).over(same).alias(f"{c}_at") for c in ("p", "b")], F.sum("p").over(total).alias("np"), F.sum("b").over(total).alias("nb"), F.count("cut").over(total).alias("cuts"))
-    tried = sums.filter("cut is not null").select(
+    sides = {"p": F.col("positive"), "b": ~F.col("positive")}
+    points = rows.groupBy(*key, "cut").agg(*[F.count_if(side & when).alias(f"{c}_{name}") for c, side in sides.items() for name, when in (("all", F.lit(True)), ("less", F.col("num") < F.col("cut")), ("more", F.col("num") > F.col("cut")))])
+    upto = total.orderBy("cut").rowsBetween(W.unboundedPreceding, 0)
+    sums = points.select(
+        *key, "cut", F.count(F.lit(1)).over(total).alias("cuts"), *[F.sum(f"{c}_all").over(total).alias(f"n{c}") for c in sides],
+        *[(F.sum(f"{c}_all").over(upto) - F.col(f"{c}_all") + F.col(f"{c}_less")).alias(f"{c}_below") for c in sides], *[(F.sum(f"{c}_all").over(upto) - F.col(f"{c}_more")).alias(f"{c}_upto") for c in sides],
+    )
+    tried = sums.select(
         *key, "np", "nb", "cuts", "cut",
         F.explode(F.array(
-            F.struct(F.lit("below").alias("direction"), F.lit(0).alias("late"), (F.col("p_upto") - F.col("p_at")).alias("p"), (F.col("b_upto") - F.col("b_at")).alias("b")),
+            F.struct(F.lit("below").alias("direction"), F.lit(0).alias("late"), F.col("p_below").alias("p"), F.col("b_below").alias("b")),
             F.struct(F.lit("above").alias("direction"), F.lit(1).alias("late"), (F.col("np") - F.col("p_upto")).alias("p"), (F.col("nb") - F.col("b_upto")).alias("b")),
         )).alias("t"),
     ).select(*key, "np", "nb", "cuts", "cut", "t.*")

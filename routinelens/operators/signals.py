@@ -13,7 +13,7 @@ from routinelens.operators.asof import asof, asof_all
 def number(state: Column) -> Column:
     """The state as a number; texts for infinity and not-a-number are none."""
     n = state.try_cast("double")
-    return F.when(~F.isnan(n) & ~F.abs(n).isin(float("inf")), n)
+    return F.when(state.rlike("[0-9]"), F.when(~F.isnan(n) & ~F.abs(n).isin(float("inf")), n))  # a failed cast is slow, and words like "on" are told by their letters
 
 
 def build(changes: DataFrame, wanted: list[str] | None = None) -> DataFrame:

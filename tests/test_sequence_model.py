@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,16 @@ def test_contexts_become_triggers_and_conditions(spark):
     df = spark.createDataFrame(rows, f"entity_id string, context array<{SLOT}>")
     got = sorted((r["trigger"]["entity_id"], tuple(c["entity_id"] for c in r["conditions"])) for r in sequence.signatures(df).collect())
     assert got == [("g", ("a", "b")), ("g", ("a", "b"))]
+
+
+def test_batches_are_read_in_slices_without_python_lists(monkeypatch):
+    monkeypatch.setattr(sequence, "SLICE", 16)
+    items, times, labels = random_examples(60, 5, seed=4)
+    batch = pa.RecordBatch.from_arrays([pa.array(items.tolist(), pa.list_(pa.int32())), pa.array(times.tolist(), pa.list_(pa.int32())), pa.array(labels, pa.int64())], ["items", "times", "label"]).slice(5, 50)
+    parts = list(sequence._arrays(batch))
+    assert [len(p[2]) for p in parts] == [16, 16, 16, 2]
+    for k, want in enumerate((items, times, labels)):
+        assert (np.concatenate([p[k] for p in parts]) == want[5:55]).all()
+    flat = sequence.initial(5)
+    whole, each = sequence.gradient(flat, 5, items[5:55], times[5:55], labels[5:55]), [sequence.gradient(flat, 5, *p) for p in parts]
+    assert abs(whole[0] - sum(e[0] for e in each)) < 1e-9 and np.allclose(whole[1], sum(e[1] for e in each), atol=1e-9)
